@@ -51,25 +51,25 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[edges[0] : edges[-1]], edges - edges[0]
 
 
-def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of all texts, in order, and the number of words of each text."""
+def word_hashes(data: np.ndarray, edges: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of all texts, in order, and the number of words of each text. is_space: the bytes between."""
     hashes, starts = [], []
     begin, n = 0, len(data)
     while begin < n:
         end = min(n, begin + WINDOW)
         if end < n:  # not within a word
-            spaces = np.flatnonzero(IS_SPACE[data[begin:end]])
+            spaces = np.flatnonzero(is_space[data[begin:end]])
             inner = edges[(edges > begin) & (edges <= end)]
             cut = max(begin + int(spaces[-1]) + 1 if len(spaces) else 0, int(inner[-1]) if len(inner) else 0)
             while cut <= begin and end < n:
-                more = np.flatnonzero(IS_SPACE[data[end : end + WINDOW]])
+                more = np.flatnonzero(is_space[data[end : end + WINDOW]])
                 inner = edges[(edges >= end) & (edges <= end + WINDOW)]
                 cuts = ([end + int(more[0]) + 1] if len(more) else []) + ([int(inner[0])] if len(inner) else [])
                 end = min(cuts, default=min(n, end + WINDOW))
                 cut = end if cuts else 0
             end = cut or end
         part = data[begin:end]
-        inside = ~IS_SPACE[part]
+        inside = ~is_space[part]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
