@@ -7,11 +7,13 @@ at a Jaccard similarity of 0.75 exceed it with probability 2e-4 and even then sh
 
 Which documents are connected is decided without writing all pairs of a bucket:
 1. Documents of equal sets are one class, represented by its smallest id.
-2. Star round: each bucket (documents of a key) compares its members with one hub, the member that shares most keys.
-3. Rest of small buckets: pairs of different components that also agree in MATCHES lanes.
-4. Rest of large buckets (more than `pair_limit` members of more than one component): the documents of buckets that
-   overlap form a family. Families are compared exactly in blocks of at most about `block` by `block` documents; a block
-   gives one link for a document and a component. Nothing is capped.
+2. Star round: the hub of a bucket (the documents of a key) is the member that shares most keys. Each document is held
+   against the hub that it agrees with most.
+3. Buckets that still hold more than one component: pairs of different components whose sizes allow a link and that agree
+   in MATCHES lanes. A large bucket is dealt out in pieces.
+4. Except for dense buckets (more than `pair_limit` members, a quarter of which resemble the hub), where too many pairs
+   would agree: the documents of dense buckets that overlap form a family. Families are compared exactly in blocks of
+   about `block` by `block` documents; a block gives one link for a document and a component. Nothing is capped.
 Every link is confirmed with the full sets.
 """
 
@@ -27,8 +29,12 @@ from .shingles import mix, shingle_sets
 LANES, CHUNK = 48, 4
 CHUNKS = LANES // CHUNK
 MATCHES = 22
+#: Lanes that a document and its hub must agree in to be compared in the star round. Only the work depends on it.
+STAR_MATCHES = 28
 PAIR_LIMIT = 64
-BLOCK = 128
+BLOCK = 256
+#: Members of one piece of a large bucket.
+PIECE = 1024
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -93,6 +99,10 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
     return rows.dropDuplicates(["doc_id"])
 
 
+def ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
 def keys_of(sig: Column) -> Column:
     """The keys of a signature: of each chunk, the lanes but one."""
     out = []
@@ -232,41 +242,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = reps.select("rep", F.explode(keys_of(F.col("sig"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialise(keyed.join(shared, "key").select("key", "rep", "n"), "near-buckets")
-    sig_a, sig_b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+    side_a = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
+    side_b = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
+    agree = matches(F.col("sig_a"), F.col("sig_b"))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
-    # star round
+    # star round: each document and the hub of its buckets that it agrees with most
     weight = met.groupBy("rep").agg(F.sum("n").alias("weight"))
-    hubs = met.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
-    star = met.join(hubs, "key").where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    star = star.join(sig_a, "a").join(sig_b, "b").where(matches(F.col("sig_a"), F.col("sig_b")) >= MATCHES).select("a", "b")
+    hubs = materialise(met.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub")), "near-hubs")
+    seen = met.join(hubs, "key").where("rep != hub")
+    spokes = seen.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    spokes = spokes.join(side_a, "a").join(side_b, "b").select("a", "b", agree.alias("lanes"), fits.alias("fits"))
+    spokes = materialise(spokes, "near-spokes")
+    star = spokes.where(F.col("fits") & (F.col("lanes") >= STAR_MATCHES)).groupBy("a").agg(F.max_by("b", F.struct("lanes", -F.col("b"))).alias("b"))
     star = materialise(star, "near-star")
-    ids = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
-    sets = materialise(full_sets(docs, ids, id_col, text_col), "near-sets")
+    sets = full_sets(docs, ids_of(star), id_col, text_col)
     links = materialise(confirmed(star, sets, percent), "near-links")
     label = components(links)
 
-    # buckets that still hold more than one component
+    # buckets that still hold more than one component; dense ones are those whose members mostly resemble their hub
     rows = labelled(met, label)
     state = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
-    rest = materialise(rows.join(state, "key", "left_semi"), "near-rest")
-    small, large = rest.where(F.col("n") <= pair_limit), rest.where(F.col("n") > pair_limit)
+    rest = rows.join(state, "key", "left_semi")
+    alike = seen.where(F.col("n") > pair_limit).join(spokes, (F.col("rep") == F.col("a")) & (F.col("hub") == F.col("b")))
+    dense = alike.groupBy("key").agg((4 * F.count_if(F.col("lanes") >= MATCHES) >= F.max("n")).alias("dense"))
+    rest = materialise(rest.join(dense, "key", "left").withColumn("dense", F.coalesce("dense", F.lit(False))), "near-rest")
+    thin, thick = rest.where("NOT dense"), rest.where("dense")
     more = []
-    if not small.isEmpty():
-        small = small.join(reps.select("rep", "sig"), "rep")
-        left = small.select("key", F.col("rep").alias("a"), F.col("component").alias("of_a"), F.col("sig").alias("sig_a"))
-        right = small.select("key", F.col("rep").alias("b"), F.col("component").alias("of_b"), F.col("sig").alias("sig_b"))
-        near = (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & (matches(F.col("sig_a"), F.col("sig_b")) >= MATCHES)
-        pairs = left.join(right, "key").where(near).select("a", "b").distinct()
+    if not thin.isEmpty():
+        pieces = F.ceil(F.col("n") / PIECE).cast("int")  # a large bucket is dealt out: pieces of one side meet all of the other
+        own = thin.select("key", F.col("rep").alias("a"), F.col("component").alias("of_a"), F.pmod(F.xxhash64("rep"), pieces).cast("int").alias("piece"))
+        others = thin.select("key", F.col("rep").alias("b"), F.col("component").alias("of_b"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+        own, others = own.join(side_a, "a"), others.join(side_b, "b")
+        near = (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & fits & (agree >= MATCHES)
+        pairs = own.join(others, ["key", "piece"]).where(near).select("a", "b").distinct()
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        own = materialise(full_sets(docs, ids, id_col, text_col), "near-sets")
-        more.append(confirmed(pairs, own, percent))
-    if not large.isEmpty():
-        anchors = large.groupBy("key").agg(F.min("rep").alias("b"))
-        family = components(large.join(anchors, "key").select(F.col("rep").alias("a"), "b"))
-        members = materialise(labelled(large.select("rep", "component").distinct().withColumnRenamed("component", "own"), family).select("rep", F.col("own").alias("component"), F.col("component").alias("family")), "near-families")
-        own = materialise(full_sets(docs, members.select(F.col("rep").alias("doc_id")), id_col, text_col), "near-sets")
+        more.append(confirmed(pairs, full_sets(docs, ids_of(pairs), id_col, text_col), percent))
+    if not thick.isEmpty():
+        anchors = thick.groupBy("key").agg(F.min("rep").alias("b"))
+        family = components(thick.join(anchors, "key").select(F.col("rep").alias("a"), "b"))
+        members = materialise(labelled(thick.select("rep", "component").distinct().withColumnRenamed("component", "own"), family).select("rep", F.col("own").alias("component"), F.col("component").alias("family")), "near-families")
+        own = full_sets(docs, members.select(F.col("rep").alias("doc_id")), id_col, text_col)
         more.append(large_family_links(members, own, block, percent))
     for found in more:
         links = links.unionByName(found)
