@@ -1,6 +1,51 @@
-STAGES = []
+"""The corpus pipeline: five operators, each over all documents that the one before has kept.
+
+run() writes what each stage returns to the shared folder and reads it again as the next stage's documents. The first
+stage fits a classifier, so SQL can't express the rows of run(); tests hold each stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphquarry.llm import exact_dedup, minhash_dedup, mixing, site_quality, word_bpe
+from graphquarry.llm.common import documents, materialise
+from graphquarry.llm.queries_tokens import vocabulary
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return site_quality.survivors(docs, labels, F.col("source"), F.col("lang"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id."""
+    return exact_dedup.survivors(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the one with the smallest doc_id."""
+    return minhash_dedup.survivors(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens meet the target shares of sources, languages and topics."""
+    return mixing.survivors(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return word_bpe.encode_documents(docs, vocabulary("word_bpe_49k.json"), digests=True)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("encode", encode)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, license_scan, mixing, quality_rules
 from .common import documents
 
 
@@ -65,5 +65,14 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY norm)
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op8_exact_dedup": op8_exact_dedup}
-ORACLES = {"op1_quality_rules": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_license_scan": op2_license_scan, "op7_mix_sources": op7_mix_sources, "op8_exact_dedup": op8_exact_dedup}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op2_license_scan": license_scan.sql(), "op7_mix_sources": mixing.sql(), "op8_exact_dedup": OP8_SQL}
