@@ -49,3 +49,12 @@ def text_or_empty(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a whole text: maximal runs of characters outside SPACES. A null text has none."""
     return F.array_remove(F.split(text_or_empty(text), SPACE_CLASS, -1), "")
+
+
+#: Keys of one long each up to which a set of them is broadcast: some tens of megabytes.
+BROADCAST_KEYS = 2_000_000
+
+
+def if_small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """Keys with a broadcast hint if they are counted and at most `limit`; beyond that they are joined by a shuffle."""
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import if_small, materialise
 from .shingles import mix, shingle_sets
 
 LANES, CHUNK = 48, 4
@@ -95,6 +95,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
             yield pa.record_batch({"doc_id": batch.column(0), "items": pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1))], pa.list_(pa.int64()))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ids = if_small(materialise(ids, "near-ids"))
     rows = rows.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, items array<long>")
     return rows.dropDuplicates(["doc_id"])
 
@@ -300,4 +301,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with its own columns; rows without an id stay."""
     dropped = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
+    dropped = if_small(materialise(dropped, "near-dropped"))
     return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
