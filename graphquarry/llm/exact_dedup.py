@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialise, text_or_empty
+from .common import SPACE_CLASS, if_small, materialise, text_or_empty
 
 ENTRY = ("key", "text_sha256", "n_bytes")
 
@@ -81,8 +81,9 @@ def build_index(prints: DataFrame, capacity: int = 200_000, max_depth: int = 12)
 def differing(docs: DataFrame, prints: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Entries (key, digest, length) of which some document's bytes differ from the first document's."""
     chained = index.where("group_size > 1").select(*ENTRY, "keep_id")
-    members = prints.join(chained, list(ENTRY)).select("doc_id", *ENTRY, "keep_id")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw")).join(members, "doc_id")
+    members = materialise(prints.join(chained, list(ENTRY)).select("doc_id", *ENTRY, "keep_id"), "dedup-members")
+    some = if_small(members.select("doc_id").distinct())  # so that other texts aren't moved
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw")).join(some, "doc_id", "left_semi").join(members, "doc_id")
     texts = texts.withColumn("norm", normalise(F.col("raw"))).drop("raw")
     first = texts.where(F.col("doc_id") == F.col("keep_id")).dropDuplicates(list(ENTRY)).select(*ENTRY, F.col("norm").alias("first"))
     return texts.select(*ENTRY, "norm").join(first, list(ENTRY)).where("norm != first").select(*ENTRY).distinct()
@@ -119,5 +120,5 @@ def regroup(docs: DataFrame, result: DataFrame, odd: DataFrame, id_col: str, tex
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their own columns. Documents without an id all stay, as nothing tells them apart."""
     verdict = exact_dedup(docs, id_col, text_col).where(F.col("kept") & F.col("doc_id").isNotNull())
-    kept = docs.join(verdict.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
-    return kept.select(*docs.columns)
+    ids = materialise(verdict.select(F.col("doc_id").alias(id_col)).distinct(), "dedup-kept")
+    return docs.join(if_small(ids), id_col, "left_semi").select(*docs.columns)
