@@ -6,7 +6,8 @@ directory (ones before each run of RANK_STEP bits) turns a token's place in one
 token can be read without decoding those before it.
 
 A file is a Parquet data set whose rows are blocks of whole documents in ascending order of doc_id: `part` and `block`
-give the order, `payload` is the block in the format above. `directory` adds the number of ids before each block.
+give the order, `before` the ids of the part before the block, `payload` is the block in the format above. `directory`
+has the number of ids before each part.
 """
 
 from __future__ import annotations
@@ -175,7 +176,8 @@ def unshown(piece: str) -> bytes:
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Encode all documents and write the file to the shared folder; returns its rows: part, block, n_tokens, payload.
+    """Encode all documents and write the file to the shared folder; returns its rows: part, block,
+    before (ids of the part before the block), n_tokens, payload.
 
     A null text counts as empty and leaves the end id alone. Documents without an id come first. Repeated rows are
     written each. An empty table gives a file without blocks.
@@ -188,12 +190,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, block = ByteEncoder(spec.value), TaskContext.get().partitionId(), 0
+        encode, part, block, before = ByteEncoder(spec.value), TaskContext.get().partitionId(), 0, 0
         ids, names, lengths, waiting = [], [], [], 0
 
         def flush():
             flat = np.concatenate(ids)
-            return pa.record_batch({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_tokens": pa.array([len(flat)], pa.int64()), "payload": pa.array([encode_block(flat, names, lengths)], pa.binary())})
+            return pa.record_batch({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "before": pa.array([before], pa.int64()), "n_tokens": pa.array([len(flat)], pa.int64()), "payload": pa.array([encode_block(flat, names, lengths)], pa.binary())})
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -204,7 +206,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 waiting += len(own)
                 if waiting >= BLOCK_TOKENS:
                     yield flush()
-                    block += 1
+                    block, before = block + 1, before + waiting
                     ids, names, lengths, waiting = [], [], [], 0
         if ids:
             yield flush()
@@ -212,19 +214,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     order = F.col("doc_id").asc_nulls_first()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(shuffle_partitions(spark), order).sortWithinPartitions(order, "text")
-    return materialise(rows.mapInArrow(blocks, "part int, block int, n_tokens long, payload binary"), "token-file")
+    return materialise(rows.mapInArrow(blocks, "part int, block int, before long, n_tokens long, payload binary"), "token-file")
 
 
 def directory(file: DataFrame) -> DataFrame:
-    """part, block, start: the ids before each block. Sums by part first, so what is summed in one task is as many rows
-    as the file has parts."""
-    sizes = file.select("part", "block", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    """part, base: the ids before each part. As many rows as the file was written in parts, which is bounded by the number
+    of shuffle partitions."""
+    parts = file.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    inside = W.Window.partitionBy("part").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
-    blocks = sizes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    bases = parts.select("part", before.alias("base"))
-    return blocks.join(bases, "part").select("part", "block", (F.col("base") + F.col("inside")).alias("start"))
+    return parts.select("part", before.alias("base"))
 
 
 def read_documents(file: DataFrame) -> DataFrame:
@@ -247,5 +245,5 @@ def read_documents(file: DataFrame) -> DataFrame:
                     }
                 )
 
-    rows = file.select("part", "block", "payload").join(directory(file), ["part", "block"])
-    return rows.select("start", "payload").mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = file.select("part", "before", "payload").join(F.broadcast(directory(file)), "part")
+    return rows.select((F.col("base") + F.col("before")).alias("start"), "payload").mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
