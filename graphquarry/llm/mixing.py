@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import if_small, materialise, text_or_empty
 
 ITERATIONS = 8
 MARGINS = ("source", "lang", "topic")
@@ -114,11 +114,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sampled documents, with their own columns."""
-    dropped = mix_sources(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    if docs.where(F.col(id_col).isNull()).isEmpty():
-        return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
-    named = dropped.withColumnRenamed(id_col, "_dropped")
-    return docs.join(named, docs[id_col].eqNullSafe(F.col("_dropped")), "left_anti").select(*docs.columns)
+    dropped = mix_sources(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = if_small(materialise(dropped, "mix-dropped"))
+    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("_dropped")), "left_anti").select(*docs.columns)
 
 
 def sql(iterations: int = ITERATIONS) -> str:

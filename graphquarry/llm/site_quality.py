@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import if_small, materialise
 from .linear import bounded_labels, fit_dense, sigmoid
 from .shingles import WIDTH, WEIGHTS, WINDOW, mix, text_bytes, word_hashes
 
@@ -160,5 +160,5 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], host: Column, pat
 def survivors(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not rejected, with their own columns; rows without an id stay."""
     verdict = classify(docs, fit(docs, labels, id_col, text_col), host, path, id_col, text_col)
-    rejected = verdict.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
+    rejected = if_small(materialise(verdict.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "site-rejected"))
     return docs.join(rejected, id_col, "left_anti").select(*docs.columns)
