@@ -105,7 +105,7 @@ def classified(files: DataFrame, exclusions: tuple[str, ...] = (), ignored: Data
 
 
 def scan(spark: SparkSession, root: str, **options) -> DataFrame:
-    """The inventory of a folder that Spark can read."""
+    """The inventory of a folder that Spark can read. Spark lists no files whose name begins with a dot or underscore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     inside = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
     return classified(files.select(inside.alias("path"), "content"), **options)
