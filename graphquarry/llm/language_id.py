@@ -53,8 +53,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     code = s[3:] | (s[2:-1] << np.uint64(16)) | (s[1:-2] << np.uint64(32)) | (s[:-3] << np.uint64(48))
     own = s[3:] != EDGE
-    begins = np.flatnonzero((s[:-2] == EDGE) & (s[1:-1] == EDGE) & (s[2:] == EDGE))
-    return code[own], (np.searchsorted(begins, np.arange(len(s) - 3)[own], "right") - 1)
+    return code[own], np.cumsum(s == EDGE)[3:][own] // 3 - 1
 
 
 def windows(texts: list[str]):
