@@ -129,6 +129,8 @@ def fit_chain(words: list[np.ndarray], label: np.ndarray) -> Chain:
 def selected(places: list[np.ndarray], n: int, dense: np.ndarray, y: np.ndarray, use: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Words that the penalised model selects among those of `may`, weighed again with hardly a penalty, so that a single
     telling word is not shrunk."""
+    if not y[use].any():  # nothing to learn from: the category doesn't occur
+        return np.zeros(n), np.zeros(dense.shape[1]), -30.0
     flat, row = np.concatenate(places), np.repeat(np.arange(len(places)), [len(x) for x in places])
     mean = float(y[use].mean())
     has = np.bincount(flat, use[row].astype(float), n)
