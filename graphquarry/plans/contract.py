@@ -318,15 +318,15 @@ WITH RECURSIVE edges AS (
     _RING + """, walk AS (
   SELECT [0::BIGINT] AS nodes, []::BIGINT[] AS way, 0::BIGINT AS place
   UNION ALL SELECT list_append(nodes, target), list_append(way, edges.id), target FROM walk JOIN edges ON source = place
-  WHERE NOT list_contains(nodes, target) AND len(way) < 4 AND place <> 9)
-SELECT array_to_string(way, '>') AS path, len(way)::INTEGER AS hops FROM walk WHERE place = 9""",
+  WHERE NOT list_contains(nodes, target) AND len(way) < 4 AND place <> 7)
+SELECT array_to_string(way, '>') AS path, len(way)::INTEGER AS hops FROM walk WHERE place = 7""",
 )
 def paths_bounded(spark, sf_dir):
     k = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
     n = F.col("n_nationkey").cast("long")
     edges = table(spark, sf_dir, "nation").withColumn("k", k).select((n * 10 + F.col("k")).alias("id"), n.alias("source"), ((n * (F.col("k") + 1) + F.col("k")) % 25).alias("target"))
     one = lambda x: spark.createDataFrame([(x,)], "id long")
-    found, _ = graph.paths(edges, one(0), one(9), 4, 1000, 50_000)
+    found, _ = graph.paths(edges, one(0), one(7), 4, 1000, 50_000)
     return found.select(F.array_join(F.transform("edges", lambda e: e.cast("string")), ">").alias("path"), F.size("edges").alias("hops"))
 
 
@@ -607,3 +607,141 @@ def debounce_sessions(spark, sf_dir):
 def chunk_windows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
     return chunking.chunked(docs, "repo")
+
+
+# ── further predicates, projections and joins ─────────────────────────────────────────────────────────────────────
+
+_PATHS = "SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '\\?.*$', '') || CASE page_id % 4 WHEN 0 THEN '.test.js' WHEN 1 THEN '/docs/a.md' WHEN 2 THEN '/tests/b.py' ELSE '/c.ts' END AS path FROM pages"
+
+
+def _paths(spark, sf_dir) -> DataFrame:
+    bare = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"\?.*$", "")
+    k = F.col("page_id") % 4
+    end = F.when(k == 0, ".test.js").when(k == 1, "/docs/a.md").when(k == 2, "/tests/b.py").otherwise("/c.ts")
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(bare, end).alias("path"))
+
+
+@query("path_predicates", f"""SELECT page_id, path = 'docs/a.md' OR ends_with(path, '/docs/a.md') AS scoped,
+  regexp_matches(path, '(^|/)(tests?|__tests__)/|\\.(test|spec)\\.|(^|/)test_') AS is_test,
+  regexp_matches(lower(path), '\\.(md|markdown)$|(^|/)(tests|test|__tests__)(/|$)') AS demoted,
+  regexp_extract(path, '[^/]*$') IN ('c', 'c.ts') OR regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^./]*$', '') = 'c' AS of_module FROM ({_PATHS})""")
+def path_predicates(spark, sf_dir):
+    p = F.col("path")
+    return _paths(spark, sf_dir).select("page_id", filters.in_scope(p, "docs/a.md").alias("scoped"), filters.is_test_path(p).alias("is_test"), filters.is_document_or_test(p).alias("demoted"), filters.names_module(p, "c").alias("of_module"))
+
+
+@query("relative_paths", f"SELECT page_id, NOT list_has_any(string_split(p, '/'), ['', '.', '..']) AS ok FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/' || path WHEN page_id % 3 = 1 THEN path ELSE 'a/../' || path END AS p FROM ({_PATHS}))")
+def relative_paths(spark, sf_dir):
+    k = F.col("page_id") % 3
+    p = F.when(k == 0, F.concat(F.lit("/"), "path")).when(k == 1, F.col("path")).otherwise(F.concat(F.lit("a/../"), "path"))
+    return _paths(spark, sf_dir).select("page_id", identity.is_relative_path(p).alias("ok"))
+
+
+@query("sensitive_names", f"SELECT page_id, regexp_extract(p, '[^/]*$') IN ('.env', 'id_rsa') OR regexp_matches(lower(regexp_extract(p, '[^/]*$')), '^(\\.env\\..*|service-account.*\\.json|.*\\.(pem|key|p12|pfx|jks|keystore))$') AS sensitive FROM (SELECT page_id, path || CASE page_id % 5 WHEN 0 THEN '/.env' WHEN 1 THEN '/id_rsa' WHEN 2 THEN '/a.PEM' WHEN 3 THEN '/service-account-1.json' ELSE '.x' END AS p FROM ({_PATHS}))")
+def sensitive_names(spark, sf_dir):
+    from graphquarry.sources import inventory
+
+    k = F.col("page_id") % 5
+    end = F.when(k == 0, "/.env").when(k == 1, "/id_rsa").when(k == 2, "/a.PEM").when(k == 3, "/service-account-1.json").otherwise(".x")
+    return _paths(spark, sf_dir).select("page_id", inventory.is_sensitive(F.concat("path", end)).alias("sensitive"))
+
+
+@query("declared_symbols", _SPANS + """,
+d AS (SELECT point_id, file_id, x AS d_start, x + 4 AS d_end FROM p),
+m AS (SELECT point_id, id, abs(a - d_start) + abs(b - d_end) AS far, b - a AS wide FROM d JOIN s USING (file_id) WHERE (a <= d_start AND d_end <= b) OR (d_start <= a AND b <= d_end))
+SELECT point_id, id AS symbol_id FROM m QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY far, wide, id) = 1""")
+def declared_symbols(spark, sf_dir):
+    points, spans = _spans(spark, sf_dir)
+    d = points.select("point_id", "file_id", F.lit("n").alias("name"), F.col("offset").alias("d_start"), (F.col("offset") + 4).alias("d_end"))
+    return ranges.declared(d, spans.withColumn("name", F.lit("n"))).select("point_id", "symbol_id")
+
+
+@query("unparsed_files", _GENERATIONS + " SELECT k::VARCHAR AS path FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.k = new.k AND old.h = new.h AND old.k % 2 = 0)")
+def unparsed_files(spark, sf_dir):
+    old, new = _generations(spark, sf_dir)
+    shape = lambda d: d.select(F.col("k").cast("string").alias("path"), F.col("h").alias("content_sha256"))
+    state = F.when(F.col("path").cast("long") % 2 == 0, "ready").otherwise("building")
+    return snapshots.unparsed(shape(new), shape(old).withColumn("state", state)).select("path")
+
+
+@query("payload_agreement", _GENERATIONS + " SELECT new.k FROM old JOIN new ON old.k = new.k AND old.h IS NOT DISTINCT FROM new.h")
+def payload_agreement(spark, sf_dir):
+    old, new = _generations(spark, sf_dir)
+    return old.alias("a").join(new.alias("b"), filters.agrees("a", "b", ["k", "h"])).select(F.col("b.k").alias("k"))
+
+
+@query("scroll_page", "SELECT vec_id, label FROM embeddings WHERE vec_id >= 50 ORDER BY vec_id LIMIT 20")
+def scroll_page(spark, sf_dir):
+    from graphquarry.sources import vector_journal
+
+    journal = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), "label")
+    return vector_journal.scroll(journal, 20, 50)[0].withColumnRenamed("vector_id", "vec_id")
+
+
+@query("depth_caps", "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 8")
+def depth_caps(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))
+    return table(spark, sf_dir, "events").withColumn("n", n).where("n <= 8").select("event_type", "event_id")
+
+
+@query("symbols_and_relationships", "SELECT s_name AS name FROM supplier UNION SELECT 'Supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') FROM lineitem")
+def symbols_and_relationships(spark, sf_dir):
+    named = F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")).union(table(spark, sf_dir, "lineitem").select(named)).distinct()
+
+
+@query("embedding_texts", """SELECT p_partkey, md5('File: ' || p_brand || chr(10) || 'Language: ' || p_type || chr(10) || 'Symbol: ' || p_name || chr(10) || 'Kind: part' || chr(10) || 'Signature: ' || chr(10) || 'Meaning terms: ' || trim(regexp_replace(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' ', 'g'), '\\s+', ' ', 'g')) || chr(10) || 'Comments: ' || p_type || chr(10) || p_name) AS digest FROM part""")
+def embedding_texts(spark, sf_dir):
+    c = F.col
+    made = text.embedding_text(c("p_brand"), c("p_type"), c("p_name"), F.lit("part"), F.lit(""), c("p_type"), c("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.md5(made).alias("digest"))
+
+
+@query("module_groups", f"SELECT split_part(path, '/', 1) AS module, count(DISTINCT path) AS files, count(*) AS symbols FROM ({_PATHS}) GROUP BY 1")
+def module_groups(spark, sf_dir):
+    return documentation.modules(_paths(spark, sf_dir))
+
+
+@query("legacy_nodes", "SELECT CASE WHEN count(*) = 1 THEN min(p_name) ELSE 'none' END AS id FROM part WHERE contains(lower(p_name), (SELECT substr(lower(min(p_name)), 2) FROM part))")
+def legacy_nodes(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    needle = part.agg(F.min("p_name")).first()[0].lower()[1:]
+    nodes = part.select(F.col("p_name").alias("id"), F.concat(F.lit("x"), "p_name").alias("name"), F.lit("function").alias("kind"))
+    found = graph.legacy_node(nodes, needle).select("id")
+    return found.unionByName(spark.range(1).select(F.lit("none").alias("id"))).orderBy(F.col("id") == "none").limit(1)
+
+
+@query("retrieval_plans")
+def retrieval_plans(spark, sf_dir):
+    """Plans of the questions among the user's turns, in Arrow batches; `invalid` where a turn is no question in bounds."""
+
+    def planned(turn):
+        try:
+            return understanding.plan_query(turn)
+        except ValueError:
+            return understanding.RetrievalPlan(turn, "invalid")
+
+    def plans(batches):
+        import pandas as pd
+
+        for batch in batches:
+            made = [planned(t or "") for t in batch["text"]]
+            yield pd.DataFrame({"conv_id": batch["conv_id"], "turn": batch["turn"], "intent": [p.intent for p in made], "reference": [p.reference for p in made], "keywords": [p.keywords for p in made]})
+
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return turns.mapInPandas(plans, "conv_id long, turn long, intent string, reference string, keywords string")
+
+
+@query("stream_debounce")
+def stream_debounce(spark, sf_dir):
+    """The bursts of a stream over the same events, closed by the watermark."""
+    import tempfile
+    import uuid
+
+    source = table(spark, sf_dir, "events")
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/graphquarry-scratch"
+    home = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source.write.parquet(f"{home}/in")
+    stream = change_events.debounced(change_events.file_events(spark, f"{home}/in", "event_id long, ts timestamp, user_id long"), "5 minutes", lateness="0 seconds")
+    change_events.publish_changes(stream, lambda b: b.write.mode("append").parquet(f"{home}/out"), f"{home}/state", once=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{home}/out").select("user_id", "changes", "last_event")
