@@ -49,7 +49,8 @@ def tempered(table: DataFrame, tempers: dict[str, float]) -> dict[str, DataFrame
     for m, power in tempers.items():
         sums = table.groupBy(m).agg(F.sum("tokens").alias("t"))
         raised = sums.select(m, F.pow("t", F.lit(power)).alias("r"))
-        out[m] = raised.crossJoin(raised.agg(F.sum("r").alias("all"))).select(m, (F.col("r") / F.col("all")).alias("target"))  # one row
+        every = raised.agg(F.sum("r").alias("all")).first()["all"] or 1.0
+        out[m] = raised.select(m, (F.col("r") / F.lit(every)).alias("target"))
     return out
 
 
