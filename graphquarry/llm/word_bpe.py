@@ -30,6 +30,8 @@ WORD_END = "</w>"
 PLAIN = re.compile("[\x21-\x7e¡-¬®-ÿ]+")
 HEAD_WORDS = 100_000
 HEAD_CHARS = 40
+#: Words that are encoded together.
+SLICE_WORDS = 1 << 20
 
 
 class WordEncoder:
@@ -124,6 +126,16 @@ def distinct_word_table(docs: DataFrame, spec_broadcast, text_col: str = "text",
     return decode_words(materialise(head, "word-table"), pieces_table(docs.sparkSession, spec_broadcast.value))
 
 
+def parts(batch):
+    """Slices of a batch (doc_id, words) that hold about SLICE_WORDS words each, so that memory doesn't follow the batch."""
+    edges = batch.column(1).offsets.to_numpy()
+    k = 0
+    while k < batch.num_rows:
+        stop = max(k + 1, int(np.searchsorted(edges, edges[k] + SLICE_WORDS, "right")) - 1)
+        yield batch.slice(k, stop - k)
+        k = stop
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, and ids and decoded, or with `digests` their SHA-256 (ids as little-endian 32-bit integers).
 
@@ -146,7 +158,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             ids = to_ids(word)
             return tuple(ids), " ".join(pieces[i] for i in ids)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             words = batch.column(1)
             coded = words.values.slice(words.offsets[0].as_py(), words.offsets[-1].as_py() - words.offsets[0].as_py()).dictionary_encode()
             found = [known.get(w) or of(w) for w in coded.dictionary.to_pylist()]

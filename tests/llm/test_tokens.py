@@ -56,6 +56,16 @@ def test_round_trip_of_whole_documents(spark):
     assert plain["decoded"] == theirs.decode(plain["ids"], skip_special_tokens=False)
 
 
+def test_slices_hold_all_rows(monkeypatch):
+    import pyarrow as pa
+
+    words = [["a"] * n for n in (3, 0, 9, 1, 1, 0)]
+    batch = pa.record_batch({"doc_id": pa.array(range(6)), "words": pa.array(words, pa.list_(pa.string()))})
+    for size in (1, 2, 4, 100):
+        monkeypatch.setattr(word_bpe, "SLICE_WORDS", size)
+        assert [w for part in word_bpe.parts(batch.slice(1)) for w in part.column(1).to_pylist()] == words[1:]
+
+
 def test_head_is_bounded(spark):
     counts = spark.createDataFrame([(f"w{i}", 2 ** (i % 5)) for i in range(100)] + [("x" * 100, 999)], "word string, n long")
     assert word_bpe.head_of(counts, 45).count() == 40
