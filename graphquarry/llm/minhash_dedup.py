@@ -190,12 +190,12 @@ def large_family_links(members: DataFrame, sets: DataFrame, block: int, percent:
 
         side = table.column("side").to_numpy()
         reps, comps = table.column("rep").to_numpy(), table.column("component").to_numpy()
-        items = [x.as_py() for x in table.column("items")]
+        items = table.column("items").combine_chunks()
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found_a, found_b = [], []
         if len(a) and len(b):
-            n = np.array([len(x) for x in items])
-            flat = np.concatenate([np.asarray(x, np.int64) for x in items])
+            n = items.value_lengths().to_numpy()
+            flat = items.flatten().to_numpy()
             owner = np.repeat(np.arange(len(items)), n)
             _, code = np.unique(flat, return_inverse=True)
             in_a, in_b = np.zeros(code.max() + 1, bool), np.zeros(code.max() + 1, bool)

@@ -45,7 +45,7 @@ def corpus(seed=3):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("pair_limit", "block"), [(64, 128), (2, 16)])
+@pytest.mark.parametrize(("pair_limit", "block"), [(64, 256), (2, 16)])
 def test_components_equal_brute_force(spark, pair_limit, block):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SHAPE)
