@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,6 +27,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of at most `most` bytes for the Python operators of this session: a batch lies in memory several
+    times (in the JVM, in Python, as arrays), and long texts would make the usual ones large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or int(re.sub(r"\D", "", now) or 0) > most or not now.rstrip("bB").isdigit():
+        spark.conf.set(key, str(most))
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: the plan is cut, and a lost executor costs nothing
     that was finished."""

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .shingles import mix
 
 ORDER = 4
@@ -21,7 +22,7 @@ EDGE, BLANK = 1, 2
 SAMPLE_DOCS, MAX_GRAMS = 1_000, 500_000
 UNKNOWN = "und"
 #: Characters worked on at once.
-WINDOW = 1 << 21
+WINDOW = 1 << 20
 
 _symbols: list[np.ndarray] = []
 
@@ -235,6 +236,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep=
     One row per row of the table. A text that is null or has no letter is `und` with score 0; without a model all are.
     An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_grams and the number of languages
 
     def predict(batches):

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, materialise
+from .common import if_small, materialise, small_batches
 from .shingles import mix, shingle_sets
 
 LANES, CHUNK = 48, 4
@@ -235,6 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with nothing. Rows that repeat a doc_id and its text get equal results. A row without an id is linked with nothing:
     its component_id is null and it stays. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     signed = materialise(signatures(docs, id_col, text_col), "near-signatures")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # classes of equal sets

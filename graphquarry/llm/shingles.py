@@ -6,7 +6,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes of text that are worked on at once. A longer text is cut at white space, and its words are put together again.
-WINDOW = 4 << 20
+WINDOW = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

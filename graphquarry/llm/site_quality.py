@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, materialise
+from .common import if_small, materialise, small_batches
 from .linear import bounded_labels, fit_dense, sigmoid
 from .shingles import WIDTH, WEIGHTS, WINDOW, mix, text_bytes, word_hashes
 
@@ -89,6 +89,7 @@ def _block(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, float]:
     """Weights and bias of the document classifier, from at most `sample_docs` labelled documents (the stated bound)."""
+    small_batches(docs.sparkSession)
     chosen = bounded_labels(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")), sample_docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample_docs rows
 
@@ -140,6 +141,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], host: Column, pat
     One row per row of the table. A null host or path counts as the empty one; a null text as one without words. An
     empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     scored = materialise(evidence(docs, model, id_col, text_col, host, path), "site-evidence")
     paths = materialise(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "site-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))

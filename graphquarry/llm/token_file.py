@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialise, shuffle_partitions
+from .common import materialise, shuffle_partitions, small_batches
 
 #: Fixed values of the format.
 MAGIC = b"DAC1"
@@ -183,6 +183,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     written each. An empty table gives a file without blocks.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the data
 

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .linear import Sparse, bounded_labels, fit_sparse, sigmoid
 from .shingles import WINDOW, text_bytes, word_hashes
 
@@ -72,6 +73,7 @@ class Chain:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Chain:
     """Learn from at most `sample_docs` labelled documents (the stated bound). Without labels nothing is toxic."""
+    small_batches(docs.sparkSession)
     chosen = bounded_labels(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")), sample_docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample_docs rows
 
@@ -156,6 +158,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     One row per row of the table. A null or empty text has the probabilities of a text without words. An empty table
     gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # bounded by the words of the training sample
 
     def predict(batches):

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, words_of
+from .common import materialise, small_batches, words_of
 from .token_file import BYTE_OF
 
 #: How the vocabulary splits text within a word, and the mark of a word's end.
@@ -28,10 +28,19 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Words of these characters are normalised alike everywhere; others are given to the library as they are.
 PLAIN = re.compile("[\x21-\x7e¡-¬®-ÿ]+")
-HEAD_WORDS = 100_000
+HEAD_WORDS = 50_000
 HEAD_CHARS = 40
 #: Words that are encoded together.
-SLICE_WORDS = 1 << 20
+SLICE_WORDS = 1 << 18
+
+
+def library(spec: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(spec)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    return tokenizer
 
 
 class WordEncoder:
@@ -45,12 +54,9 @@ class WordEncoder:
     def __init__(self, spec: str):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
         model = json.loads(spec)
-        self.slow = Tokenizer.from_str(spec)
-        self.slow.no_padding()
-        self.slow.no_truncation()
+        self.spec, self.slow = spec, None
         self.special = tuple(t["content"] for t in model["added_tokens"])
         self.pieces = {i: p for p, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
         ranks = {}
@@ -65,6 +71,7 @@ class WordEncoder:
 
     def __call__(self, word: str) -> list[int]:
         if not PLAIN.fullmatch(word) or any(s in word for s in self.special):
+            self.slow = self.slow or library(self.spec)
             return self.slow.encode(word, add_special_tokens=False).ids
         out: list[int] = []
         for part in self.split(word.lower()):
@@ -143,6 +150,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     Null ids are passed on. An empty table gives an empty result. Texts and words may have any length.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the data
     table = distinct_word_table(docs, spec, text_col, head_words).collect()  # at most head_words rows of bounded width
