@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, materialise, small_batches
+from .common import BROADCAST_KEYS, if_small, materialise, small_batches
 from .shingles import mix, shingle_sets
 
 LANES, CHUNK = 48, 4
@@ -147,26 +147,27 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
         hook = materialise(hook, "cc-hooks")
+        near = F.broadcast if hook.count() <= BROADCAST_KEYS else (lambda df: df)  # two longs a row
         for _ in range(2):
             above = hook.select(F.col("node").alias("up"), F.col("up").alias("higher"))
-            hook = hook.join(above, "up").select("node", F.col("higher").alias("up"))
+            hook = hook.join(near(above), "up").select("node", F.col("higher").alias("up"))
         hook = materialise(hook, "cc-jumps")
         if label is None:
             label = hook.select("node", F.col("up").alias("component"))
         else:
-            moved = hook.select(F.col("node").alias("component"), "up")
+            moved = near(hook.select(F.col("node").alias("component"), "up"))
             label = label.join(moved, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-        label = materialise(label, "cc-labels")
+            label = materialise(label, "cc-labels")
         a = hook.select(F.col("node").alias("a"), F.col("up").alias("up_a"))
         b = hook.select(F.col("node").alias("b"), F.col("up").alias("up_b"))
-        short = edges.join(a, "a").join(b, "b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))
+        short = edges.join(near(a), "a").join(near(b), "b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))
         short = short.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = materialise(short, "cc-edges")
     return label if label is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
 
 
 def labelled(rows: DataFrame, label: DataFrame, node: str = "rep") -> DataFrame:
-    found = label.select(F.col("node").alias(node), "component")
+    found = if_small(label.select(F.col("node").alias(node), "component"))
     return rows.join(found, node, "left").withColumn("component", F.coalesce("component", node))
 
 
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # star round: each document and the hub of its buckets that it agrees with most
     weight = met.groupBy("rep").agg(F.sum("n").alias("weight"))
     hubs = materialise(met.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub")), "near-hubs")
-    seen = met.join(hubs, "key").where("rep != hub")
+    seen = met.join(if_small(hubs), "key").where("rep != hub")
     spokes = seen.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     spokes = spokes.join(side_a, "a").join(side_b, "b").select("a", "b", agree.alias("lanes"), fits.alias("fits"))
     spokes = materialise(spokes, "near-spokes")
@@ -265,7 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets that still hold more than one component; dense ones are those whose members mostly resemble their hub
     rows = labelled(met, label)
     state = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
-    rest = rows.join(state, "key", "left_semi")
+    state = materialise(state.select("key"), "near-open")
+    rest = rows.join(if_small(state), "key", "left_semi")
     alike = seen.where(F.col("n") > pair_limit).join(spokes, (F.col("rep") == F.col("a")) & (F.col("hub") == F.col("b")))
     dense = alike.groupBy("key").agg((4 * F.count_if(F.col("lanes") >= MATCHES) >= F.max("n")).alias("dense"))
     rest = materialise(rest.join(dense, "key", "left").withColumn("dense", F.coalesce("dense", F.lit(False))), "near-rest")
