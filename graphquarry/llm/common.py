@@ -61,8 +61,8 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text_or_empty(text), SPACE_CLASS, -1), "")
 
 
-#: Keys of one long each up to which a set of them is broadcast: some tens of megabytes.
-BROADCAST_KEYS = 2_000_000
+#: Keys of one or two longs up to which a set of them is broadcast: at most some twenty megabytes.
+BROADCAST_KEYS = 300_000
 
 
 def if_small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:

@@ -34,6 +34,10 @@ HEAD_CHARS = 40
 SLICE_WORDS = 1 << 18
 
 
+def pieces_of(model: dict) -> dict[int, str]:
+    return {i: p for p, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
+
+
 def library(spec: str):
     from tokenizers import Tokenizer
 
@@ -58,7 +62,7 @@ class WordEncoder:
         model = json.loads(spec)
         self.spec, self.slow = spec, None
         self.special = tuple(t["content"] for t in model["added_tokens"])
-        self.pieces = {i: p for p, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
+        self.pieces = pieces_of(model)
         ranks = {}
         for piece, i in model["model"]["vocab"].items():
             ended = piece.endswith(WORD_END) and piece != WORD_END
@@ -101,8 +105,10 @@ def head_of(counts: DataFrame, head_words: int, head_chars: int = HEAD_CHARS) ->
 
 def pieces_table(spark, spec: str) -> DataFrame:
     """id, piece of a vocabulary; as many rows as the vocabulary has."""
-    pieces = WordEncoder(spec).pieces
-    return spark.createDataFrame(list(pieces.items()), "id int, piece string")
+    import pyarrow as pa
+
+    pieces = pieces_of(json.loads(spec))
+    return spark.createDataFrame(pa.table({"id": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()), pa.string())}))
 
 
 def encode_words(words: DataFrame, spec_broadcast) -> DataFrame:
@@ -153,13 +159,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the data
-    table = distinct_word_table(docs, spec, text_col, head_words).collect()  # at most head_words rows of bounded width
-    head = spark.sparkContext.broadcast({r["word"]: (tuple(r["ids"]), r["decoded"]) for r in table})
+    table = distinct_word_table(docs, spec, text_col, head_words).toArrow()  # at most head_words rows of bounded width
+    head = spark.sparkContext.broadcast(table)
 
     def encode(batches):
         import pyarrow as pa
 
-        to_ids, known = WordEncoder(spec.value), head.value
+        columns = head.value.select(["word", "ids", "decoded"]).to_pydict()
+        known = {w: (i, d) for w, i, d in zip(columns["word"], columns["ids"], columns["decoded"], strict=True)}
+        to_ids = WordEncoder(spec.value)
         pieces = to_ids.pieces
 
         def of(word):
