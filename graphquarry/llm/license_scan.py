@@ -1,8 +1,9 @@
 """Licence scans by sentence rules. DataFrame operations only.
 
-A text is cut into sentences, sentences are normalised, and those that are known become identifiers. The sequence of a
-document's identifiers is held against ordered rules: a rule names identifiers that must occur in that order, and the
-first rule that matches gives the licence; all rules that match are listed as well.
+A text is normalised with its line ends and the ends of its sentences kept as marks. A known sentence is found where its
+words stand from one mark to another; marks between its words don't count, so it may be wrapped or hold ':' and ';'. The
+sequence of a document's identifiers is held against ordered rules: a rule names identifiers that must occur in that
+order, and the first rule that matches gives the licence; all rules that match are listed as well.
 """
 
 from __future__ import annotations
@@ -42,6 +43,19 @@ SENTENCES = {
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd_name",
     "All rights reserved.": "all_rights",
 }
+_MIT_END = "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND"
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+_APACHE_UNLESS = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+#: The whole sentences of licences of which SENTENCES has a part, and the identifiers of what they say, in order.
+WHOLE = {
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:': "mit_grant",
+    f'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, {_MIT_END} NONINFRINGEMENT.': "mit_as_is",
+    f'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, {_MIT_END} NON-INFRINGEMENT.': "mit_as_is",
+    f"{_GPL}, either version 3 of the License, or (at your option) any later version.": "gpl_grant gpl3_later",
+    f"{_GPL}, either version 2 of the License, or (at your option) any later version.": "gpl_grant gpl2_later",
+    f"You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 {_APACHE_UNLESS}": "apache2_copy",
+    f"You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0 {_APACHE_UNLESS}": "apache2_copy",
+}
 #: Rules in order: the licence, and identifiers that occur in this order.
 RULES = (
     ("Apache-2.0", ("apache2_head", "apache2_comply")),
@@ -65,12 +79,16 @@ def plain(sentence: str) -> str:
 
 
 KNOWN = {plain(s): i for s, i in SENTENCES.items()}
+EVERY = KNOWN | {plain(s): i for s, i in WHOLE.items()}
+#: A known sentence between marks; of those that start at one place the longest.
+PATTERN = r"(?<=\n)(?:" + "|".join(s.replace(" ", r"[ \n]") for s in sorted(EVERY, key=len, reverse=True)) + r")(?=\n)"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends and after . ! ? ; : before white space."""
-    cut = F.split(F.regexp_replace(text_or_empty(text), r"([.!?;:])[\x20\x09-\x0D]+", "$1\n"), "\n", -1)
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+def marked(text: Column) -> Column:
+    """Normalised words, with one "\\n" for line ends and after . ! ? ; : before white space; one at each end as well."""
+    cut = F.regexp_replace(text_or_empty(text), r"([.!?;:])[\x20\x09-\x0D]+", "$1\n")
+    words = F.regexp_replace(F.lower(F.concat(F.lit("\n"), cut, F.lit("\n"))), r"[^a-z0-9\n]+", " ")
+    return F.regexp_replace(words, r" ?\n[ \n]*", "\n")
 
 
 def rule_pattern(ids) -> str:
@@ -78,15 +96,14 @@ def rule_pattern(ids) -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_known (known sentences), sentence_ids (joined by blanks, in order), license (null if no rule matches),
-    licenses (all that match, in the order of the rules, joined by commas).
+    """doc_id, n_known (identifiers), sentence_ids (joined by blanks, in order), license (null if no rule matches), licenses (all that match, in the order of the rules, joined by commas).
 
     One row per row of the table; other columns are ignored. A null or empty text has no sentences. Repeated rows and
     null ids are passed on. An empty table gives an empty result.
     """
-    names = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
-    known = F.filter(sentences(F.col(text_col)), lambda s: s.isin(*KNOWN))
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.array_join(F.transform(known, lambda s: F.element_at(names, s)), " ").alias("sentence_ids"))
+    names = F.create_map(*(F.lit(x) for pair in EVERY.items() for x in pair))
+    known = F.regexp_extract_all(marked(F.col(text_col)), F.lit(PATTERN), F.lit(0))
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.array_join(F.transform(known, lambda s: F.element_at(names, F.translate(s, "\n", " "))), " ").alias("sentence_ids"))
     first, found = F, []
     for name, rule in RULES:
         hit = F.col("sentence_ids").rlike(rule_pattern(rule))
@@ -97,7 +114,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def sql() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, for texts whose known sentences are those of SENTENCES and stand unbroken on a line."""
     values = ", ".join(f"('{s}', '{i}')" for s, i in KNOWN.items())
     whens = " ".join(f"WHEN regexp_matches(sentence_ids, '{rule_pattern(rule)}') THEN '{name}'" for name, rule in RULES)
     each = ", ".join(f"CASE WHEN regexp_matches(sentence_ids, '{rule_pattern(rule)}') THEN '{name}' END" for name, rule in RULES)

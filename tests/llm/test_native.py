@@ -105,6 +105,72 @@ def test_licences_by_ordered_sentences(spark):
     assert out[1]["n_known"] == 3 and out[4]["licenses"] == "GPL-3.0,MIT"
 
 
+GPL = """    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{1} either version {2} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAME = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+
+
+def test_unedited_licences_wrapped_and_unwrapped(spark):
+    notices = {"GPL-3.0-or-later": GPL.format(":", ",", 3), "GPL-2.0-or-later": GPL.format(";", ";", 2), "MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + BSD_NAME, "Apache-2.0": APACHE}
+    shapes = [lambda t: t, lambda t: "\r\n".join(f" * {x}" for x in t.split("\n")), lambda t: "\n".join(" ".join(p.split()) for p in t.split("\n\n"))]
+    texts = [(name, shape(t)) for name, t in notices.items() for shape in shapes]
+    out = {r["doc_id"]: r for r in license_scan.scan(frame(spark, [(k, t, "en", "a") for k, (_, t) in enumerate(texts)])).collect()}
+    assert [out[k]["license"] for k in range(len(texts))] == [name for name, _ in texts]
+    part = "we say that mit license is fine and all rights reserved. are words"
+    assert license_scan.scan(frame(spark, [(1, part, "en", "a")])).first()["n_known"] == 0
+
+
 def test_raking_meets_all_targets(spark):
     rows = [(k, "word " * (k % 9 + 1) + (" | " if k % 5 == 0 else ""), ["en", "de", None][k % 3], "a" if k % 2 else "b" if k % 3 else None) for k in range(400)]
     df = frame(spark, rows)
