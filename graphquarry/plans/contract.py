@@ -267,11 +267,14 @@ def _call_edges(spark, sf_dir) -> DataFrame:
     return items.select(name("s", "l_suppkey").alias("source"), name("p", "l_partkey").alias("target"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.lit("CALLS").alias("relationship"), F.lit("resolved").alias("resolution"))
 
 
-def _chain_edges(spark, sf_dir) -> DataFrame:
-    items, orders = table(spark, sf_dir, "lineitem").where("l_partkey <= 60"), table(spark, sf_dir, "orders")
+def _chain_edges(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """Edges of the chain: of all rows, or those of the parts and lines that _CHAIN takes."""
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    lines = items if whole else items.where("l_partkey <= 60 AND l_linenumber = 1")
+    items = items if whole else items.where("l_partkey <= 60")
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     one = items.select(name("s", "l_suppkey").alias("source"), name("p", "l_partkey").alias("target"))
-    two = items.where("l_linenumber = 1").select(name("p", "l_partkey").alias("source"), name("o", "l_orderkey").alias("target"))
+    two = lines.select(name("p", "l_partkey").alias("source"), name("o", "l_orderkey").alias("target"))
     three = orders.select(name("o", "o_orderkey").alias("source"), name("c", "o_custkey").alias("target"))
     return one.union(two).union(three).distinct()
 
@@ -300,6 +303,12 @@ def impact_bfs_3(spark, sf_dir):
     return graph.reach(_chain_edges(spark, sf_dir), seeds, 3).select("id", "depth")
 
 
+@query("impact_bfs_3_whole")
+def impact_bfs_3_whole(spark, sf_dir):
+    seeds = spark.createDataFrame([("c1",), ("c2",), ("c4",), ("c5",)], "id string")
+    return graph.reach(_chain_edges(spark, sf_dir, whole=True), seeds, 3).select("id", "depth")
+
+
 @query(
     "affected_closure",
     _CHAIN + """, walk AS (SELECT 'c7' AS id UNION SELECT e.source FROM walk w JOIN edges e ON e.target = w.id) SELECT id FROM walk""",
@@ -308,6 +317,11 @@ def affected_closure(spark, sf_dir):
     return graph.closure(_chain_edges(spark, sf_dir), spark.createDataFrame([("c7",)], "id string"))
 
 
+@query("affected_closure_whole")
+def affected_closure_whole(spark, sf_dir):
+    return graph.closure(_chain_edges(spark, sf_dir, whole=True), spark.createDataFrame([("c7",)], "id string"))
+
+
 _RING = """
 WITH RECURSIVE edges AS (
   SELECT (n_nationkey * 10 + k)::BIGINT AS id, n_nationkey::BIGINT AS source, ((n_nationkey * (k + 1) + k) % 25)::BIGINT AS target FROM nation, unnest([1, 2, 3]) AS u(k))"""
@@ -546,6 +560,13 @@ def evidence_quarantine(spark, sf_dir):
     return evidence.quarantined(links, bad).select("claim").distinct()
 
 
+@query("evidence_quarantine_whole")
+def evidence_quarantine_whole(spark, sf_dir):
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("claim"), F.col("l_orderkey").alias("evidence"))
+    bad = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("evidence"))
+    return evidence.quarantined(links, bad).select("claim").distinct()
+
+
 @query("claim_classes", """
 SELECT event_id, CASE WHEN event_type IN ('error') THEN 'unresolved_assertion' WHEN event_type = 'signup' THEN 'hypothetical_consequence' WHEN event_type = 'purchase' THEN 'derived_analysis'
   WHEN user_id % 2 = 0 THEN 'verified_graph_relationship' ELSE 'verified_source_observation' END AS claim_class FROM events""")
@@ -569,6 +590,12 @@ def dependency_summary(spark, sf_dir):
     return rules.dependency_summary(edges, spark.createDataFrame([("p7",)], "id string")).select("category", "source", "target")
 
 
+@query("dependency_summary_whole")
+def dependency_summary_whole(spark, sf_dir):
+    edges = _chain_edges(spark, sf_dir, whole=True).withColumns({"relationship": F.lit("CALLS"), "resolution": F.lit("resolved")})
+    return rules.dependency_summary(edges, spark.createDataFrame([("p7",)], "id string")).select("category", "source", "target")
+
+
 @query("change_impact", _CHAIN + """, walk AS (
   SELECT source AS id, 1 AS depth FROM edges WHERE target = 'c4' UNION SELECT e.source, w.depth + 1 FROM walk w JOIN edges e ON e.target = w.id WHERE w.depth < 3)
 SELECT CASE WHEN d = 1 THEN 'direct_impact' ELSE 'possible_impact' END AS category, id, d::INTEGER AS depth FROM (SELECT id, min(depth) AS d FROM walk GROUP BY id)""")
@@ -577,6 +604,12 @@ def change_impact(spark, sf_dir):
     return rules.change_impact(edges, spark.createDataFrame([("c4",)], "id string"), 3)
 
 
+@query("change_impact_whole")
+def change_impact_whole(spark, sf_dir):
+    edges = _chain_edges(spark, sf_dir, whole=True).withColumns({"relationship": F.lit("CALLS"), "resolution": F.lit("resolved")})
+    return rules.change_impact(edges, spark.createDataFrame([("c4",)], "id string"), 3)
+
+
 # ── understanding, documentation, streams ─────────────────────────────────────────────────────────────────────────
 
 

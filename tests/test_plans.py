@@ -155,3 +155,30 @@ def test_bursts_in_a_stream_equal_those_of_a_batch(spark, tmp_path):
 
 def test_every_sql_has_its_query():
     assert set(contract.ORACLES) <= set(contract.QUERIES)
+
+
+def test_whole_lineitem_queries_equal_brute_force(spark, tmp_path):
+    items = [(1, 900, 3, 1), (1, 7, 4, 2), (2, 901, 4, 3), (3, 7, 5, 2), (4, 61, 6, 1), (5, 21, 3, 4)]
+    orders = [(1, 1, "O"), (2, 7, "F"), (3, 4, "O"), (4, 4, "O"), (5, 9, "O")]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    edges = {(f"s{s}", f"p{p}") for _, p, s, _ in items} | {(f"p{p}", f"o{o}") for o, p, _, _ in items} | {(f"o{o}", f"c{c}") for o, c, _ in orders}
+
+    def walk(seeds, most):
+        seen, hop = dict.fromkeys(seeds, 0), 0
+        while hop < most and (new := {a for a, b in edges if b in seen} - set(seen)):
+            hop += 1
+            seen |= dict.fromkeys(new, hop)
+        return {k: d for k, d in seen.items() if d}
+
+    def rows(name):
+        return sorted(map(tuple, contract.QUERIES[name](spark, str(tmp_path)).collect()))
+
+    assert rows("impact_bfs_3_whole") == sorted(walk(["c1", "c2", "c4", "c5"], 3).items())
+    assert rows("affected_closure_whole") == sorted((k,) for k in {"c7", *walk(["c7"], 99)})
+    want = [("incoming", a, b) for a, b in edges if b == "p7"] + [("outgoing", a, b) for a, b in edges if a == "p7"]
+    assert rows("dependency_summary_whole") == sorted(want)
+    assert rows("change_impact_whole") == sorted(("direct_impact" if d == 1 else "possible_impact", k, d) for k, d in walk(["c4"], 3).items())
+    bad = {o for o, _, status in orders if status == "F"}
+    tainted = {s for o, _, s, _ in items if o in bad}
+    assert rows("evidence_quarantine_whole") == sorted((s,) for s in {s for _, _, s, _ in items} - tainted)
