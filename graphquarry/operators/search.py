@@ -66,13 +66,14 @@ def top(rows: DataFrame, k: int, *order) -> DataFrame:
     return rows.orderBy(*order).limit(k)
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, least: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Exact cosine ranking. The filter stands before the ranking, so it never hides hits."""
+def nearest(vectors: DataFrame, query: list[float], k: int | None, where: Column | None = None, least: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Exact cosine ranking. The filter stands before the ranking, so it never hides hits. Without `k` all hits, in no order."""
     rows = vectors if where is None else vectors.where(where)
     rows = rows.withColumn("score", V.cosine(F.col(vector_col), F.array(*(F.lit(float(x)) for x in query))))
     if least is not None:
         rows = rows.where(F.col("score") >= least)
-    return top(rows.drop(vector_col), k, F.desc("score"), F.asc(id_col))
+    rows = rows.drop(vector_col)
+    return rows if k is None else top(rows, k, F.desc("score"), F.asc(id_col))
 
 
 def fused(channels: dict[str, DataFrame], key: list[str], k: int = RRF_K, most: int = MOST_CANDIDATES) -> DataFrame:

@@ -102,7 +102,7 @@ def vec_filtered_topk(spark, sf_dir):
 
 @query("vec_threshold", _COS + " SELECT vec_id, label, score FROM s WHERE score >= 0.5")
 def vec_threshold(spark, sf_dir):
-    return search.nearest(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 1_000_000, least=0.5).withColumn("score", F.round("score", 6))
+    return search.nearest(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), None, least=0.5).withColumn("score", F.round("score", 6))
 
 
 @query("vec_valid", "SELECT label, count(*) AS n, round(sum(abs(n2 - 1)) , 6) AS off FROM (SELECT label, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n2 FROM embeddings WHERE len(embedding) = 64) GROUP BY label")

@@ -182,3 +182,9 @@ def test_whole_lineitem_queries_equal_brute_force(spark, tmp_path):
     bad = {o for o, _, status in orders if status == "F"}
     tainted = {s for o, _, s, _ in items if o in bad}
     assert rows("evidence_quarantine_whole") == sorted((s,) for s in {s for _, _, s, _ in items} - tainted)
+
+
+def test_threshold_has_no_limit(spark, tmp_path, monkeypatch):
+    rows = spark.range(1_000_002).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
+    monkeypatch.setattr(contract, "table", lambda *a: rows)
+    assert contract.vec_threshold(spark, str(tmp_path)).count() == 1_000_002
