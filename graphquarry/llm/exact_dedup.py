@@ -118,7 +118,15 @@ def regroup(docs: DataFrame, result: DataFrame, odd: DataFrame, id_col: str, tex
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with their own columns. Documents without an id all stay, as nothing tells them apart."""
-    verdict = exact_dedup(docs, id_col, text_col).where(F.col("kept") & F.col("doc_id").isNotNull())
-    ids = materialise(verdict.select(F.col("doc_id").alias(id_col)).distinct(), "dedup-kept")
-    return docs.join(if_small(ids), id_col, "left_semi").select(*docs.columns)
+    """The documents that stay, with their own columns. Documents without an id all stay, as nothing tells them apart. Of an
+    id with several texts the rows of those texts stay that are kept."""
+    verdict = exact_dedup(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
+    gone = F.collect_set(F.when(~F.col("kept"), F.col("text_sha256")))  # one for each text of an id
+    of_id = verdict.groupBy(F.col("doc_id").alias(id_col)).agg(F.bool_or("kept").alias("some"), gone.alias("gone")).where(F.size("gone") > 0)
+    of_id = materialise(of_id, "dedup-gone")
+    left = docs.join(if_small(of_id.where("NOT some").select(id_col)), id_col, "left_anti").select(*docs.columns)
+    parts = of_id.where("some").select(F.col(id_col).alias("of"), F.explode("gone").alias("sha"))  # ids with several texts
+    if parts.isEmpty():
+        return left
+    same = (left[id_col] == F.col("of")) & (F.sha2(normalise(left[text_col]), 256) == F.col("sha"))
+    return left.join(if_small(parts), same, "left_anti").select(*docs.columns)

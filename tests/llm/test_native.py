@@ -85,6 +85,13 @@ def test_repeated_rows_are_one_document(spark):
     assert out[9] == (9, 2, True) and out[1] == (1, 2, True) and out[None] == (1, 2, False)
 
 
+def test_survivors_keep_rows_without_id_and_each_text_of_an_id(spark):
+    rows = [(1, "a b", "x", "x"), (2, "a  b", "x", "x"), (2, "c", "x", "x"), (3, "c", "x", "x"), (None, "a b", "x", "x"), (None, "only here", "x", "x"), (None, None, "x", "x"), (4, None, "x", "x")]
+    out = exact_dedup.survivors(frame(spark, rows)).select("doc_id", "text").collect()
+    want = [(1, "a b"), (2, "c"), (4, None), (None, "a b"), (None, None), (None, "only here")]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
 def test_directory_doubles_until_buckets_fit():
     counts = {s: 10 if s % 4 == 1 else 1 for s in range(16)}
     top, slots = exact_dedup.split_directory(counts, 4, 12)
