@@ -10,7 +10,7 @@ above what the language's own texts reach, by a bound calibrated on part of the
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -18,7 +18,7 @@ from .shingles import mix
 
 ORDER = 4
 EDGE, BLANK = 1, 2
-#: At most so many documents of each language are learned from, and so many n-grams of each order are kept.
+#: At most so many documents of each language are learned from, and so many 4-grams of each language are kept.
 SAMPLE_DOCS, MAX_GRAMS = 1_000, 500_000
 UNKNOWN = "und"
 #: Characters worked on at once.
@@ -187,6 +187,12 @@ def counted(rows: DataFrame) -> DataFrame:
     return table.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(table: DataFrame, max_grams: int) -> DataFrame:
+    """The `max_grams` n-grams of each language that occur most."""
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
+    return table.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max_grams).drop("place")
+
+
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, max_grams: int = MAX_GRAMS) -> Model | None:
     """Learn from at most about `sample_docs` documents of each language (the stated bound), chosen by a hash of the id.
 
@@ -201,9 +207,9 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     share = F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, sample_docs / v) * (1 << 30))))))
     chosen = known.where(F.col("u") < F.element_at(share, F.col("lang")))
     left_out = F.pmod(F.col("u"), F.lit(5)) == 4
-    table = counted(chosen.where(~left_out)).orderBy(F.desc("n"), "lang", "code").limit(max_grams * len(sizes)).toPandas()
+    table = most_frequent(counted(chosen.where(~left_out)), max_grams).toPandas()
     if not len(table):
-        table = counted(chosen).orderBy(F.desc("n"), "lang", "code").limit(max_grams * len(sizes)).toPandas()
+        table = most_frequent(counted(chosen), max_grams).toPandas()
     if not len(table):
         return None
     counts = {}

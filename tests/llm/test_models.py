@@ -42,6 +42,14 @@ def test_windows_do_not_change_entropies(monkeypatch):
     assert np.allclose(whole, parts, atol=0.2) and abs(n_whole - n_parts).max() < 10
 
 
+def test_a_small_language_keeps_its_own_ngrams(spark):
+    rows = [(k, "the cat and the dog of the house with many other words in it", "en", "a") for k in range(60)] + [(100 + k, "der hund und die katze", "de", "a") for k in range(3)]
+    model = language_id.fit(frame(spark, rows), max_grams=20)
+    assert model.languages == ["de", "en"]
+    df = frame(spark, [(1, "the cat and the dog", "x", "a"), (2, "der hund und die katze", "x", "a")])
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, model).collect()} == {1: "en", 2: "de"}
+
+
 def test_language_edge_cases(spark):
     rows = [(k, "the cat and the dog of the house", "en", "a") for k in range(30)] + [(100 + k, "der hund und die katze im haus", "de", "a") for k in range(30)]
     model = language_id.fit(frame(spark, [*rows, (900, None, "en", "a"), (901, "x", None, "a")]))
