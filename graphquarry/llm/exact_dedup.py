@@ -1,4 +1,4 @@
-"""Exact duplicate detection with an extendible-hash index on shared files. DataFrame operations only.
+"""Exact duplicate detection; an extendible-hash index lays out its shared files. DataFrame operations only.
 
 Texts are equal when they are identical after each run of white space became one blank.
 
@@ -7,9 +7,9 @@ Texts are equal when they are identical after each run of white space became one
 2. The directory of the index is doubled until no bucket holds more than `capacity` keys (or the directory has
    `2 ** max_depth` slots, the stated bound of what is broadcast). Buckets that are not overfull keep a smaller local
    depth, so several slots of the directory point at them.
-3. Owner tasks receive whole buckets, write the index file of their key range, and chain the distinct contents that
-   share a key. A hot text is one entry of a chain, as copies are aggregated before they are moved.
-4. Chains with more than one document are verified byte by byte against the text of the entry's first document.
+3. Copies are aggregated by key, digest and length, so a hot text is one entry. Tasks receive the entries of whole buckets
+   and write them as files; documents find their entry by a join on the same columns. The index is only the layout.
+4. Entries with more than one document are verified byte by byte against the text of the entry's first document.
    Contents that differ although key, digest and length agree are grouped by their bytes.
 """
 
