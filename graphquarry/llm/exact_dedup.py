@@ -1,39 +1,47 @@
-"""Exact duplicate detection; an extendible-hash index lays out its shared files. DataFrame operations only.
+"""Exact duplicate detection by an extendible-hash index on shared files. DataFrame operations only.
 
 Texts are equal when they are identical after each run of white space became one blank.
 
-1. Every document becomes a fingerprint row: a 64-bit key of the normalised text, its SHA-256 and its length.
-   Rows that repeat both doc_id and text are one document here and count only in `n_rows`.
-2. The directory of the index is doubled until no bucket holds more than `capacity` keys (or the directory has
-   `2 ** max_depth` slots, the stated bound of what is broadcast). Buckets that are not overfull keep a smaller local
-   depth, so several slots of the directory point at them.
-3. Copies are aggregated by key, digest and length, so a hot text is one entry. Tasks receive the entries of whole buckets
-   and write them as files; documents find their entry by a join on the same columns. The index is only the layout.
-4. Entries with more than one document are verified byte by byte against the text of the entry's first document.
-   Contents that differ although key, digest and length agree are grouped by their bytes.
+1. Every row becomes a fingerprint: a 64-bit key of the normalised text, its SHA-256 and its length.
+2. The directory is doubled until no bucket holds more than `capacity` distinct keys. Buckets that are not overfull keep a
+   smaller local depth, so several slots of the directory point at them. It is looked up for every fingerprint.
+3. Each bucket has an owner: the directory deals the fingerprints to the owners' tasks. An owner sorts its keys, chains the
+   fingerprints of one text, finds the row that stays, and writes the chains to the index files.
+4. A key that more than `hot` rows have isn't dealt to an owner: its rows are aggregated where they are, and the few
+   entries of such keys are looked up by broadcast (there are at most HOT_KEYS of them, by the choice of `hot`).
+5. Chains are compared byte by byte with their first text. A long chain is salted: each salt has the first text once.
+   Contents that differ although key, digest and length agree are chained by their bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, if_small, materialise, text_or_empty
+from .common import SPACE_CLASS, if_small, materialise, shuffle_partitions, text_or_empty
 
-ENTRY = ("key", "text_sha256", "n_bytes")
+ENTRY = ["key", "text_sha256", "n_bytes"]
+#: Distinct keys of a bucket; with fewer keys buckets are smaller, so that each task owns several of them.
+CAPACITY, BUCKETS_PER_TASK, MOST_BUCKETS = 200_000, 16, 50_000
+#: A key is hot if more rows have it than LEAST_HOT and than a HOT_KEYS-th of all rows; so at most HOT_KEYS keys are.
+LEAST_HOT, HOT_KEYS = 10_000, 50_000
+#: Copies that are compared with one repetition of their first text.
+SALTED = 256
 
 
 def normalise(text: Column) -> Column:
     return F.regexp_replace(text_or_empty(text), SPACE_CLASS, " ")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None, key=None) -> DataFrame:
-    """doc_id, key, text_sha256, n_bytes, n_rows; one row for each distinct pair of id and fingerprint."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None, key=None, with_text: bool = False) -> DataFrame:
+    """doc_id, key, text_sha256, n_bytes of each row, and norm if wanted."""
     digest = digest or (lambda text: F.sha2(text, 256))
     key = key or (lambda text: F.xxhash64(text))
     norm = docs.select(F.col(id_col).alias("doc_id"), normalise(F.col(text_col)).alias("norm"))
-    rows = norm.select("doc_id", key(F.col("norm")).alias("key"), digest(F.col("norm")).alias("text_sha256"), F.octet_length("norm").alias("n_bytes"))
-    return rows.groupBy("doc_id", *ENTRY).agg(F.count(F.lit(1)).alias("n_rows"))
+    more = ["norm"] if with_text else []
+    return norm.select("doc_id", key(F.col("norm")).alias("key"), digest(F.col("norm")).alias("text_sha256"), F.octet_length("norm").alias("n_bytes"), *more)
 
 
 def split_directory(counts: dict[int, int], max_depth: int, capacity: int) -> tuple[int, list[tuple[int, int]]]:
@@ -61,60 +69,77 @@ def split_directory(counts: dict[int, int], max_depth: int, capacity: int) -> tu
     return top, slots
 
 
-def build_directory(prints: DataFrame, capacity: int, max_depth: int) -> tuple[int, list[tuple[int, int]]]:
-    """At most 2 ** max_depth counts reach the driver."""
-    slot = F.col("key").bitwiseAND(F.lit((1 << max_depth) - 1))
-    rows = prints.groupBy(slot.alias("slot")).agg(F.approx_count_distinct("key").alias("n")).collect()
-    return split_directory({r["slot"]: r["n"] for r in rows}, max_depth, capacity)
+def build_directory(keys: DataFrame, capacity: int) -> tuple[int, list[tuple[int, int]]]:
+    """The directory over distinct keys. A count for each slot reaches the driver: some times the number of buckets."""
+    depth = max(1, math.ceil(math.log2(max(1, keys.count()) / capacity + 1)) + 3)
+    while True:
+        slot = F.col("key").bitwiseAND(F.lit((1 << depth) - 1))
+        counts = {r["slot"]: r["n"] for r in keys.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if depth >= 40 or max(counts.values(), default=0) <= capacity:
+            return split_directory(counts, depth, capacity)
+        depth += 4
+
+
+def capacity_for(n_keys: int, n_tasks: int) -> int:
+    wanted = min(max(n_keys // CAPACITY, BUCKETS_PER_TASK * n_tasks), MOST_BUCKETS)
+    return max(1, -(-n_keys // wanted))
+
+
+def build_index(prints: DataFrame, keys: DataFrame, capacity: int | None = None) -> DataFrame:
+    """The index, as files in the shared folder, a row for each fingerprint: bucket, local_depth, doc_id, key, text_sha256,
+    n_bytes, keep_id, group_size. `prints` holds no hot key."""
+    spark, n = prints.sparkSession, shuffle_partitions(prints.sparkSession)
+    top, slots = build_directory(keys, capacity or capacity_for(keys.count(), n))
+    directory = spark.createDataFrame([(i, b, d) for i, (b, d) in enumerate(slots)], "slot long, bucket long, local_depth int")
+    slot = F.col("key").bitwiseAND(F.lit((1 << top) - 1))
+    dealt = prints.withColumn("slot", slot).join(F.broadcast(directory), "slot").drop("slot")  # a small multiple of MOST_BUCKETS at most
+    chain = Window.partitionBy("bucket", *ENTRY)  # an owner's task has whole buckets, so this moves nothing
+    owned = dealt.repartition(n, "bucket").withColumns({"keep_id": F.min("doc_id").over(chain), "group_size": F.count(F.lit(1)).over(chain)})
+    return materialise(owned, "dedup-index")
 
 
-def build_index(prints: DataFrame, capacity: int = 200_000, max_depth: int = 12) -> DataFrame:
-    """The index, as files in the shared folder: bucket, local_depth, key, text_sha256, n_bytes, keep_id, group_size."""
-    top, slots = build_directory(prints, capacity, max_depth)
-    directory = prints.sparkSession.createDataFrame([(i, b, d) for i, (b, d) in enumerate(slots)], "slot long, bucket long, local_depth int")
-    entries = prints.groupBy(*ENTRY).agg(F.min("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
-    entries = entries.withColumn("slot", F.col("key").bitwiseAND(F.lit((1 << top) - 1)))
-    owned = entries.join(F.broadcast(directory), "slot").drop("slot")  # at most 2 ** max_depth rows
-    return materialise(owned.repartition("bucket").sortWithinPartitions("bucket", *ENTRY), "dedup-index")
+def attached(rows: DataFrame, chains: DataFrame) -> DataFrame:
+    """The rows of chained texts, with their chain. Hot ones are looked up by broadcast, whatever the number of others."""
+    if chains.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        return rows.join(F.broadcast(chains), ENTRY)
+    hot = F.broadcast(chains.where("hot"))
+    return rows.join(hot, ENTRY).unionByName(rows.join(hot, ENTRY, "left_anti").join(chains.where("NOT hot"), ENTRY))
 
 
-def differing(docs: DataFrame, prints: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Entries (key, digest, length) of which some document's bytes differ from the first document's."""
-    chained = index.where("group_size > 1").select(*ENTRY, "keep_id")
-    members = materialise(prints.join(chained, list(ENTRY)).select("doc_id", *ENTRY, "keep_id"), "dedup-members")
-    some = if_small(members.select("doc_id").distinct())  # so that other texts aren't moved
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw")).join(some, "doc_id", "left_semi").join(members, "doc_id")
-    texts = texts.withColumn("norm", normalise(F.col("raw"))).drop("raw")
-    first = texts.where(F.col("doc_id") == F.col("keep_id")).dropDuplicates(list(ENTRY)).select(*ENTRY, F.col("norm").alias("first"))
-    return texts.select(*ENTRY, "norm").join(first, list(ENTRY)).where("norm != first").select(*ENTRY).distinct()
+def differing(rows: DataFrame, chains: DataFrame) -> DataFrame:
+    """Entries (key, digest, length) of which some row's bytes differ from the chain's first text. `rows` have norm."""
+    members = attached(rows, chains.withColumn("salts", F.ceil(F.col("group_size") / SALTED).cast("int")))
+    first = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(ENTRY)
+    first = first.select(*ENTRY, F.col("norm").alias("first"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = members.select(*ENTRY, "norm", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "salts").cast("int").alias("salt"))
+    return salted.join(first, [*ENTRY, "salt"]).where("norm != first").select(*ENTRY).distinct()
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 200_000, max_depth: int = 12, digest=None, key=None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, least_hot: int = LEAST_HOT, digest=None, key=None) -> DataFrame:
     """Groups of equal texts: doc_id, keep_id (the smallest id of the group), group_size (rows), kept, text_sha256.
 
-    One row per document; rows that repeat id and text give one row and count in group_size. A null text counts as the
-    empty text. A null id sorts after every other id: such a row stays only if its whole group has no id. An empty table
-    gives an empty result. Other columns of the table are ignored.
+    One row per row of the table; rows that repeat id and text are members each, and share their verdict, and an id may have
+    several texts. A null text counts as the empty text. A null id sorts after every other id: such a row stays only if its
+    whole group has no id. An empty table gives an empty result. Other columns of the table are ignored.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, digest, key), "dedup-prints")
-    index = build_index(prints, capacity, max_depth)
-    result = prints.join(index.select(*ENTRY, "keep_id", "group_size"), list(ENTRY))
-    result = result.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *(c for c in ENTRY if c != "text_sha256"))
-    odd = differing(docs, prints, index, id_col, text_col)
+    keys = materialise(prints.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "dedup-keys")
+    hot = max(least_hot, (keys.agg(F.sum("n").alias("n")).first()["n"] or 0) // HOT_KEYS)
+    hot_keys = F.broadcast(keys.where(F.col("n") > hot).select("key"))  # at most HOT_KEYS rows
+    index = build_index(prints.join(hot_keys, "key", "left_anti"), keys.where(F.col("n") <= hot), capacity)
+    hot_rows = prints.join(hot_keys, "key", "left_semi")
+    hot_entries = materialise(hot_rows.groupBy(*ENTRY).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-hot")
+    shape = ["doc_id", *ENTRY, "keep_id", "group_size"]
+    result = index.select(shape).unionByName(hot_rows.join(F.broadcast(hot_entries), ENTRY).select(shape))
+    chains = index.where("group_size > 1").groupBy(*ENTRY).agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
+    chains = materialise(chains.withColumn("hot", F.lit(False)).unionByName(hot_entries.where("group_size > 1").withColumn("hot", F.lit(True))), "dedup-chains")
+    rows = fingerprints(docs, id_col, text_col, digest, key, with_text=True)
+    odd = materialise(differing(rows, chains), "dedup-odd")
     if not odd.isEmpty():
-        result = regroup(docs, result, odd, id_col, text_col)
-    return result.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-
-
-def regroup(docs: DataFrame, result: DataFrame, odd: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Split the entries of which the bytes differ by the bytes themselves."""
-    odd = materialise(odd, "dedup-odd")
-    inside = result.join(odd, list(ENTRY), "left_semi").select("doc_id", *ENTRY)
-    texts = docs.select(F.col(id_col).alias("doc_id"), normalise(F.col(text_col)).alias("norm")).join(inside, "doc_id")
-    groups = texts.groupBy(*ENTRY, "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    split = texts.dropDuplicates(["doc_id", *ENTRY, "norm"]).join(groups, [*ENTRY, "norm"])
-    split = split.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "key", "n_bytes")
-    return result.join(odd, list(ENTRY), "left_anti").unionByName(split)
+        same = Window.partitionBy(*ENTRY, "norm")
+        split = rows.join(if_small(odd), ENTRY, "left_semi").withColumns({"keep_id": F.min("doc_id").over(same), "group_size": F.count(F.lit(1)).over(same)})
+        result = result.join(if_small(odd), ENTRY, "left_anti").unionByName(split.select(shape))
+    return result.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
