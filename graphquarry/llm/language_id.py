@@ -10,7 +10,7 @@ above what the language's own texts reach, by a bound calibrated on part of the
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -18,8 +18,8 @@ from .shingles import mix
 
 ORDER = 4
 EDGE, BLANK = 1, 2
-#: At most so many documents of each language are learned from, and so many 4-grams of each language are kept.
-SAMPLE_DOCS, MAX_GRAMS = 1_000, 500_000
+#: At most about so many documents of each language are learned from; the model holds every n-gram of them.
+SAMPLE_DOCS = 1_000
 UNKNOWN = "und"
 #: Characters worked on at once.
 WINDOW = 1 << 20
@@ -58,7 +58,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(texts: list[str]):
-    """Slices of texts that hold about WINDOW characters each; a long text is cut, and its parts overlap by the context."""
+    """Slices of texts that hold about WINDOW characters each; a long text is cut, and each
+    part begins with edges as a text does: of every WINDOW characters three are predicted from a shorter context."""
     part, owner, size = [], [], 0
     for k, t in enumerate(texts):
         for at in range(0, max(1, len(t)), WINDOW):
@@ -187,13 +188,7 @@ def counted(rows: DataFrame) -> DataFrame:
     return table.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(table: DataFrame, max_grams: int) -> DataFrame:
-    """The `max_grams` n-grams of each language that occur most."""
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    return table.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max_grams).drop("place")
-
-
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, max_grams: int = MAX_GRAMS) -> Model | None:
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Learn from at most about `sample_docs` documents of each language (the stated bound), chosen by a hash of the id.
 
     Rows without text or language are left out. One document in five of the sample only calibrates the bounds. None if
@@ -207,17 +202,17 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     share = F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, sample_docs / v) * (1 << 30))))))
     chosen = known.where(F.col("u") < F.element_at(share, F.col("lang")))
     left_out = F.pmod(F.col("u"), F.lit(5)) == 4
-    table = most_frequent(counted(chosen.where(~left_out)), max_grams).toPandas()
-    if not len(table):
-        table = most_frequent(counted(chosen), max_grams).toPandas()
-    if not len(table):
+    table = counted(chosen.where(~left_out)).toArrow()  # the distinct 4-grams of the bounded sample
+    table = table if table.num_rows else counted(chosen).toArrow()
+    if not table.num_rows:
         return None
-    counts = {}
-    for lang, own in table.groupby("lang"):
-        code, n = own["code"].to_numpy().view(np.uint64), own["n"].to_numpy()
-        order = np.argsort(code)
-        counts[lang] = (code[order], n[order])
-    model = Model(counts)
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    owner = lang.indices.to_numpy()
+    code, n = table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.lexsort((code, owner))
+    edges = np.searchsorted(owner[order], np.arange(len(lang.dictionary) + 1))
+    parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    model = Model({x: (code[part], n[part]) for x, part in zip(lang.dictionary.to_pylist(), parts, strict=True)})
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def own_entropy(batches):
@@ -239,11 +234,15 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
     """The columns of `keep`, lang_pred, score (0 to 1) and confident (the cross-entropy is within the calibrated bound).
 
-    One row per row of the table. A text that is null or has no letter is `und` with score 0; without a model all are.
-    An empty table gives an empty result.
+    One row per row of the table, repeated rows and null ids included. A text that is null or has no letter is `und` with
+    score 0; without a model all are. An empty table gives an empty result. Columns of `keep` have other names than those
+    that are added.
     """
+    added = {"lang_pred", "score", "confident"} & set(keep)
+    if added:
+        raise ValueError(f"columns that are added here: {', '.join(sorted(added))}")
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_grams and the number of languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by sample_docs and the number of languages
 
     def predict(batches):
         import pyarrow as pa
@@ -257,6 +256,6 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep=
             own = {f: batch.column(k) for k, f in enumerate(batch.schema.names[:-1])}
             yield pa.record_batch(own | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "confident": pa.array(within)})
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = docs.select(*keep, F.col(text_col).alias("".join(keep) + "_text"))  # a name that none of them has
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(predict, f"{shape}, lang_pred string, score double, confident boolean")
