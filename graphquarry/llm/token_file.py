@@ -30,6 +30,8 @@ LEVELS = (12, 4, 16)
 RANK_STEP = 512
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
+#: Ids that are read at once, and readers that share the places wanted from one block.
+SLICE_TOKENS, READERS = 1 << 16, 8
 #: Texts of these characters split alike in both tokenizer libraries; others go to the slower one, which is the measure.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧€]")
 
@@ -121,7 +123,7 @@ class Block:
             out[mine] |= unpack_at(chunk, bits, at) << np.uint32(shift)
             more = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             mine, at = mine[more], at[more]
-            at = np.array([int(ranks[p // RANK_STEP]) + _ones(bitmap, p // RANK_STEP * RANK_STEP, p) for p in at], np.int64)
+            at = ranked(bitmap, ranks, at)
             shift += bits
         return out
 
@@ -140,8 +142,19 @@ class Block:
         return self.get(np.arange(self.starts[k], self.starts[k + 1]))
 
 
-def _ones(bitmap: np.ndarray, first: int, last: int) -> int:
-    return int(np.unpackbits(bitmap[first >> 3 : (last + 7) >> 3], bitorder="little")[: last - first].sum())
+ONES = np.array([bin(b).count("1") for b in range(256)], np.int64)
+
+
+def ranked(bitmap: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ones of a bitmap before each place: the directory's, and those of the place's own run before it."""
+    size = RANK_STEP // 8
+    runs, own = np.unique(at // RANK_STEP, return_inverse=True)
+    places = runs[:, None] * size + np.arange(size)
+    counts = np.where(places < len(bitmap), ONES[bitmap[np.minimum(places, len(bitmap) - 1)]], 0).astype(np.int64)
+    before = np.cumsum(counts, 1) - counts
+    byte = at >> 3
+    inside = ONES[bitmap[byte] & ((1 << (at & 7)) - 1)]
+    return ranks[runs][own].astype(np.int64) + before[own, byte % size] + inside
 
 
 class ByteEncoder:
@@ -226,25 +239,59 @@ def directory(file: DataFrame) -> DataFrame:
     return parts.select("part", before.alias("base"))
 
 
-def read_documents(file: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, from the file alone."""
+def slices(edges: np.ndarray, most: int):
+    """Runs of documents that hold about `most` ids each."""
+    k = 0
+    while k < len(edges) - 1:
+        stop = max(k + 1, int(np.searchsorted(edges, edges[k] + most, "right")) - 1)
+        yield k, stop
+        k = stop
+
+
+def read_documents(file: DataFrame, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, from the file alone. Ids are read by their addresses, some documents at a time."""
 
     def digests(batches):
         import pyarrow as pa
 
         for batch in batches:
             for start, payload in zip(batch.column(0), batch.column(1), strict=True):
-                block = Block(payload.as_py())
-                raw, first = memoryview(block.all().astype("<u4").tobytes()), start.as_py()
+                block, first = Block(payload.as_py()), start.as_py()
                 edges = block.starts
-                yield pa.record_batch(
-                    {
-                        "doc_id": pa.array(block.doc_ids, pa.int64()),
-                        "start": pa.array(edges[:-1] + first, pa.int64()),
-                        "n_tokens": pa.array(block.lengths, pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.int64()),
-                    }
-                )
+                for k, stop in slices(edges, slice_tokens):
+                    raw = memoryview(block.get(np.arange(edges[k], edges[stop])).astype("<u4").tobytes())
+                    own = edges[k : stop + 1] - edges[k]
+                    yield pa.record_batch(
+                        {
+                            "doc_id": pa.array(block.doc_ids[k:stop], pa.int64()),
+                            "start": pa.array(edges[k:stop] + first, pa.int64()),
+                            "n_tokens": pa.array(block.lengths[k:stop], pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(own[:-1], own[1:], strict=True)], pa.int64()),
+                        }
+                    )
 
     rows = file.select("part", "before", "payload").join(F.broadcast(directory(file)), "part")
     return rows.select((F.col("base") + F.col("before")).alias("start"), "payload").mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_at(file: DataFrame, wanted: DataFrame, position_col: str = "position") -> DataFrame:
+    """position, id of single tokens anywhere in the file. Only the blocks that hold a wanted place are read, and in them only
+    what its address needs. Places before 0 or after the end, and null, give no row; a place asked for twice gives two."""
+    blocks = file.select("part", "before", "n_tokens", "payload").join(F.broadcast(directory(file)), "part").withColumn("begin", F.col("base") + F.col("before"))
+    cell = lambda c: F.floor(c / BLOCK_TOKENS)
+    blocks = blocks.where("n_tokens > 0").withColumn("cell", F.explode(F.sequence(cell(F.col("begin")), cell(F.col("begin") + F.col("n_tokens") - 1))))
+    asked = wanted.select(F.col(position_col).cast("long").alias("position")).withColumn("cell", cell(F.col("position")))
+    inside = (F.col("position") >= F.col("begin")) & (F.col("position") < F.col("begin") + F.col("n_tokens"))
+    places = blocks.select("part", "before", "begin", "n_tokens", "cell").join(asked, "cell").where(inside)
+    places = places.groupBy("part", "before", "begin", F.floor(F.rand(1) * READERS).alias("reader")).agg(F.collect_list("position").alias("positions"))
+    found = places.join(file.select("part", "before", "payload"), ["part", "before"])
+
+    def tokens(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for begin, positions, payload in zip(*(batch.column(k) for k in range(3)), strict=True):
+                at = np.array(positions.as_py(), np.int64)
+                yield pa.record_batch({"position": pa.array(at), "id": pa.array(Block(payload.as_py()).get(at - begin.as_py()).astype(np.int64))})
+
+    return found.select("begin", "positions", "payload").mapInArrow(tokens, "position long, id long")
