@@ -1,20 +1,25 @@
 """Mixing sources to target weights by iterative proportional fitting. DataFrame operations only.
 
 Token weights are summed into cells of (source, language, topic). Raking scales the cells until the shares of each margin
-meet their targets; each margin has a table of factors, and a step sums the
-scaled cells by one margin (with map-side aggregation) and replaces its factors; Spark broadcasts a table of factors only
-if it is small. Each document is then kept with its cell's calibrated probability, by a
-uniform number that is a hash of its id: the same documents are kept however the job is run.
+meet their targets: a step is a window over the cells of one margin value. Cells are counted; up to MOST_CELLS they stand
+in one partition, so that a block of rounds is one task without exchanges; more cells are dealt by the margin of each step.
+Blocks of rounds go on until the largest residual is within a tolerance. Each document is then kept with its cell's
+calibrated probability, by a uniform number that is a hash of its id: the same documents are kept however the job is run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import if_small, materialise, text_or_empty
 
-ITERATIONS = 8
+#: Rounds of a block; blocks go on until the shares are within TOLERANCE of their targets, MOST_BLOCKS at most: margins that
+#: contradict one another never meet, and the residual then says so.
+ITERATIONS, TOLERANCE, MOST_BLOCKS = 8, 1e-7, 25
+#: Cells that one task rakes, and cells that are broadcast to the documents (a row of three short names and a number).
+MOST_CELLS, BROADCAST_CELLS = 1_000_000, 100_000
+SALTS = 64
 MARGINS = ("source", "lang", "topic")
 #: Exponents below 1 move the shares of a margin toward equal ones.
 TEMPERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -43,46 +48,74 @@ def cells(docs: DataFrame) -> DataFrame:
     return docs.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
 
 
-def tempered(table: DataFrame, tempers: dict[str, float]) -> dict[str, DataFrame]:
-    """For each margin its values and target shares: the present shares to a power, made to sum to one."""
-    out = {}
+def tempered(table: DataFrame, tempers: dict[str, float]) -> DataFrame:
+    """margin, value, target: the present shares of each margin to a power, made to sum to one."""
+    out = None
     for m, power in tempers.items():
-        sums = table.groupBy(m).agg(F.sum("tokens").alias("t"))
-        raised = sums.select(m, F.pow("t", F.lit(power)).alias("r"))
-        every = raised.agg(F.sum("r").alias("all")).first()["all"] or 1.0
-        out[m] = raised.select(m, (F.col("r") / F.lit(every)).alias("target"))
+        sums = table.groupBy(F.col(m).cast("string").alias("value")).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("r"))
+        rows = sums.select(F.lit(m).alias("margin"), "value", (F.col("r") / F.sum("r").over(Window.partitionBy(F.lit(1)))).alias("target"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def rake(table: DataFrame, targets: dict[str, DataFrame], iterations: int = ITERATIONS) -> DataFrame:
-    """The cells with `weight`: token weights that meet the targets of all margins. Cells whose value has no target get
-    weight 0. Targets are shares; the weights sum to the tokens that there are."""
-    total = table.agg(F.sum("tokens").alias("total")).first()["total"] or 0.0
-    targets = {m: materialise(t.withColumnRenamed(m, "value"), f"mix-target-{m}") for m, t in targets.items()}
-    factors: dict[str, DataFrame] = {}
-    for _ in range(iterations):
-        for m, target in targets.items():
-            have = scaled(table, {k: f for k, f in factors.items() if k != m}).groupBy(F.col(m).alias("_have")).agg(F.sum("weight").alias("have"))
-            found = have.join(target, have["_have"].eqNullSafe(target["value"]), "left")
-            factor = F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) * total / F.col("have")).otherwise(0.0)
-            factors[m] = materialise(found.select(F.col("_have").alias("value"), factor.alias("factor")), f"mix-factor-{m}")
-    return scaled(table, factors)
-
-
-def scaled(table: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
-    """The cells with weight: tokens times the factor of each margin."""
-    out = table.withColumn("weight", F.col("tokens"))
-    for m, f in factors.items():
-        out = out.join(f, out[m].eqNullSafe(f["value"])).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
-    return out
+def with_targets(table: DataFrame, targets: DataFrame) -> DataFrame:
+    """The cells with a column of target shares for each margin: 0 where a value has none."""
+    for m in MARGINS:
+        own = targets.where(F.col("margin") == m).select(F.col("value").alias("_value"), F.col("target").alias(f"target_{m}"))
+        table = table.join(own, F.col(m).cast("string").eqNullSafe(F.col("_value")), "left").drop("_value")
+        table = table.withColumn(f"target_{m}", F.coalesce(f"target_{m}", F.lit(0.0)))
+    return table
+
+
+def rounds(table: DataFrame, n: int) -> DataFrame:
+    """`weight` after n rounds of raking; a margin's cells without weight keep none."""
+    for _ in range(n):
+        for m in MARGINS:
+            have = F.sum("weight").over(Window.partitionBy(m))
+            table = table.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"target_{m}") * F.col("total") / have).otherwise(0.0))
+    return table
+
+
+def residual(raked: DataFrame) -> float:
+    """The largest distance of a margin value's share from its target."""
+    off = [F.abs(F.sum("weight").over(Window.partitionBy(m)) / F.col("total") - F.col(f"target_{m}")) for m in MARGINS]
+    return raked.where("total > 0").select(F.greatest(*off).alias("off")).agg(F.max("off").alias("off")).first()["off"] or 0.0
+
+
+def rake(table: DataFrame, targets: DataFrame, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, float]:
+    """The cells with `weight`, token weights that meet the targets (margin, value, target: shares) of all margins, and the
+    largest residual. Cells whose value has no target get weight 0. The weights sum to the tokens that there are."""
+    few = table.count() <= MOST_CELLS
+    table = with_targets(table, targets)
+    table = table.coalesce(1) if few else table
+    table = table.withColumn("total", F.sum("tokens").over(Window.partitionBy(F.lit(1)))).withColumn("weight", F.col("tokens"))
+    for _ in range(most_blocks):
+        table = materialise(rounds(table, iterations), "mix-raked")
+        table = table.coalesce(1) if few else table
+        off = residual(table)
+        if off <= tolerance:
+            break
+    return table.select(*MARGINS, "tokens", "weight"), off
 
 
 def probabilities(raked: DataFrame) -> DataFrame:
     """source, lang, topic, probability: in proportion to weight over tokens, the largest is 1. So the expected tokens of
     the sample have exactly the raked shares."""
     rate = raked.select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("rate"))
-    top = rate.agg(F.max("rate").alias("top")).first()["top"] or 1.0
-    return rate.select(*MARGINS, F.round(F.col("rate") / F.lit(top), PLACES).alias("probability"))
+    top = F.max("rate").over(Window.partitionBy(F.lit(1)))
+    return rate.select(*MARGINS, F.when(top > 0, F.round(F.col("rate") / top, PLACES)).otherwise(0.0).alias("probability"))
+
+
+def with_chances(rows: DataFrame, chance: DataFrame) -> DataFrame:
+    """Each row's probability by its cell. Few cells are broadcast; many are joined by a salted key, so that a cell that
+    holds a third of the rows is dealt to SALTS tasks."""
+    if chance.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+        chance, salt = F.broadcast(chance), F.lit(True)
+    else:
+        chance = chance.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(rows["doc_id"]), F.lit(SALTS)).cast("int") == chance["salt"]
+    on = [rows[m].eqNullSafe(chance[m]) for m in MARGINS]
+    return rows.join(chance, [*on, salt]).select("doc_id", *(rows[m] for m in MARGINS), "tokens", "probability")
 
 
 def uniform(id_col: Column, seed: int = 0) -> Column:
@@ -91,11 +124,14 @@ def uniform(id_col: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: Column | None = None, lang: Column | None = None, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None, iterations: int = ITERATIONS) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, probability, kept.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: Column | None = None, lang: Column | None = None, topic: Column | None = None, targets: DataFrame | None = None, tempers: dict[str, float] | None = None, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, probability, kept, residual (the largest distance of a margin's share from its target).
 
-    One row per row of the table; other columns are ignored. A null source or language is a value of its own; a null text
-    has one token. Rows that repeat an id share its fate. An empty table gives an empty result.
+    `targets` (margin, value, target) are the wanted shares; without them the present ones to the powers `tempers`. One row
+    per row of the table; other columns are ignored. A null source or language is a value of its own; a null text has one
+    token. Rows that repeat an id share its fate; rows without an id are sampled as one. An empty table gives an empty
+    result. Targets that contradict one another (margins that determine each other) can't all be met: the last margin is
+    then met, and `residual` says how far another one is off.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -106,11 +142,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     rows = materialise(rows, "mix-rows")
     table = materialise(cells(rows), "mix-cells")
-    wanted = targets or tempered(table, tempers or TEMPERS)
-    chance = materialise(probabilities(rake(table, wanted, iterations)), "mix-chances")
-    on = [rows[m].eqNullSafe(chance[m]) for m in MARGINS]
-    out = rows.join(chance, on).select("doc_id", *(rows[m] for m in MARGINS), "tokens", "probability")
-    return out.withColumn("kept", uniform(F.col("doc_id")) < F.col("probability"))
+    raked, off = rake(table, targets if targets is not None else tempered(table, tempers or TEMPERS), iterations, tolerance)
+    out = with_chances(rows, materialise(probabilities(raked), "mix-chances"))
+    return out.withColumn("kept", uniform(F.col("doc_id")) < F.col("probability")).withColumn("residual", F.lit(off))
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,7 +71,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, sf_dir))
+    return mixing.mix_sources(documents(spark, sf_dir)).drop("residual")
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_license_scan": op2_license_scan, "op7_mix_sources": op7_mix_sources, "op8_exact_dedup": op8_exact_dedup}
