@@ -140,35 +140,32 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of the links (a, b).
 
     Each round hooks every node to its smallest neighbour, follows the hooks, and contracts the links; the number of
-    nodes at least halves. Tables of each round are in the shared folder.
+    nodes at least halves. The hooks of each round are in the shared folder; at the end they are followed one after another.
     """
-    edges = materialise(links.where("a != b").distinct(), "cc-edges")
-    label = None
-    while not edges.isEmpty():
+    edges = materialise(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    label, n = None, edges.count()
+    while n:
+        near = F.broadcast if 2 * n <= BROADCAST_KEYS else (lambda df: df)  # a link has two nodes at most, two longs a row
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
-        hook = materialise(hook, "cc-hooks")
-        near = F.broadcast if hook.count() <= BROADCAST_KEYS else (lambda df: df)  # two longs a row
-        for _ in range(2):
-            above = hook.select(F.col("node").alias("up"), F.col("up").alias("higher"))
-            hook = hook.join(near(above), "up").select("node", F.col("higher").alias("up"))
-        hook = materialise(hook, "cc-jumps")
-        if label is None:
-            label = hook.select("node", F.col("up").alias("component"))
-        else:
-            moved = near(hook.select(F.col("node").alias("component"), "up"))
-            label = label.join(moved, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-            label = materialise(label, "cc-labels")
-        a = hook.select(F.col("node").alias("a"), F.col("up").alias("up_a"))
-        b = hook.select(F.col("node").alias("b"), F.col("up").alias("up_b"))
-        short = edges.join(near(a), "a").join(near(b), "b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))
-        short = short.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = materialise(short, "cc-edges")
-    return label if label is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+        above = hook.select(F.col("node").alias("up"), F.col("up").alias("higher"))
+        hook = materialise(hook.join(near(above), "up").select("node", F.col("higher").alias("up")), "cc-hooks")
+        label = hook.withColumnRenamed("up", "component") if label is None else moved(label, hook, near)
+        up = [near(hook.select(F.col("node").alias(x), F.col("up").alias(f"up_{x}"))) for x in "ab"]
+        short = edges.join(up[0], "a").join(up[1], "b").where("up_a != up_b")
+        edges = materialise(short.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), "cc-edges")
+        n = edges.count()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0) if label is None else materialise(label, "cc-labels")
+
+
+def moved(label: DataFrame, hook: DataFrame, near=lambda df: df) -> DataFrame:
+    """The label with each component moved up a hook (node, up), where it has one."""
+    step = near(hook.select(F.col("node").alias("component"), "up"))
+    return label.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
 
 
 def labelled(rows: DataFrame, label: DataFrame, node: str = "rep") -> DataFrame:
-    found = if_small(label.select(F.col("node").alias(node), "component"))
+    found = label.select(F.col("node").alias(node), "component")
     return rows.join(found, node, "left").withColumn("component", F.coalesce("component", node))
 
 
@@ -262,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = materialise(star, "near-star")
     sets = full_sets(docs, ids_of(star), id_col, text_col)
     links = materialise(confirmed(star, sets, percent), "near-links")
-    label = components(links)
+    label = if_small(components(links))
 
     # buckets that still hold more than one component; dense ones are those whose members mostly resemble their hub
     rows = labelled(met, label)
@@ -287,13 +284,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not thick.isEmpty():
         anchors = thick.groupBy("key").agg(F.min("rep").alias("b"))
         family = components(thick.join(anchors, "key").select(F.col("rep").alias("a"), "b"))
-        members = materialise(labelled(thick.select("rep", "component").distinct().withColumnRenamed("component", "own"), family).select("rep", F.col("own").alias("component"), F.col("component").alias("family")), "near-families")
+        members = materialise(labelled(thick.select("rep", "component").distinct().withColumnRenamed("component", "own"), if_small(family)).select("rep", F.col("own").alias("component"), F.col("component").alias("family")), "near-families")
         own = full_sets(docs, members.select(F.col("rep").alias("doc_id")), id_col, text_col)
         more.append(large_family_links(members, own, block, percent))
-    for found in more:
-        links = links.unionByName(found)
-    if more:
-        label = components(materialise(links, "near-links"))
+    if more:  # links between components join those
+        found = more[0] if len(more) == 1 else more[0].unionByName(more[1])
+        found = labelled(found.select(F.col("a").alias("rep"), "b"), label).select(F.col("component").alias("a"), F.col("b").alias("rep"))
+        found = labelled(found, label).select("a", F.col("component").alias("b"))
+        joined = components(found)
+        alone = joined.join(label, "node", "left_anti").select("node", "component")
+        label = if_small(materialise(moved(label, joined.withColumnRenamed("component", "up")).unionByName(alone), "near-labels"))
 
     of_class = labelled(reps.select(*same, "rep"), label).select(*same, "component")
     out = signed.join(of_class, same, "left")
