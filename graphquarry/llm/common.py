@@ -19,15 +19,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where it names none (tests)."""
+    """The shared folder that the cluster names. A folder of our own only for a master within this machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/graphquarry-scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 2 << 20) -> None:
     """Arrow batches of at most `most` bytes for the Python operators of this session: a batch lies in memory several
     times (in the JVM, in Python, as arrays), and long texts would make the usual ones large."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -6,7 +6,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes of text that are worked on at once. A longer text is cut at white space, and its words are put together again.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -16,6 +16,7 @@ BYTES[65:91] = BYTES[97:123]
 BASE = int(_odd(1)[0])
 WEIGHTS = _odd(WIDTH)
 SHORT = _odd(WIDTH)
+PREFIX = _odd(16)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = []
@@ -51,9 +52,9 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[edges[0] : edges[-1]], edges - edges[0]
 
 
-def word_hashes(data: np.ndarray, edges: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of all texts, in order, and the number of words of each text. is_space: the bytes between."""
-    hashes, starts = [], []
+def word_runs(data: np.ndarray, edges: np.ndarray, is_space: np.ndarray = IS_SPACE):
+    """Windows of texts that end at white space or at an edge, as far as there is one: begin, the window's bytes, the first
+    and the end of each word in it, and what hashes of byte ranges are made from."""
     begin, n = 0, len(data)
     while begin < n:
         end = min(n, begin + WINDOW)
@@ -76,20 +77,43 @@ def word_hashes(data: np.ndarray, edges: np.ndarray, is_space: np.ndarray = IS_S
         at = edges[(edges > begin) & (edges < end)] - begin
         first[at] |= inside[at]
         last[at - 1] |= inside[at - 1]
-        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
         up, down = powers(len(part))
         sums = np.empty(len(part) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(BYTES[part] * up, out=sums[1:])
+        yield begin, part, np.flatnonzero(first), np.flatnonzero(last) + 1, sums, down
+        begin = end
+
+
+def word_hashes(data: np.ndarray, edges: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of all texts, in order, and the number of words of each text. is_space: the bytes between."""
+    hashes, starts = [], []
+    for begin, _, a, b, sums, down in word_runs(data, edges, is_space):
         hashes.append(mix((sums[b] - sums[a]) * down[a]))
         starts.append(a + begin)
-        begin = end
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(edges) - 1, np.int64)
     starts = np.concatenate(starts)
     return np.concatenate(hashes), np.diff(np.searchsorted(starts, edges))
 
 
+def unit_hashes(data: np.ndarray, edges: np.ndarray, is_space: np.ndarray, prefixes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts and of their prefixes of so many characters, and the text of each, in no order."""
+    hashes, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for begin, part, a, b, sums, down in word_runs(data, edges, is_space):
+        text = np.searchsorted(edges, a + begin, "right") - 1
+        heads = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
+        place = np.searchsorted(heads, a)
+        hashes.append(mix((sums[b] - sums[a]) * down[a]))
+        texts.append(text)
+        for k in prefixes:
+            end = heads[np.minimum(place + k, len(heads) - 1)]
+            ok = (place + k < len(heads)) & (end <= b)
+            hashes.append(mix((sums[end[ok]] - sums[a[ok]]) * down[a[ok]] + PREFIX[k]))
+            texts.append(text[ok])
+    return np.concatenate(hashes), np.concatenate(texts)
+
+
 def shingle_sets(column):
     """For each text of a column, in order, its sorted distinct shingles; blocks of texts bound the memory."""
     data, edges = text_bytes(column)

@@ -31,11 +31,7 @@ PLAIN = re.compile("[\x21-\x7e¡-¬®-ÿ]+")
 HEAD_WORDS = 50_000
 HEAD_CHARS = 40
 #: Words that are encoded together.
-SLICE_WORDS = 1 << 18
-
-
-def pieces_of(model: dict) -> dict[int, str]:
-    return {i: p for p, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
+SLICE_WORDS = 1 << 17
 
 
 def library(spec: str):
@@ -47,6 +43,17 @@ def library(spec: str):
     return tokenizer
 
 
+def vocabulary_rows(spec: str):
+    """An Arrow table of id, piece, special: all that encoding needs of a tokenizers JSON text."""
+    import pyarrow as pa
+
+    model = json.loads(spec)
+    special = {t["id"]: t["content"] for t in model["added_tokens"]}
+    pieces = {i: p for p, i in model["model"]["vocab"].items()} | special
+    ids = sorted(pieces)
+    return pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array([pieces[i] for i in ids], pa.string()), "special": pa.array([i in special for i in ids])})
+
+
 class WordEncoder:
     """Ids of single words, equal to those of the tokenizers library for the given JSON text.
 
@@ -55,19 +62,20 @@ class WordEncoder:
 
     END = b"\xff"
 
-    def __init__(self, spec: str):
+    def __init__(self, spec, rows=None):
+        """spec: the JSON text, or a function that gives it once a word asks for the library; rows: its vocabulary_rows()."""
         import regex
         import tiktoken
 
-        model = json.loads(spec)
         self.spec, self.slow = spec, None
-        self.special = tuple(t["content"] for t in model["added_tokens"])
-        self.pieces = pieces_of(model)
+        rows = vocabulary_rows(spec) if rows is None else rows
+        ids, pieces, special = (rows.column(c).to_pylist() for c in ("id", "piece", "special"))
+        self.special = tuple(p for p, s in zip(pieces, special, strict=True) if s)
         ranks = {}
-        for piece, i in model["model"]["vocab"].items():
+        for piece, i, added in zip(pieces, ids, special, strict=True):
             ended = piece.endswith(WORD_END) and piece != WORD_END
             body = bytes(BYTE_OF[c] for c in (piece[: -len(WORD_END)] if ended else piece) if c in BYTE_OF)
-            if piece in self.special or 0xFF in body and len(body) > 1 or 0xFF in body and ended:
+            if added or 0xFF in body and len(body) > 1 or 0xFF in body and ended:
                 continue
             ranks[body + self.END * ended] = i
         self.fast = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)._core_bpe
@@ -75,7 +83,7 @@ class WordEncoder:
 
     def __call__(self, word: str) -> list[int]:
         if not PLAIN.fullmatch(word) or any(s in word for s in self.special):
-            self.slow = self.slow or library(self.spec)
+            self.slow = self.slow or library(self.spec if isinstance(self.spec, str) else self.spec())
             return self.slow.encode(word, add_special_tokens=False).ids
         out: list[int] = []
         for part in self.split(word.lower()):
@@ -103,25 +111,28 @@ def head_of(counts: DataFrame, head_words: int, head_chars: int = HEAD_CHARS) ->
     return short.where(F.col("n") >= F.lit(float(2**least)))
 
 
-def pieces_table(spark, spec: str) -> DataFrame:
-    """id, piece of a vocabulary; as many rows as the vocabulary has."""
-    import pyarrow as pa
+def pieces_table(spark, spec_broadcast) -> DataFrame:
+    """id, piece, special of a vocabulary; as many rows as it has. A task reads the vocabulary, not the driver."""
+
+    def rows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from vocabulary_rows(spec_broadcast.value).to_batches()
 
-    pieces = pieces_of(json.loads(spec))
-    return spark.createDataFrame(pa.table({"id": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()), pa.string())}))
+    return spark.range(1).coalesce(1).mapInArrow(rows, "id int, piece string, special boolean")
 
 
-def encode_words(words: DataFrame, spec_broadcast) -> DataFrame:
+def encode_words(words: DataFrame, spec_broadcast, pieces_broadcast) -> DataFrame:
     """word, ids: each word of a table encoded once."""
 
     def encode(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        to_ids = WordEncoder(spec_broadcast.value)
+        to_ids = WordEncoder(lambda: spec_broadcast.value, pieces_broadcast.value)
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "ids": [to_ids(w) for w in batch["word"]]})
+            yield pa.record_batch({"word": batch.column(0), "ids": pa.array([to_ids(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))})
 
-    return words.select("word").mapInPandas(encode, "word string, ids array<int>")
+    return words.select("word").mapInArrow(encode, "word string, ids array<int>")
 
 
 def decode_words(table: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -132,11 +143,11 @@ def decode_words(table: DataFrame, pieces: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.first("ids").alias("ids"), joined.alias("decoded"))
 
 
-def distinct_word_table(docs: DataFrame, spec_broadcast, text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
+def distinct_word_table(docs: DataFrame, spec_broadcast, pieces_broadcast, pieces: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
     """word, ids, decoded for the head of the distinct words."""
     counts = materialise(word_counts(docs, text_col).where("n > 1"), "word-counts")
-    head = encode_words(head_of(counts, head_words), spec_broadcast)
-    return decode_words(materialise(head, "word-table"), pieces_table(docs.sparkSession, spec_broadcast.value))
+    head = encode_words(head_of(counts, head_words), spec_broadcast, pieces_broadcast)
+    return decode_words(materialise(head, "word-table"), pieces)
 
 
 def parts(batch):
@@ -159,30 +170,40 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the data
-    table = distinct_word_table(docs, spec, text_col, head_words).toArrow()  # at most head_words rows of bounded width
-    head = spark.sparkContext.broadcast(table)
+    pieces = materialise(pieces_table(spark, spec), "word-pieces")
+    vocabulary = spark.sparkContext.broadcast(pieces.toArrow().sort_by("id").combine_chunks())
+    table = distinct_word_table(docs, spec, vocabulary, pieces.select("id", "piece"), text_col, head_words)
+    head = spark.sparkContext.broadcast(table.select("word", "ids", "decoded").toArrow().combine_chunks())  # at most head_words rows of bounded width
 
     def encode(batches):
         import pyarrow as pa
-
-        columns = head.value.select(["word", "ids", "decoded"]).to_pydict()
-        known = {w: (i, d) for w, i, d in zip(columns["word"], columns["ids"], columns["decoded"], strict=True)}
-        to_ids = WordEncoder(spec.value)
-        pieces = to_ids.pieces
-
-        def of(word):
-            ids = to_ids(word)
-            return tuple(ids), " ".join(pieces[i] for i in ids)
+        import pyarrow.compute as pc
+
+        to_ids = WordEncoder(lambda: spec.value, vocabulary.value)
+        one = lambda c, kind: c.combine_chunks().cast(kind) if c.num_chunks else pa.array([], kind)
+        known, known_ids, known_text = (one(head.value.column(c), kind) for c, kind in (("word", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())))
+        names, pieces = one(vocabulary.value.column("id"), pa.int32()), one(vocabulary.value.column("piece"), pa.string())
+
+        def coded(words):
+            """ids and decoded text of distinct words: those of the head, and others encoded here."""
+            at = pc.index_in(words, known)
+            rest = pa.array([to_ids(w) for w in words.filter(at.is_null()).to_pylist()], pa.list_(pa.int32()))
+            found = pc.take(pieces, pc.index_in(rest.flatten(), names))
+            edges = np.concatenate([[0], np.cumsum(rest.value_lengths().to_numpy(zero_copy_only=False))])
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), found), " ")
+            none = at.is_null().to_numpy(zero_copy_only=False)
+            place = pa.array(np.where(none, len(known) + np.cumsum(none) - 1, at.fill_null(0).to_numpy(zero_copy_only=False)))
+            return pa.concat_arrays([known_ids, rest]).take(place), pa.concat_arrays([known_text, text]).take(place)
 
         for batch in (part for whole in batches for part in parts(whole)):
             words = batch.column(1)
-            coded = words.values.slice(words.offsets[0].as_py(), words.offsets[-1].as_py() - words.offsets[0].as_py()).dictionary_encode()
-            found = [known.get(w) or of(w) for w in coded.dictionary.to_pylist()]
-            sizes = np.array([len(x[0]) for x in found], np.int64)
-            flat = np.fromiter((i for x in found for i in x[0]), np.int32, int(sizes.sum()))
-            begins = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else sizes
-            decoded = np.array([x[1] for x in found] or [""], object)
-            at, edges = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.offsets.to_numpy() - words.offsets[0].as_py()
+            inside = words.values.slice(words.offsets[0].as_py(), words.offsets[-1].as_py() - words.offsets[0].as_py()).dictionary_encode()
+            found, texts = coded(inside.dictionary)
+            sizes = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = found.flatten().to_numpy(zero_copy_only=False)
+            begins = np.cumsum(sizes) - sizes
+            decoded = np.append(texts.to_numpy(zero_copy_only=False).astype(object), "")
+            at, edges = inside.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.offsets.to_numpy() - words.offsets[0].as_py()
             out_n, out_ids, out_text = [], [], []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 own = at[a:b]
@@ -194,9 +215,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 out_n.append(total)
                 out_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() if digests else ids)
                 out_text.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
-            names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
+            names_ = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
             kind = pa.string() if digests else pa.list_(pa.int32())
-            yield pa.record_batch({"doc_id": batch.column(0), "n_tokens": pa.array(out_n, pa.int64()), names[0]: pa.array(out_ids, kind), names[1]: pa.array(out_text, pa.string())})
+            yield pa.record_batch({"doc_id": batch.column(0), "n_tokens": pa.array(out_n, pa.int64()), names_[0]: pa.array(out_ids, kind), names_[1]: pa.array(out_text, pa.string())})
 
     shape = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
