@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -44,7 +46,7 @@ def test_windows_do_not_change_entropies(monkeypatch):
 
 def test_a_small_language_keeps_its_own_ngrams(spark):
     rows = [(k, "the cat and the dog of the house with many other words in it", "en", "a") for k in range(60)] + [(100 + k, "der hund und die katze", "de", "a") for k in range(3)]
-    model = language_id.fit(frame(spark, rows), max_grams=20)
+    model = language_id.fit(frame(spark, rows))
     assert model.languages == ["de", "en"]
     df = frame(spark, [(1, "the cat and the dog", "x", "a"), (2, "der hund und die katze", "x", "a")])
     assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, model).collect()} == {1: "en", 2: "de"}
@@ -59,33 +61,111 @@ def test_language_edge_cases(spark):
     assert language_id.fit(df.limit(0)) is None
     assert {r["lang_pred"] for r in language_id.identify(df, None).collect()} == {"und"}
     assert language_id.identify(df.limit(0), model).count() == 0
+    clash = df.withColumn("_text", F.lit("kept"))
+    assert {r["_text"] for r in language_id.identify(clash, model, keep=("doc_id", "_text")).collect()} == {"kept"}
+    with pytest.raises(ValueError):
+        language_id.identify(df, model, keep=("score",))
+
+
+def test_entropies_equal_a_plain_kneser_ney_model(spark):
+    """Brute force over dictionaries of counts, symbol by symbol."""
+    import math
+    from collections import Counter, defaultdict
+
+    rows = [(k, t, lang, "a") for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("a dog in the house", "en"), ("der hund im haus", "de"), ("die katze und der hund", "de")] * 5)]
+    code, n = {}, {}
+    for lang in ("en", "de"):
+        code[lang], n[lang] = np.unique(language_id.grams([t for _, t, x, _ in rows if x == lang])[0], return_counts=True)
+    model = language_id.Model({x: (code[x], n[x]) for x in code})
+
+    def padded(t):
+        return "\1\1\1" + re.sub(r"[^a-z]+", " ", t.lower()).strip()
+
+    def log_p(lang):
+        top = Counter()
+        for _, t, x, _ in rows:
+            s = padded(t)
+            top.update(s[i - 3 : i + 1] for i in range(3, len(s)) if x == lang)
+        levels = [None, None, None, top]
+        for k in (2, 1, 0):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        cut, total, types = [], [defaultdict(int) for _ in range(4)], [defaultdict(int) for _ in range(4)]
+        for k, level in enumerate(levels):
+            ones, twos = (sum(v == j for v in level.values()) for j in (1, 2))
+            cut.append(min(max(max(ones, 0.5) / max(ones + 2 * twos, 1.0), 0.1), 0.95))
+            for g, v in level.items():
+                total[k][g[:-1]] += v
+                types[k][g[:-1]] += 1
+
+        def p(gram, k):
+            lower = p(gram[1:], k - 1) if k else 1 / 65536
+            ctx = gram[:-1]
+            if not total[k][ctx]:
+                return lower
+            return max(levels[k][gram] - cut[k], 0) / total[k][ctx] + cut[k] * types[k][ctx] / total[k][ctx] * lower
+
+        return lambda gram: math.log(p(gram, 3))
+
+    texts = ["the dog im haus", "katze and cat", "house"]
+    got, _ = model.cross_entropies(texts)
+    for j, lang in enumerate(model.languages):
+        score = log_p(lang)
+        for i, t in enumerate(texts):
+            s = padded(t)
+            want = -np.mean([score(s[a - 3 : a + 1]) for a in range(3, len(s))])
+            assert got[i, j] == pytest.approx(want, abs=0.02), (lang, t)
+
+
+def test_toxic_documents_of_each_language_are_found_and_clean_ones_left(spark):
+    """Recall and false alarms on labels that the chain has not seen."""
+    data = "/root/testdata/check_s"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    train = F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0
+    chain = toxicity.fit(docs, labels.where(train))
+    truth = labels.where(~train).select("doc_id", (F.col("toxic") == 1).alias("truth")).join(docs, "doc_id")
+    out = toxicity.score(truth, chain).join(truth.select("doc_id", "truth", "lang"), "doc_id")
+    for r in out.groupBy("lang").agg(F.count_if("truth").alias("bad"), F.count_if(F.expr("truth AND toxic")).alias("caught"), F.count_if(F.expr("NOT truth")).alias("good"), F.count_if(F.expr("NOT truth AND toxic")).alias("wrong")).collect():
+        assert r["bad"] > 50 and r["caught"] >= 0.95 * r["bad"] and r["wrong"] <= 0.005 * r["good"], r
+
 
+def test_units_equal_brute_force(monkeypatch):
+    from graphquarry.llm import shingles
 
-def test_toxic_documents_are_found_and_clean_ones_left(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    out = queries_models.op5_toxicity(spark, DATA).join(docs, "doc_id")
-    words = r"(?i)\b(trash|scum|idiot|clown|worthless|moron|pathetic|loser|stupid|disgusting)\b"
-    has = F.col("text").rlike(words)
-    assert out.where(has & F.col("toxic")).count() >= 0.9 * out.where(has).count()
-    assert out.where(~has & F.col("toxic")).count() <= 0.005 * out.where(~has).count()
+    texts = ["Ähre ähren achlich abcdefgh abcd ab", "", None, "x-abcd1abcd", "ééééééé", "abc" * 20]
+    for size in (shingles.WINDOW, 16):
+        monkeypatch.setattr(shingles, "WINDOW", size)
+        got = {}
+        for hashes, text, n in toxicity.unit_blocks(pa.array(texts)):
+            assert n == len(texts) or size == 16
+            for k in range(n):
+                got[len(got)] = sorted(hashes[text == k].tolist())
+        words = [re.findall(r"[A-Za-z\u0080-\U0010ffff]+", t or "") for t in texts]
+        assert [len(got[k]) for k in range(6)] == [sum(1 + sum(len(w) >= p for p in toxicity.PREFIXES) for w in ws) for ws in words]
+        assert len(set(got[0])) < len(got[0])  # abcd is a word and a prefix of abcdefgh
 
 
 def test_chain_hands_probabilities_on():
     rng = np.random.default_rng(0)
-    bad, words = toxicity.hashed(["idiot", "trash"]), toxicity.hashed([f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)])
+    units = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    column = np.full((300, len(toxicity.LEVELS)), -1)
+    column[:, 0] = np.arange(300)
+    features = toxicity.Features(units, column)
     label = (rng.random(800) < 0.3).astype(float)
-    sets = [np.unique(np.r_[rng.choice(words, 20), bad[rng.integers(0, 2, 1)] if y else words[:0]]) for y in label]
-    chain = toxicity.fit_chain(sets, label)
-    assert [len(v) for v in chain.onto] == [0, 1, 2]
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(800), [len(s) for s in sets])
-    assert ((chain.probabilities(flat, owner, 800)[:, -1] > 0.5) == label).mean() > 0.99
+    places = [np.unique(np.r_[rng.choice(np.arange(2, 300), 20), rng.integers(0, 2, 1) if y else np.zeros(0, int)]) for y in label]
+    chain = toxicity.fit_chain(features, places, label)
+    assert [len(v) for v in chain.onto] == [0, 1, 2, 3]
+    flat, owner = np.concatenate([units[p] for p in places]), np.repeat(np.arange(800), [len(p) for p in places])
+    p = chain.probabilities(flat, owner, 800)
+    assert ((p[:, -1] > 0.5) == label).mean() > 0.99
+    first = np.array([0 in x for x in places]) if (p[:, 0] > 0.5)[[0 in x for x in places]].any() else np.array([1 in x for x in places])
+    assert ((p[:, 0] > 0.5) == first).mean() > 0.99  # a category is the toxic documents of one unit
 
 
 def test_toxicity_edge_cases(spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
-    df = frame(spark, [(1, None, "en", "a"), (2, "", "en", "a"), (None, "idiot", "en", "a"), (3, "x " * 50_000, "en", "a")])
+    df = frame(spark, [(1, None, "en", "a"), (2, "", "en", "a"), (None, "idiot", "en", "a"), (3, "x " * 50_000, "en", "a"), (3, "again", "en", "a")])
     chain = toxicity.fit(df, labels)
-    assert toxicity.score(df, chain).count() == 4 and toxicity.score(df.limit(0), chain).count() == 0
+    assert toxicity.score(df, chain).count() == 5 and toxicity.score(df.limit(0), chain).count() == 0
     assert toxicity.score(df, toxicity.fit(df.limit(0), labels)).where("toxic").count() == 0
 
 
