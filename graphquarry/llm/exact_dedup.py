@@ -20,13 +20,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, if_small, materialise, shuffle_partitions, text_or_empty
+from .common import BROADCAST_KEYS, SPACE_CLASS, if_small, materialise, shuffle_partitions, text_or_empty
 
 ENTRY = ["key", "text_sha256", "n_bytes"]
 #: Distinct keys of a bucket; with fewer keys buckets are smaller, so that each task owns several of them.
 CAPACITY, BUCKETS_PER_TASK, MOST_BUCKETS = 200_000, 16, 50_000
 #: A key is hot if more rows have it than LEAST_HOT and than a HOT_KEYS-th of all rows; so at most HOT_KEYS keys are.
-LEAST_HOT, HOT_KEYS = 10_000, 50_000
+LEAST_HOT, HOT_KEYS = 500, 50_000
 #: Copies that are compared with one repetition of their first text.
 SALTED = 256
 
@@ -106,10 +106,19 @@ def attached(rows: DataFrame, chains: DataFrame) -> DataFrame:
     return rows.join(hot, ENTRY).unionByName(rows.join(hot, ENTRY, "left_anti").join(chains.where("NOT hot"), ENTRY))
 
 
-def differing(rows: DataFrame, chains: DataFrame) -> DataFrame:
-    """Entries (key, digest, length) of which some row's bytes differ from the chain's first text. `rows` have norm."""
-    members = attached(rows, chains.withColumn("salts", F.ceil(F.col("group_size") / SALTED).cast("int")))
-    first = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(ENTRY)
+def having(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The documents of these ids (doc_id) if the ids can be broadcast, so that other texts aren't read again; else all."""
+    ids = ids.distinct()
+    few = ids.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(ids.withColumnRenamed("doc_id", "_of")), docs[id_col].eqNullSafe(F.col("_of")), "left_semi") if few else docs
+
+
+def differing(members: DataFrame, firsts: DataFrame, chains: DataFrame) -> DataFrame:
+    """Entries (key, digest, length) of which some member's bytes differ from the chain's first text. Both have norm;
+    `firsts` holds the rows whose id is a chain's keep_id, and may hold others."""
+    chains = chains.withColumn("salts", F.ceil(F.col("group_size") / SALTED).cast("int"))
+    members, firsts = attached(members, chains), attached(firsts, chains)
+    first = firsts.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(ENTRY)
     first = first.select(*ENTRY, F.col("norm").alias("first"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     salted = members.select(*ENTRY, "norm", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "salts").cast("int").alias("salt"))
     return salted.join(first, [*ENTRY, "salt"]).where("norm != first").select(*ENTRY).distinct()
@@ -133,8 +142,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result = index.select(shape).unionByName(hot_rows.join(F.broadcast(hot_entries), ENTRY).select(shape))
     chains = index.where("group_size > 1").groupBy(*ENTRY).agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
     chains = materialise(chains.withColumn("hot", F.lit(False)).unionByName(hot_entries.where("group_size > 1").withColumn("hot", F.lit(True))), "dedup-chains")
-    rows = fingerprints(docs, id_col, text_col, digest, key, with_text=True)
-    odd = materialise(differing(rows, chains), "dedup-odd")
+    chained = result.where("group_size > 1").select("doc_id")
+    rows = fingerprints(having(docs, chained, id_col), id_col, text_col, digest, key, with_text=True)
+    firsts = fingerprints(having(docs, chains.select(F.col("keep_id").alias("doc_id")), id_col), id_col, text_col, digest, key, with_text=True)
+    odd = materialise(differing(rows, firsts, chains), "dedup-odd")
     if not odd.isEmpty():
         same = Window.partitionBy(*ENTRY, "norm")
         split = rows.join(if_small(odd), ENTRY, "left_semi").withColumns({"keep_id": F.min("doc_id").over(same), "group_size": F.count(F.lit(1)).over(same)})

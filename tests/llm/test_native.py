@@ -62,6 +62,22 @@ def test_rules_are_ordered_by_rejection_per_cost():
     assert [r.name for r in quality_rules.ordered(e)][:3] == ["repeated_passages", "symbols", "too_few_words"]
 
 
+def test_costs_of_rules_are_their_own(spark):
+    """On longer texts: words that repeat cost more to find than words to count, in every run."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(300)), "en", "a") for k in range(300)] + [(900 + k, "few", "en", "a") for k in range(100)]
+    for _ in range(2):
+        e = {x.rule.name: x for x in quality_rules.estimate(frame(spark, rows))}
+        assert e["repeated_passages"].seconds > 3 * e["too_few_words"].seconds
+        assert e["too_few_words"].rejected == 0.25 and e["symbols"].rejected == 0
+        assert quality_rules.ordered(e.values())[0].name == "too_few_words"
+
+
+def test_clashing_columns_stay(spark):
+    df = frame(spark, ROWS).withColumns({"_text": F.lit("t"), "_words": F.lit("w"), "_lines": F.lit("l")})
+    out = quality_rules.cascade(df, order=quality_rules.RULES)
+    assert set(df.columns) <= set(out.columns) and {(r["_text"], r["_words"], r["_lines"]) for r in out.collect()} == {("t", "w", "l")}
+
+
 def test_empty_tables(spark):
     df = frame(spark, ROWS).limit(0)
     assert quality_rules.cascade(df).count() == 0
@@ -80,9 +96,36 @@ def test_copies_by_bytes_even_if_digests_collide(spark, collide):
     assert got == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (4, 4, 2, True), (5, 4, 2, False), (6, 6, 1, True), (7, 7, 1, True)]
 
 
-def test_repeated_rows_are_one_document(spark):
-    out = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(frame(spark, ROWS)).collect()}
-    assert out[9] == (9, 2, True) and out[1] == (1, 2, True) and out[None] == (1, 2, False)
+def brute_copies(rows):
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
+    out = []
+    for ids in groups.values():
+        keep = min((i for i in ids if i is not None), default=None)
+        out += [(i, keep, len(ids), i == keep) for i in ids]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_every_row_has_its_verdict(spark, collide):
+    """One id with several texts, repeated rows, null ids, texts that only differ in white space, and a hot text."""
+    kinds = {"digest": lambda t: F.lit("d"), "key": lambda t: F.length(t).cast("long")} if collide else {}
+    rows = [(1, "a", "x", "x"), (1, "b", "x", "x"), (2, "a", "x", "x"), (3, "c", "x", "x"), *ROWS, (None, "only", "x", "x"), (None, "only", "x", "x"), (None, None, "x", "x")]
+    rows += [(k, "one hot  text" if k % 3 else "one hot\ttext", "x", "x") for k in range(1000, 11_000)]
+    for least_hot in (10_000, 50):
+        out = exact_dedup.exact_dedup(frame(spark, rows), capacity=5, least_hot=least_hot, **kinds)
+        assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in out.collect()), key=str) == brute_copies(rows)
+
+
+def test_owners_have_whole_buckets_within_capacity(spark):
+    rows = [(k, f"text {k // 2}", "x", "x") for k in range(600)]
+    prints = exact_dedup.fingerprints(frame(spark, rows))
+    index = exact_dedup.build_index(prints, prints.select("key").distinct(), capacity=20)
+    owners = index.withColumn("file", F.input_file_name()).groupBy("bucket").agg(F.count_distinct("file").alias("files"), F.count_distinct("key").alias("keys"))
+    assert owners.where("files > 1 OR keys > 20").count() == 0 and owners.count() >= 15
+    assert index.where("key & ((1 << local_depth) - 1) != bucket").count() == 0
+    assert index.where("group_size != 2").count() == 0
 
 
 def test_survivors_keep_rows_without_id_and_each_text_of_an_id(spark):
@@ -196,7 +239,32 @@ def test_sampling_equals_sql(spark):
     documents = df.toPandas()  # noqa: F841
     con = duckdb.connect()
     con.register("documents", documents)
-    want = sorted((r[0], r[5], r[6]) for r in con.execute(mixing.sql()).fetchall())
-    got = sorted((r["doc_id"], r["probability"], r["kept"]) for r in mixing.mix_sources(df).collect())
-    assert [x[0] for x in got] == [x[0] for x in want]
-    assert [x[1] for x in got] == pytest.approx([x[1] for x in want], abs=1e-6)
+    for rounds, tolerance in ((8, 1.0), (200, mixing.TOLERANCE)):  # one block, and as many as the tolerance takes
+        want = sorted((r[0], r[5], r[6]) for r in con.execute(mixing.sql(rounds)).fetchall())
+        got = sorted((r["doc_id"], r["probability"], r["kept"]) for r in mixing.mix_sources(df, tolerance=tolerance).collect())
+        assert [x[0] for x in got] == [x[0] for x in want]
+        assert [x[1] for x in got] == pytest.approx([x[1] for x in want], abs=1e-6)
+
+
+def test_mixing_reports_its_residual_and_takes_targets(spark):
+    rows = [(k % 390, "word " * (k % 9 + 1), ["en", "de", None][k % 3], "a" if k % 2 else None) for k in range(400)] + [(None, None, None, None), (None, "x", "en", "a")]
+    df = frame(spark, rows)
+    wanted = spark.createDataFrame([("source", "a", 0.5), ("source", None, 0.5), ("lang", "en", 0.25), ("lang", "de", 0.75), ("topic", "prose", 1.0)], "margin string, value string, target double")
+    out = mixing.mix_sources(df, targets=wanted).collect()
+    assert len(out) == 402 and max(r["residual"] for r in out) <= mixing.TOLERANCE
+    tokens = lambda keep: sum(r["tokens"] * r["probability"] for r in out if keep(r))
+    assert tokens(lambda r: r["lang"] == "de") / tokens(lambda r: True) == pytest.approx(0.75, abs=1e-6)
+    assert tokens(lambda r: r["lang"] is None) == 0 and len({r["kept"] for r in out if r["doc_id"] is None and r["lang"] is None}) == 1
+    same = [(k, "word", "en" if k % 4 else "de", "a" if k % 4 else "b") for k in range(40)]  # the margins determine each other
+    apart = mixing.mix_sources(frame(spark, same)).first()["residual"]
+    assert apart > 1e-3
+
+
+def test_many_cells_are_joined_by_a_salted_key(spark, monkeypatch):
+    rows = [(k, "w " * (k % 7), ["en", "de"][k % 2], f"s{k % 11}") for k in range(300)]
+    want = sorted(map(tuple, mixing.mix_sources(frame(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 1)
+    monkeypatch.setattr(mixing, "MOST_CELLS", 1)
+    got = sorted(map(tuple, mixing.mix_sources(frame(spark, rows)).collect()))
+    assert [r[:5] + r[6:7] for r in got] == [r[:5] + r[6:7] for r in want]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want], abs=1e-8)

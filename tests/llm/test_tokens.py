@@ -99,3 +99,16 @@ def test_file_holds_what_the_library_gives(spark):
         want.append((start, doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
+
+
+def test_single_tokens_are_read_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(token_file, "BLOCK_TOKENS", 700)  # blocks are made in workers, which have the module's own value
+    rows = [(k, "word 2024 Ünï " * (k % 50), "x", "y") for k in range(200)] + [(500, "long text of many words " * 5000, "x", "y")]
+    file = token_file.write_tokens(spark.createDataFrame(rows, SHAPE), vocabulary("byte_bpe_50k.json"))
+    theirs = library("byte_bpe_50k.json")
+    ids = [i for _, t, *_ in rows for i in [*theirs.encode(t, add_special_tokens=False).ids, 2]]
+    places = [0, len(ids) - 1, len(ids), -1, None, 5, 5, *range(3, len(ids), 997)]
+    got = token_file.read_at(file, spark.createDataFrame([(p,) for p in places], "position long")).collect()
+    assert sorted((r["position"], r["id"]) for r in got) == sorted((p, ids[p]) for p in places if p is not None and 0 <= p < len(ids))
+    whole = sorted(map(tuple, token_file.read_documents(file).collect()))
+    assert whole == sorted(map(tuple, token_file.read_documents(file, slice_tokens=100).collect()))
