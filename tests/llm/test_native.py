@@ -221,6 +221,58 @@ def test_unedited_licences_wrapped_and_unwrapped(spark):
     assert license_scan.scan(frame(spark, [(1, part, "en", "a")])).first()["n_known"] == 0
 
 
+#: Notices and heads of licences as they are published, a paragraph in each string.
+NOTICES = {
+    "AGPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Affero General Public License for more details."],
+    "LGPL-2.1-or-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>"],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "Preamble"],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"],
+    "Apache-2.0": ["Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "EPL-2.0": ["Copyright (c) 2020 Someone.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "EPL-1.0": ["All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL DAMAGES.'],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.'],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "CC0-1.0": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+}
+
+
+def test_published_notices_of_every_licence(spark):
+    """As they are, wrapped in a comment, and in the middle of other text; no rule is without a text that it matches."""
+    import textwrap
+
+    shapes = [
+        lambda ps: "\n\n".join(ps),
+        lambda ps: "\n".join(f" * {line}" for p in ps for line in [*textwrap.wrap(p, 60), ""]),
+        lambda ps: "/* Head.\n" + "\n".join(f"// {line}" for p in ps for line in textwrap.wrap(p, 76)) + "\ncode(); " * 2000,
+    ]
+    texts = [(name, shape(ps)) for name, ps in NOTICES.items() for shape in shapes]
+    rows = [(k, t, "en", "a") for k, (_, t) in enumerate(texts)]
+    by_id = {i: s for s, i in [*license_scan.WHOLE.items(), *license_scan.SENTENCES.items()]}
+    for name, ids in license_scan.RULES:
+        own = [by_id.get(i) or next(s for s, x in license_scan.WHOLE.items() if i in x.split()) for i in ids]
+        rows.append((len(texts), "\n\n".join(own), "en", "a"))
+        texts.append((name, None))
+    rows += [(None, texts[0][1], None, None), (0, texts[0][1], "en", "a")]
+    got = license_scan.scan(frame(spark, rows)).select("doc_id", "license", "licenses").collect()
+    out = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows) and out[None]["license"] == texts[0][0]
+    wrong = [(name, out[k]["license"]) for k, (name, _) in enumerate(texts[: 3 * len(NOTICES)]) if out[k]["license"] != name]
+    assert wrong == []
+    assert [name for k, (name, _) in enumerate(texts) if name not in out[k]["licenses"].split(",")] == []
+    assert {name for name, _ in license_scan.RULES} == {*NOTICES, "MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-or-later", "GPL-3.0-or-later"}
+
+
 def test_raking_meets_all_targets(spark):
     rows = [(k, "word " * (k % 9 + 1) + (" | " if k % 5 == 0 else ""), ["en", "de", None][k % 3], "a" if k % 2 else "b" if k % 3 else None) for k in range(400)]
     df = frame(spark, rows)
