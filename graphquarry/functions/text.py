@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,15 +24,70 @@ SECRET_SHAPES = (
 )
 SECRET_MARKERS = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"\bAKIA[0-9A-Z]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", r"\bsk-[A-Za-z0-9_-]{20,}\b")
 PRIVATE_KEY = r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----"
-QUOTED_SECRET = r"""(?i)(\b(?:[A-Za-z0-9]+[_-])*(?:api[_-]?key|secret|token|passw(?:or)?d|credential|authorization)(?:[_-][A-Za-z0-9]+)*\b['"]?\s*[:=]\s*)(["'])[^'"\n]{8,}["']"""
+SECRET_NAME = r"""(?i)(\b(?:[A-Za-z0-9]+[_-])*(?:api[_-]?key|secret|token|passw(?:or)?d|credential|authorization)(?:[_-][A-Za-z0-9]+)*\b['"]?\s*[:=]\s*)"""
+QUOTED_SECRET = SECRET_NAME + r"""(["'])[^'"\n]{8,}\2"""
+#: A bare value is no identifier or path of attributes, so that code stays.
+BARE_SECRET = SECRET_NAME + r"(?![A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*\s*(?![A-Za-z0-9_./+=-]))[A-Za-z0-9_./+=-]{8,}"
+ENVIRONMENT_SECRET = r"""(?im)^(\s*(?:API[_-]?KEY|SECRET(?:[_-]?KEY)?|TOKEN|ACCESS[_-]?TOKEN|REFRESH[_-]?TOKEN|CLIENT[_-]?SECRET|PASSWORD|PASSWD|CREDENTIAL|AUTHORIZATION)\s*=\s*)([^\s"']+)\s*$"""
+SECRET_FIELD = r"(?i)(?:api[_-]?key|secret(?:[_-]?key)?|token|access[_-]?token|refresh[_-]?token|client[_-]?secret|password|passwd|credential|authorization)"
 BEARER, JWT = r"(?i)\bBearer\s+[A-Za-z0-9._~+/-]{8,}=*", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"
 #: The tokens of the keyword index, and the BM25 parameters.
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 
 
+@functools.cache
+def accents() -> tuple[str, str]:
+    """Letters that are another letter with marks, and those letters, by Unicode's canonical decomposition."""
+    marked, bare = [], []
+    for c in map(chr, range(0xC0, 0xFFFF)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and parts[0].isalpha() and all(unicodedata.category(x) == "Mn" for x in parts[1:]):
+            marked.append(c)
+            bare.append(parts[0])
+    return "".join(marked), "".join(bare)
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents; null counts as empty."""
+    marked, bare = accents()
+    return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Mn}+", ""), marked, bare)
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """The tokens of the keyword index, in order."""
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
+
+
+def token_line(text: Column) -> Column:
+    """The tokens in order, with one blank before and one behind each."""
+    return F.concat(F.lit(" "), F.regexp_replace(folded(text), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+
+
+def n_tokens(line: Column) -> Column:
+    """The number of tokens of a token line."""
+    return F.regexp_count(line, F.lit(TOKEN))
+
+
+def n_phrase(line: Column, phrase: list[str]) -> Column:
+    """How often a token line holds tokens that follow one another."""
+    inside = " " + "  ".join(phrase) + " "
+    if len(phrase) > 1 and phrase[0] == phrase[-1]:  # it may overlap itself
+        return F.regexp_count(line, F.lit(f"(?={inside})"))
+    return ((F.length(line) - F.length(F.replace(line, F.lit(inside)))) / len(inside)).cast("int")
+
+
+def phrase_of(term: str) -> list[str]:
+    """The tokens of a term of a question; more than one are a phrase, as in snake_case."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", term.lower()) if unicodedata.category(c) != "Mn")
+    found, word = [], ""
+    for c in unicodedata.normalize("NFC", plain) + " ":
+        if unicodedata.category(c)[0] in "LN":
+            word += c
+        elif word:
+            found.append(word)
+            word = ""
+    return found
 
 
 def camel_terms(name: Column) -> Column:
@@ -59,7 +117,8 @@ def redact(text: Column) -> Column:
     out = redact_blocks(text)
     for p in SECRET_SHAPES:
         out = F.regexp_replace(out, p, "[REDACTED]")
-    return F.regexp_replace(out, QUOTED_SECRET, "$1$2[REDACTED]$2")
+    out = F.regexp_replace(out, QUOTED_SECRET, "$1$2[REDACTED]$2")
+    return F.regexp_replace(out, BARE_SECRET, "$1[REDACTED]")
 
 
 def redact_blocks(text: Column) -> Column:
@@ -69,10 +128,17 @@ def redact_blocks(text: Column) -> Column:
 
 
 def redact_for_display(text: Column) -> Column:
-    out = F.regexp_replace(redact(text), BEARER, "Bearer [REDACTED]")
+    """Also values of environment settings, bearer tokens and web tokens."""
+    out = F.regexp_replace(without_controls(redact(text)), ENVIRONMENT_SECRET, "$1[REDACTED]")
+    out = F.regexp_replace(out, BEARER, "Bearer [REDACTED]")
     return F.regexp_replace(out, JWT, "[REDACTED]")
 
 
+def redact_values(fields: Column) -> Column:
+    """A map of names to texts as it may be shown: values of fields that are named like secrets go whole."""
+    return F.transform_values(fields, lambda k, v: F.when(k.rlike(f"^{SECRET_FIELD}$"), F.lit("[REDACTED]")).otherwise(redact_for_display(v)))
+
+
 def without_controls(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
 

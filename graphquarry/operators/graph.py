@@ -6,27 +6,36 @@ costs one hop at most.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .filters import is_test_path, names_module
 
 MOST_IMPACT = 500
+#: Hops after which what has been seen is written as one.
+COMPACTED = 8
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the folder that spark.checkpoint.dir names, and read it back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A folder of our own stands in only for a master within this machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/graphquarry-scratch"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder, and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def resolved(edges: DataFrame, relationship: str) -> DataFrame:
@@ -76,7 +85,7 @@ def unresolved(edges: DataFrame, source: Column | None = None, module: Column |
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = None, reverse: bool = True) -> DataFrame:
     """id, depth, via: nodes reached from `seeds` (id) in up to `depth` hops, each at its first depth. `via` is the
     smallest neighbour it was reached from. With `most`, the first nodes by depth, via and id."""
-    step = edges.select(F.col("target" if reverse else "source").alias("via"), F.col("source" if reverse else "target").alias("id")).distinct()
+    step = cut(edges.select(F.col("target" if reverse else "source").alias("via"), F.col("source" if reverse else "target").alias("id")).distinct())
     seen = cut(seeds.select("id", F.lit(0).alias("depth"), F.lit(None).cast(dict(step.dtypes)["via"]).alias("via")).dropDuplicates(["id"]))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -85,6 +94,8 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = Non
         if found.isEmpty():
             break
         seen, frontier = seen.unionByName(found), found
+        if hop % COMPACTED == 0:  # so that a hop never reads more than so many folders
+            seen = cut(seen)
     out = seen.where("depth > 0")
     return out if most is None else out.orderBy("depth", "via", "id").limit(most)
 

@@ -8,58 +8,114 @@ from pyspark.sql import functions as F
 from graphquarry.functions import text as T
 from graphquarry.functions import vectors as V
 
+from .graph import cut
+
 RRF_K = 60
 MOST_CANDIDATES = 100
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
-    """id, term, tf (weighted over the fields), len (tokens of all fields)."""
-    parts = [docs.select(F.col(id_col).alias("id"), T.tokens(F.col(f)).alias("terms"), F.lit(float(w)).alias("w")) for f, w in fields.items()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    long = every.select("id", "w", F.explode("terms").alias("term"))
-    return long.groupBy("id", "term").agg(F.sum("w").alias("tf"))
-
-
-def is_term(term: str):
-    return lambda x: x == F.lit(term)
-
-
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", fields: dict[str, float] | None = None) -> DataFrame:
-    """id, score for documents that hold one of the terms.
+    """id, score for documents that hold one of the terms; a term of several tokens is a phrase.
 
-    Only the query's terms are kept from each document, beside its length, so nothing is exploded but hits; the corpus
-    statistics are one row that is joined to the hits.
+    Each document is tokenised once: its length and the counts of the asked terms, a few numbers, are written to the shared
+    folder, and both the corpus statistics (one row) and the hits are read from there.
     """
     fields = fields or {"text": 1.0}
-    wanted = [t.lower() for t in dict.fromkeys(terms)]
-    token = {f: T.tokens(F.col(f)) for f in fields}
-    size = sum((F.size(t) for t in token.values()), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("id"), *(t.alias(f"_{f}") for f, t in token.items()))
-    size = sum((F.size(f"_{f}") for f in fields), F.lit(0))
-    hits = [sum((F.lit(float(w)) * F.size(F.filter(f"_{f}", is_term(t))) for f, w in fields.items()), F.lit(0.0)) for t in wanted]
-    rows = rows.select("id", size.alias("len"), F.array(*hits).alias("tf"))
+    wanted = [list(p) for p in dict.fromkeys(tuple(T.phrase_of(t)) for t in terms) if p]
+    lines = docs.select(F.col(id_col).alias("id"), *(T.token_line(F.col(f)).alias(f"_{k}") for k, f in enumerate(fields)))
+    size = sum((T.n_tokens(F.col(f"_{k}")) for k in range(len(fields))), F.lit(0))
+    count = lambda p: sum((F.lit(float(w)) * T.n_phrase(F.col(f"_{k}"), p) for k, w in enumerate(fields.values())), F.lit(0.0))
+    rows = cut(lines.select("id", size.alias("len"), F.array(*map(count, wanted)).cast("array<double>").alias("tf")))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(wanted))))
-    idf = lambda i: F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
     share = lambda i: F.get("tf", F.lit(i)) * (T.K1 + 1) / (F.get("tf", F.lit(i)) + T.K1 * (1 - T.B + T.B * F.col("len") / F.col("mean")))
-    score = sum((idf(i) * share(i) for i in range(len(wanted))), F.lit(0.0))
+    score = sum((idf(F.col("n"), F.col(f"df{i}")) * share(i) for i in range(len(wanted))), F.lit(0.0))
     found = rows.where(F.exists("tf", lambda x: x > 0))
     return found.crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # stats is one row
 
 
-def bm25_batch(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """query_id, id, score for many questions at once (query_id, terms): one inverted index, joined by term."""
-    index = postings(docs, id_col, {text_col: 1.0})
-    sizes = index.groupBy("id").agg(F.sum("tf").alias("len"))
-    corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term"))
-    known = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = known.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = known.join(df, "term").join(sizes, "id").crossJoin(F.broadcast(corpus))  # corpus is one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (T.K1 + 1) / (F.col("tf") + T.K1 * (1 - T.B + T.B * F.col("len") / F.col("mean")))
-    return scored.select("term", "id", part.alias("part")).join(asked, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+def idf(n: Column, df: Column) -> Column:
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+
+
+#: Distinct tokens of a set of questions, and questions, that bm25_batch holds against all documents at once.
+MOST_TERMS, MOST_QUESTIONS = 200_000, 20_000
+PLACES = 6
+
+
+def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """query_id, id, score: the k best documents of each question (query_id, terms), best score first, then by id.
+
+    The questions are a stated set and go to every task. Documents are tokenised once: length and counts of asked tokens are
+    written to the shared folder. From there come the corpus statistics, and the scores, in blocks of documents against all
+    questions; of each block only the k best of a question go on, so pairs are never shuffled.
+    """
+    spark = docs.sparkSession
+    asked = queries.select("query_id", F.array_distinct(F.transform("terms", F.lower)).alias("terms")).limit(MOST_QUESTIONS + 1).toArrow()
+    terms = sorted({t for ts in asked.column("terms").to_pylist() for t in ts or ()})
+    if asked.num_rows > MOST_QUESTIONS or len(terms) > MOST_TERMS:
+        raise ValueError("more questions than one pass takes: give them in several sets")
+    names = spark.sparkContext.broadcast(terms)
+    rows = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("tokens"))
+    kind = dict(rows.dtypes)["id"]
+
+    def counted(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = pa.array(names.value, pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            code = pc.index_in(lists.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(lists)), size)[code >= 0].astype(np.int64)
+            pair, n = np.unique(owner * max(1, len(known)) + code[code >= 0], return_counts=True)
+            edges = pa.array(np.searchsorted(pair // max(1, len(known)), np.arange(len(lists) + 1)), pa.int32())
+            term = pa.ListArray.from_arrays(edges, pa.array((pair % max(1, len(known))).astype(np.int32)))
+            yield pa.record_batch({"id": batch.column(0), "len": pa.array(size, pa.int32()), "term": term, "tf": pa.ListArray.from_arrays(edges, pa.array(n.astype(np.int32)))})
+
+    index = cut(rows.mapInArrow(counted, f"id {kind}, len int, term array<int>, tf array<int>"))
+    corpus = index.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
+    holds = index.select(F.explode("term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weight = {r["term"]: r["w"] for r in holds.select("term", idf(F.lit(corpus["n"]), F.col("df")).alias("w")).collect()}  # at most MOST_TERMS
+    place = {t: i for i, t in enumerate(terms)}
+    shared = spark.sparkContext.broadcast((asked, [[place[t] for t in ts or ()] for ts in asked.column("terms").to_pylist()], weight, corpus["mean"]))
+
+    def best(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        table, questions, weights, mean = shared.value
+        users = {}  # the questions that have a token
+        for q, ts in enumerate(questions):
+            for t in ts:
+                users.setdefault(t, []).append(q)
+        for batch in batches:
+            size = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            lists = batch.column(2)
+            term, tf = lists.flatten().to_numpy(zero_copy_only=False), batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            part = np.array([weights[t] for t in term.tolist()]) * tf * (T.K1 + 1) / (tf + T.K1 * (1 - T.B + T.B * size[doc] / mean)) if len(term) else tf
+            scores, met = np.zeros((len(questions), len(lists))), np.zeros((len(questions), len(lists)), bool)
+            order = np.argsort(term, kind="stable")
+            edges = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0, True]) if len(term) else np.zeros(0, int)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                own = order[a:b]
+                for q in users.get(int(term[own[0]]), ()):
+                    scores[q, doc[own]] += part[own]
+                    met[q, doc[own]] = True
+            ids, out = np.array(batch.column(0).to_pylist(), object), []
+            rank = np.argsort(np.argsort(np.array([str(x) for x in ids]))) if kind == "string" else np.argsort(np.argsort(np.array([x if x is not None else -1 for x in ids])))
+            for q in range(len(questions)):
+                hit = np.flatnonzero(met[q])
+                value = np.round(scores[q, hit], PLACES)
+                top_ = np.lexsort((rank[hit], -value))[:k]
+                out += [(q, hit[j], value[j]) for j in top_]
+            yield pa.record_batch({"query_id": table.column("query_id").take(pa.array([x[0] for x in out], pa.int64())).combine_chunks(), "id": batch.column(0).take(pa.array([x[1] for x in out], pa.int64())), "score": pa.array([float(x[2]) for x in out], pa.float64())})
+
+    first = index.mapInArrow(best, f"query_id {dict(queries.dtypes)['query_id']}, id {kind}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 
 
 def top(rows: DataFrame, k: int, *order) -> DataFrame:

@@ -35,7 +35,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ── retrieval ─────────────────────────────────────────────────────────────────────────────────────────────────────
 
 TERMS = ["license", "und", "worthless", "de", "token"]
-_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+_TOKENS = r"regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')"
 _BM25 = f"""
 WITH d AS (SELECT doc_id, len({_TOKENS}) AS size, {_TOKENS} AS t FROM documents),
 corpus AS (SELECT count(*) AS n, avg(size) AS mean FROM d),
@@ -57,12 +57,12 @@ def kw_bm25_topk(spark, sf_dir):
 @query(
     "kw_bm25_batch",
     r"""
-WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents),
+WITH p AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')) AS term FROM documents),
 i AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL),
-s AS (SELECT doc_id, sum(tf) AS size FROM i GROUP BY 1),
+s AS (SELECT doc_id, len(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')) AS size FROM documents),
 c AS (SELECT count(*) AS n, avg(size) AS mean FROM s),
 df AS (SELECT term, count(*) AS df FROM i GROUP BY 1),
-q AS (SELECT DISTINCT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest(list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'))) AS term FROM benchmark),
 r AS (SELECT item_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
       FROM q JOIN i USING (term) JOIN df USING (term) JOIN s USING (doc_id), c GROUP BY ALL)
 SELECT item_id, doc_id, score FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 5
@@ -70,10 +70,8 @@ SELECT item_id, doc_id, score FROM r QUALIFY row_number() OVER (PARTITION BY ite
 )
 def kw_bm25_batch(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.tokens(F.col("text")).alias("terms"))
-    scored = search.bm25_batch(table(spark, sf_dir, "documents"), asked)
-    rows = scored.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
-    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return rows.withColumn("n", F.row_number().over(best)).where("n <= 5").drop("n")
+    best = search.bm25_batch(table(spark, sf_dir, "documents"), asked, 5)
+    return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score")
 
 
 def _first_vector(spark, sf_dir) -> list[float]:
@@ -193,12 +191,23 @@ def inventory_stats(spark, sf_dir):
     return snapshots.statistics(_inventory(spark, sf_dir))
 
 
+_NAME = r"""(?i)\b(?:[A-Za-z0-9]+[_-])*(?:api[_-]?key|secret|token|passw(?:or)?d|credential|authorization)(?:[_-][A-Za-z0-9]+)*\b[''"]?\s*[:=]\s*"""
 _REDACT = "text"
 for _p in text.SECRET_SHAPES:
     _REDACT = f"regexp_replace({_REDACT}, '{_p}', '[REDACTED]', 'g')"
+for _quote in ('"', "''"):
+    _REDACT = f"regexp_replace({_REDACT}, '{_NAME.replace('(?i)', '(?i)(')}){_quote}[^''\"\\n]{{8,}}{_quote}', '\\1{_quote}[REDACTED]{_quote}', 'g')"
 
 
-@query("redact_secrets", f"WITH r AS (SELECT doc_id, text, {_REDACT} AS t FROM documents) SELECT doc_id, md5(t) AS digest FROM (SELECT doc_id, text, regexp_replace(t, '{text.QUOTED_SECRET.replace(chr(39), chr(39) * 2)}', '\\1\\2[REDACTED]\\2', 'g') AS t FROM r) WHERE t <> text")
+@query(
+    "redact_secrets",
+    rf"""WITH r AS (SELECT doc_id, text, {_REDACT} AS t FROM documents),
+m AS (SELECT *, regexp_extract_all(t, '{_NAME}[A-Za-z0-9_./+=-]{{8,}}') AS found FROM r),
+v AS (SELECT *, list_transform(found, lambda x: regexp_extract(x, '[:=]\s*([A-Za-z0-9_./+=-]{{8,}})$', 1)) AS vals FROM m),
+w AS (SELECT doc_id, text, list_reduce(list_prepend(t, list_filter(found, lambda x, i: NOT regexp_full_match(vals[i], '[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*'))),
+  lambda acc, x: replace(acc, x, regexp_replace(x, '[A-Za-z0-9_./+=-]{{8,}}$', '[REDACTED]'))) AS t FROM v)
+SELECT doc_id, md5(t) AS digest FROM w WHERE t <> text""",
+)
 def redact_secrets(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", text.redact(F.col("text")).alias("t"))
     return rows.where("t != text").select("doc_id", F.md5("t").alias("digest"))
@@ -256,8 +265,8 @@ WITH RECURSIVE edges AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS
 #: Suppliers call parts, parts call orders, orders call customers.
 _CHAIN = """
 WITH RECURSIVE edges AS (
-  SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_partkey <= 60
-  UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem WHERE l_partkey <= 60 AND l_linenumber = 1
+  SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem
+  UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem
   UNION SELECT DISTINCT 'o' || o_orderkey, 'c' || o_custkey FROM orders)"""
 
 
@@ -267,14 +276,11 @@ def _call_edges(spark, sf_dir) -> DataFrame:
     return items.select(name("s", "l_suppkey").alias("source"), name("p", "l_partkey").alias("target"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.lit("CALLS").alias("relationship"), F.lit("resolved").alias("resolution"))
 
 
-def _chain_edges(spark, sf_dir, whole: bool = False) -> DataFrame:
-    """Edges of the chain: of all rows, or those of the parts and lines that _CHAIN takes."""
+def _chain_edges(spark, sf_dir) -> DataFrame:
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    lines = items if whole else items.where("l_partkey <= 60 AND l_linenumber = 1")
-    items = items if whole else items.where("l_partkey <= 60")
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     one = items.select(name("s", "l_suppkey").alias("source"), name("p", "l_partkey").alias("target"))
-    two = lines.select(name("p", "l_partkey").alias("source"), name("o", "l_orderkey").alias("target"))
+    two = items.select(name("p", "l_partkey").alias("source"), name("o", "l_orderkey").alias("target"))
     three = orders.select(name("o", "o_orderkey").alias("source"), name("c", "o_custkey").alias("target"))
     return one.union(two).union(three).distinct()
 
@@ -303,12 +309,6 @@ def impact_bfs_3(spark, sf_dir):
     return graph.reach(_chain_edges(spark, sf_dir), seeds, 3).select("id", "depth")
 
 
-@query("impact_bfs_3_whole")
-def impact_bfs_3_whole(spark, sf_dir):
-    seeds = spark.createDataFrame([("c1",), ("c2",), ("c4",), ("c5",)], "id string")
-    return graph.reach(_chain_edges(spark, sf_dir, whole=True), seeds, 3).select("id", "depth")
-
-
 @query(
     "affected_closure",
     _CHAIN + """, walk AS (SELECT 'c7' AS id UNION SELECT e.source FROM walk w JOIN edges e ON e.target = w.id) SELECT id FROM walk""",
@@ -317,11 +317,6 @@ def affected_closure(spark, sf_dir):
     return graph.closure(_chain_edges(spark, sf_dir), spark.createDataFrame([("c7",)], "id string"))
 
 
-@query("affected_closure_whole")
-def affected_closure_whole(spark, sf_dir):
-    return graph.closure(_chain_edges(spark, sf_dir, whole=True), spark.createDataFrame([("c7",)], "id string"))
-
-
 _RING = """
 WITH RECURSIVE edges AS (
   SELECT (n_nationkey * 10 + k)::BIGINT AS id, n_nationkey::BIGINT AS source, ((n_nationkey * (k + 1) + k) % 25)::BIGINT AS target FROM nation, unnest([1, 2, 3]) AS u(k))"""
@@ -552,17 +547,12 @@ def fair_admission(spark, sf_dir):
 
 
 @query("evidence_quarantine", """
-WITH bad AS (SELECT o_orderkey AS e FROM orders WHERE o_orderstatus = 'F')
-SELECT DISTINCT l_suppkey AS claim FROM lineitem WHERE l_partkey <= 20 AND l_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN bad ON e = l_orderkey WHERE l_partkey <= 20)""")
+WITH links AS (SELECT l_partkey || '-' || l_suppkey AS claim, l_orderkey AS e FROM lineitem), bad AS (SELECT o_orderkey AS e FROM orders WHERE o_orderstatus = 'F')
+SELECT DISTINCT claim FROM links WHERE claim NOT IN (SELECT claim FROM links JOIN bad USING (e))""")
 def evidence_quarantine(spark, sf_dir):
-    links = table(spark, sf_dir, "lineitem").where("l_partkey <= 20").select(F.col("l_suppkey").alias("claim"), F.col("l_orderkey").alias("evidence"))
-    bad = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("evidence"))
-    return evidence.quarantined(links, bad).select("claim").distinct()
-
-
-@query("evidence_quarantine_whole")
-def evidence_quarantine_whole(spark, sf_dir):
-    links = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("claim"), F.col("l_orderkey").alias("evidence"))
+    """Claims are pairs of part and supplier; the orders that hold them are their evidence."""
+    claim = F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    links = table(spark, sf_dir, "lineitem").select(claim.alias("claim"), F.col("l_orderkey").alias("evidence"))
     bad = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("evidence"))
     return evidence.quarantined(links, bad).select("claim").distinct()
 
@@ -590,12 +580,6 @@ def dependency_summary(spark, sf_dir):
     return rules.dependency_summary(edges, spark.createDataFrame([("p7",)], "id string")).select("category", "source", "target")
 
 
-@query("dependency_summary_whole")
-def dependency_summary_whole(spark, sf_dir):
-    edges = _chain_edges(spark, sf_dir, whole=True).withColumns({"relationship": F.lit("CALLS"), "resolution": F.lit("resolved")})
-    return rules.dependency_summary(edges, spark.createDataFrame([("p7",)], "id string")).select("category", "source", "target")
-
-
 @query("change_impact", _CHAIN + """, walk AS (
   SELECT source AS id, 1 AS depth FROM edges WHERE target = 'c4' UNION SELECT e.source, w.depth + 1 FROM walk w JOIN edges e ON e.target = w.id WHERE w.depth < 3)
 SELECT CASE WHEN d = 1 THEN 'direct_impact' ELSE 'possible_impact' END AS category, id, d::INTEGER AS depth FROM (SELECT id, min(depth) AS d FROM walk GROUP BY id)""")
@@ -604,12 +588,6 @@ def change_impact(spark, sf_dir):
     return rules.change_impact(edges, spark.createDataFrame([("c4",)], "id string"), 3)
 
 
-@query("change_impact_whole")
-def change_impact_whole(spark, sf_dir):
-    edges = _chain_edges(spark, sf_dir, whole=True).withColumns({"relationship": F.lit("CALLS"), "resolution": F.lit("resolved")})
-    return rules.change_impact(edges, spark.createDataFrame([("c4",)], "id string"), 3)
-
-
 # ── understanding, documentation, streams ─────────────────────────────────────────────────────────────────────────
 
 
@@ -636,7 +614,34 @@ def debounce_sessions(spark, sf_dir):
     return change_events.debounced(table(spark, sf_dir, "events"), "5 minutes").select("user_id", "changes", "last_event")
 
 
-@query("chunk_windows")
+_CHUNKS = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+pos AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM l),
+heads AS (SELECT doc_id, a FROM pos WHERE regexp_matches(line || chr(10), '^#{1,6}\s') UNION SELECT doc_id, 0 FROM d),
+s AS (SELECT h.doc_id, h.a::BIGINT AS a, coalesce(lead(h.a) OVER (PARTITION BY h.doc_id ORDER BY h.a), length(d.text))::BIGINT AS b FROM heads h JOIN d USING (doc_id)),
+k AS (SELECT s.doc_id, path, text, a, b, trim(string_split(substr(text, a + 1, b - a), chr(10))[1], ' ' || chr(9) || chr(13)) AS label FROM s JOIN d USING (doc_id) WHERE b > a),
+w AS (
+  SELECT doc_id, a, b, a AS start, CASE WHEN a + 1200 >= b THEN b ELSE coalesce(cut, a + 1200) END AS stop
+  FROM (SELECT *, CASE WHEN strpos(reverse(substr(text, a + 601, 600)), chr(10)) > 0 THEN a + 600 + 601 - strpos(reverse(substr(text, a + 601, 600)), chr(10)) END AS cut FROM k)
+  UNION ALL
+  SELECT doc_id, a, b, start, CASE WHEN start + 1200 >= b THEN b ELSE coalesce(cut, start + 1200) END
+  FROM (SELECT v.*, CASE WHEN strpos(reverse(substr(text, v.start + 601, 600)), chr(10)) > 0 THEN v.start + 600 + 601 - strpos(reverse(substr(text, v.start + 601, 600)), chr(10)) END AS cut
+        FROM (SELECT doc_id, a, b, greatest(start + 1, stop - 150) AS start FROM w WHERE stop < b) v JOIN d USING (doc_id))
+),
+t AS (SELECT w.*, path, label, text, substr(text, start + 1, stop - start) AS piece FROM w JOIN k USING (doc_id, a, b)),
+u AS (SELECT *, regexp_replace(piece, '^\s+', '') AS tail, regexp_replace(regexp_replace(piece, '^\s+', ''), '\s+$', '') AS body FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a ORDER BY start) - 1 AS ordinal, start + length(piece) - length(tail) AS f FROM u WHERE length(body) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label, ordinal ORDER BY a) - 1 AS again FROM o),
+h AS (SELECT *, sha1(unhex('a3f1b2c4d5e67890abcdef1234567890') || encode('repo::' || path || '::section:' || label || '::' || ordinal || '::' || again)) AS h,
+  (length(substr(text, 1, f)) - length(replace(substr(text, 1, f), chr(10), '')) + 1)::INTEGER AS start_line,
+  (length(substr(text, 1, f + length(body) - 1)) - length(replace(substr(text, 1, f + length(body) - 1), chr(10), '')) + 1)::INTEGER AS end_line FROM r),
+c AS (SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INTEGER & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS chunk_id FROM h)
+SELECT path, (row_number() OVER (PARTITION BY path ORDER BY start_line, end_line, chunk_id) - 1)::INTEGER AS chunk_index, chunk_id, 'documentation' AS kind, start_line, end_line,
+  label AS name, label AS qualified_name, '' AS signature, '' AS comments, body AS text FROM c"""
+
+
+@query("chunk_windows", _CHUNKS)
 def chunk_windows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
     return chunking.chunked(docs, "repo")
@@ -768,12 +773,10 @@ def retrieval_plans(spark, sf_dir):
 @query("stream_debounce")
 def stream_debounce(spark, sf_dir):
     """The bursts of a stream over the same events, closed by the watermark."""
-    import tempfile
     import uuid
 
     source = table(spark, sf_dir, "events")
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/graphquarry-scratch"
-    home = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    home = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source.write.parquet(f"{home}/in")
     stream = change_events.debounced(change_events.file_events(spark, f"{home}/in", "event_id long, ts timestamp, user_id long"), "5 minutes", lateness="0 seconds")
     change_events.publish_changes(stream, lambda b: b.write.mode("append").parquet(f"{home}/out"), f"{home}/state", once=True).awaitTermination()

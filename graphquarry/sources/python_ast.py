@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,36 +16,51 @@ def module_name(path: str) -> str:
     return path.removesuffix(".py").removesuffix("/__init__").replace("/", ".")
 
 
-def units(source: str) -> list[dict]:
-    """Functions and classes with their character ranges, qualified names, signatures and doc strings, in source order."""
-    tree = ast.parse(source)
-    begins = [0]
-    for line in source.splitlines(keepends=True):
-        begins.append(begins[-1] + len(line))
-    rows = source.splitlines()
+DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
-    def offset(line: int, byte_column: int) -> int:
-        return begins[line - 1] + len(rows[line - 1].encode()[:byte_column].decode())
 
-    found = []
+class Places:
+    """Character offsets of the places that a syntax tree gives as line and byte column."""
 
-    def visit(node, scope: str, parent):
-        for child in ast.iter_child_nodes(node):
-            if not isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                visit(child, scope, parent)
-                continue
-            name = f"{scope}.{child.name}" if scope else child.name
-            first = min([child, *child.decorator_list], key=lambda n: (n.lineno, n.col_offset))
-            start = offset(first.lineno, first.col_offset) - (first is not child)
-            is_class = isinstance(child, ast.ClassDef)
-            signature = f"{child.name}({ast.unparse(child.args)})" if not is_class else child.name
-            kind = "class" if is_class else "method" if parent and parent["kind"] == "class" else "function"
-            unit = {"key": name, "kind": kind, "name": child.name, "qualified_name": name, "start": start, "end": offset(child.end_lineno, child.end_col_offset), "parent": parent["key"] if parent else None, "signature": signature, "comments": ast.get_docstring(child) or ""}
-            found.append(unit)
-            visit(child, name, unit)
-
-    visit(tree, "", None)
-    return found
+    def __init__(self, source: str):
+        self.lines = source.splitlines(keepends=True)
+        self.starts = [0, *accumulate(map(len, self.lines))]
+
+    def __call__(self, line: int, column: int) -> int:
+        return self.starts[line - 1] + len(self.lines[line - 1].encode()[:column].decode())
+
+
+def units(source: str) -> list[dict]:
+    """Functions and classes with their character ranges, qualified names, signatures and doc strings, in source order."""
+    tree, place = ast.parse(source), Places(source)
+    above = {child: node for node in ast.walk(tree) for child in ast.iter_child_nodes(node)}
+
+    def owners(node) -> list:
+        """The definitions around a node, the innermost first."""
+        chain = []
+        while node := above.get(node):
+            chain += [node] if isinstance(node, DEFINITIONS) else []
+        return chain
+
+    def unit(node) -> dict:
+        around = owners(node)
+        name = ".".join(n.name for n in [*around[::-1], node])
+        is_class = isinstance(node, ast.ClassDef)
+        # a decorator's place is that of its expression, behind the sign
+        begin = min([place(node.lineno, node.col_offset), *(place(d.lineno, d.col_offset) - 1 for d in node.decorator_list)])
+        return {
+            "key": name,
+            "kind": "class" if is_class else "method" if around and isinstance(around[0], ast.ClassDef) else "function",
+            "name": node.name,
+            "qualified_name": name,
+            "start": begin,
+            "end": place(node.end_lineno, node.end_col_offset),
+            "parent": ".".join(n.name for n in around[::-1]) if around else None,
+            "signature": node.name if is_class else f"{node.name}({ast.unparse(node.args)})",
+            "comments": ast.get_docstring(node) or "",
+        }
+
+    return sorted((unit(n) for n in ast.walk(tree) if isinstance(n, DEFINITIONS)), key=lambda u: (u["start"], -u["end"]))
 
 
 def facts(path: str, source: str) -> tuple[list[tuple], list[tuple]]:

@@ -37,6 +37,10 @@ def test_relative_paths(spark, path, ok):
         ('password = "hunter22hunter"', 'password = "[REDACTED]"'),
         ("password = get_password()", "password = get_password()"),
         ("token = abcdefgh", "token = abcdefgh"),
+        ("token = os.environ.get", "token = os.environ.get"),
+        ("password = hunter2-abc123", "password = [REDACTED]"),
+        ("api_key: 12345678", "api_key: [REDACTED]"),
+        ("secret = 'it is a \"quoted\" one'", "secret = 'it is a \"quoted\" one'"),
         ("a\n-----BEGIN RSA PRIVATE KEY-----\nx\ny\n-----END RSA PRIVATE KEY-----\nb", "a\n[REDACTED]\n\n\n\nb"),
     ],
 )
@@ -47,12 +51,16 @@ def test_redaction_keeps_lines(spark, source, want):
 
 def test_text_functions(spark):
     assert one(spark, text.camel_terms(F.col("t")), t="getUserName_from_dB") == "get User Name from d B"
-    assert one(spark, text.tokens(F.col("t")), t="snake_case Éa 1x") == ["snake", "case", "éa", "1x"]
+    assert one(spark, text.tokens(F.col("t")), t="snake_case Éa Ǟ ø 1x cafe\u0301") == ["snake", "case", "ea", "a", "ø", "1x", "cafe"]
+    assert text.phrase_of("create_accessToken") == ["create", "accesstoken"] and text.phrase_of("Café-au") == ["cafe", "au"]
     assert one(spark, text.unix_lines(F.col("t")), t="a\r\nb\rc") == "a\nb\nc"
     assert one(spark, text.nfkc(F.col("t")), t="ﬁ  x") == "fi x"
     assert one(spark, text.casefold(F.col("t")), t="Straße") == "strasse"
     assert one(spark, text.lines(F.col("t"), F.lit(2), F.lit(3)), t="a\nb\nc\nd") == "b\nc"
     assert one(spark, text.redact_for_display(F.col("t")), t="Bearer abcdefgh12345") == "Bearer [REDACTED]"
+    assert one(spark, text.redact_for_display(F.col("t")), t="x\nTOKEN=abc\ny") == "x\nTOKEN=[REDACTED]\ny"
+    shown = text.redact_values(F.create_map(F.lit("api_key"), F.lit("v"), F.lit("note"), F.col("t")))
+    assert one(spark, shown, t="token: 12345678") == {"api_key": "[REDACTED]", "note": "token: [REDACTED]"}
 
 
 def test_vectors(spark):

@@ -174,14 +174,14 @@ def test_whole_lineitem_queries_equal_brute_force(spark, tmp_path):
     def rows(name):
         return sorted(map(tuple, contract.QUERIES[name](spark, str(tmp_path)).collect()))
 
-    assert rows("impact_bfs_3_whole") == sorted(walk(["c1", "c2", "c4", "c5"], 3).items())
-    assert rows("affected_closure_whole") == sorted((k,) for k in {"c7", *walk(["c7"], 99)})
+    assert rows("impact_bfs_3") == sorted(walk(["c1", "c2", "c4", "c5"], 3).items())
+    assert rows("affected_closure") == sorted((k,) for k in {"c7", *walk(["c7"], 99)})
     want = [("incoming", a, b) for a, b in edges if b == "p7"] + [("outgoing", a, b) for a, b in edges if a == "p7"]
-    assert rows("dependency_summary_whole") == sorted(want)
-    assert rows("change_impact_whole") == sorted(("direct_impact" if d == 1 else "possible_impact", k, d) for k, d in walk(["c4"], 3).items())
+    assert rows("dependency_summary") == sorted(want)
+    assert rows("change_impact") == sorted(("direct_impact" if d == 1 else "possible_impact", k, d) for k, d in walk(["c4"], 3).items())
     bad = {o for o, _, status in orders if status == "F"}
-    tainted = {s for o, _, s, _ in items if o in bad}
-    assert rows("evidence_quarantine_whole") == sorted((s,) for s in {s for _, _, s, _ in items} - tainted)
+    tainted = {f"{p}-{s}" for o, p, s, _ in items if o in bad}
+    assert rows("evidence_quarantine") == sorted((c,) for c in {f"{p}-{s}" for _, p, s, _ in items} - tainted)
 
 
 def test_threshold_has_no_limit(spark, tmp_path, monkeypatch):
