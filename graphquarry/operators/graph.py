@@ -204,3 +204,40 @@ def resolve_imports(imports_: DataFrame, files: DataFrame, aliases: list[str]) -
     names = F.when(F.col("indexed"), F.array(F.lit("IMPORTS"), F.lit("DEPENDS_ON"))).otherwise(F.array(F.lit("IMPORTS")))
     target = F.when(F.col("indexed"), F.col("resolved_path")).when(bare, F.concat(F.lit("external:"), F.col("specifier")))
     return rows.select("source", target.alias("target"), F.explode(names).alias("relationship"), kind.alias("resolution"))
+
+
+def references(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Resolved references and calls to symbols (id)."""
+    rows = edges.where((F.col("resolution") == "resolved") & F.col("relationship").isin("REFERENCES", "CALLS"))
+    return rows.join(symbols.select(F.col("id").alias("target")), "target", "left_semi")
+
+
+def importers(edges: DataFrame, modules: DataFrame) -> DataFrame:
+    return resolved(edges, "IMPORTS").join(modules.select(F.col("id").alias("target")), "target", "left_semi")
+
+
+def dependencies(edges: DataFrame, modules: DataFrame) -> DataFrame:
+    return resolved(edges, "DEPENDS_ON").join(modules.select(F.col("id").alias("source")), "source", "left_semi")
+
+
+#: Operations on a symbol or module by name, as functions of edges and found nodes (id).
+OPERATIONS = {
+    "find_callers": callers,
+    "find_callees": callees,
+    "find_references": references,
+    "find_imports": lambda edges, modules: imports(edges, modules, inferred=True),
+    "find_importers": importers,
+    "find_dependencies": dependencies,
+    "find_reverse_dependencies": reverse_dependencies,
+}
+
+
+def resolve_names(names: DataFrame, symbols: DataFrame, most: int = 25) -> DataFrame:
+    """name, status (not_found, success, ambiguous) and candidates of many names at once: symbols of that name, qualified name or
+    id, the first `most` by id. Ambiguity is never settled here."""
+    keys = symbols.select("id", F.explode(F.array_distinct(F.array("name", "qualified_name", "id"))).alias("name"))
+    met = names.select("name").distinct().join(keys, "name", "left")
+    place = F.row_number().over(Window.partitionBy("name").orderBy("id"))
+    met = met.withColumn("n", F.count("id").over(Window.partitionBy("name"))).withColumn("place", place).where(F.col("place") <= most)
+    out = met.groupBy("name").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("id")).alias("candidates"))
+    return out.select("name", F.when(F.col("n") == 0, "not_found").when(F.col("n") == 1, "success").otherwise("ambiguous").alias("status"), "candidates")
