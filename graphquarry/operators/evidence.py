@@ -64,6 +64,6 @@ def packed(records: list[tuple[str, int]], budget: int) -> tuple[list[str], list
     return kept, left
 
 
-def citation(package: str, record: str) -> str:
-    """Fixed format of a citation."""
-    return f"cm7:{package}:{record}"
+def citation(package: str, record: str, prefix: str = "evidence") -> str:
+    """prefix:package:record; the prefix is a parameter."""
+    return f"{prefix}:{package}:{record}"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 
 from graphquarry.operators import evidence, filters, graph, rules, search
 
-from .router import Limits, Operation, Plan, build_plan, waves
+from graphquarry.sources import embedding
+
+from .router import Limits, Operation, Plan, build_plan
 from .understanding import chat_intent, parse_question  # noqa: F401
 
 
+#: Statuses after which operations that depend on one may run; operations on modules as well as on symbols.
+CARRIED = ("success", "partial", "not_found")
+MODULE_OPERATIONS = ("find_imports", "find_importers", "find_dependencies", "find_reverse_dependencies", "find_dependency_paths", "module_overview")
+
+
 @dataclass
 class Result:
     operation: Operation
@@ -37,31 +44,37 @@ class Engine:
         return graph.lookup(self.tables["symbols"], filters.names_symbol(reference))
 
     def run(self, op: Operation) -> Result:
+        """One operation. What goes wrong in it is its own status and doesn't reach the others."""
         began = time.monotonic()
-        status, rows, more = self._run(op)
+        try:
+            status, rows, more = self._run(op)
+        except ValueError as e:
+            status, rows, more = "unsupported", [{"reason": str(e)}], False
+        except Exception as e:  # noqa: BLE001 - an engine that fails must not take the answer with it
+            status, rows, more = "error", [{"reason": type(e).__name__}], False
         return Result(op, status, rows, more, time.monotonic() - began)
 
     def _run(self, op: Operation) -> tuple[str, list[dict], bool]:
         n = {"graph": self.limits.graph_results, "semantic": self.limits.semantic_candidates, "rules": self.limits.rule_findings}[op.engine]
-        if op.name == "hybrid_search":
-            hits = search.bm25(self.tables["chunks"], op.targets[0].split(), "id")
-            return self._bounded(hits, n, F.desc("score"), "id")
+        if op.name in ("keyword_search", "semantic_search", "hybrid_search"):
+            return self._bounded(self.ranked(op.name, op.targets[0], n), n, F.desc("score"), "id")
         status, found = self.symbol(op.targets[0])
+        if status == "not_found" and op.name in MODULE_OPERATIONS and "modules" in self.tables:
+            status, found = graph.module(self.tables["modules"], op.targets[0])
         if status != "success":
             return status, [r.asDict() for r in found.limit(n).collect()], False
         edges = self.tables["edges"]
         if op.name == "find_definition":
             return self._bounded(found, n, "id")
-        if op.name in ("find_callers", "find_callees"):
-            side = graph.callers if op.name == "find_callers" else graph.callees
-            return self._bounded(side(edges, found), n, "evidence_file", "evidence_line", "id")
-        if op.name == "find_paths":
+        if op.name in graph.OPERATIONS:
+            return self._bounded(graph.OPERATIONS[op.name](edges, found), n, "evidence_file", "evidence_line", "id")
+        if op.name in ("find_paths", "find_dependency_paths"):
             if len(op.targets) < 2:
                 return "unsupported", [], False
             other, goals = self.symbol(op.targets[1])
             if other != "success":
                 return other, [], False
-            ways, cut = graph.paths(graph.resolved(edges, "CALLS"), found, goals, self.limits.graph_depth, n, 50_000)
+            ways, cut = graph.paths(graph.resolved(edges, "CALLS" if op.name == "find_paths" else "DEPENDS_ON"), found, goals, self.limits.graph_depth, n, 50_000)
             rows = [r.asDict() for r in ways.collect()]
             return ("partial" if cut else "success") if rows else "not_found", rows, cut
         if op.name == "change_impact":
@@ -78,15 +91,47 @@ class Engine:
 
     # a plan -------------------------------------------------------------------------------------------------------
 
+    def ranked(self, name: str, question: str, most: int) -> DataFrame:
+        """id, score of chunks by keywords, by vectors, or by both fused; without vectors keywords alone."""
+        chunks = self.tables["chunks"]
+        fetch = min(search.MOST_CANDIDATES, 3 * most)
+        channels = {}
+        if name != "semantic_search" or "vectors" not in self.tables:
+            hits = search.ranked(search.bm25(chunks, question.split(), "id"), F.desc("score"), "id", most=fetch)
+            channels["keyword"] = hits
+        if name != "keyword_search" and "vectors" in self.tables:
+            vector = embedding.embed_text(question, embedding.dimensions(self.tables["vectors"]))
+            near = search.nearest(self.tables["vectors"], vector, fetch, id_col="id")
+            channels["semantic"] = search.ranked(near, F.desc("score"), "id", most=fetch)
+        if len(channels) == 1:
+            return next(iter(channels.values())).select("id", "score")
+        return search.fused({k: rows.select("id", "position") for k, rows in channels.items()}, ["id"]).select("id", "score")
+
     def execute(self, plan: Plan) -> list[Result]:
-        """Results in the order of the plan; what the deadline leaves is skipped."""
-        ends, results = time.monotonic() + self.limits.deadline_ms / 1000, {}
-        with ThreadPoolExecutor(self.limits.concurrent) as pool:
-            for wave in waves(plan, self.limits):
-                if time.monotonic() > ends:
-                    results |= {op.id: Result(op, "skipped") for op in wave}
-                    continue
-                results |= dict(zip([op.id for op in wave], pool.map(self.run, wave), strict=True))
+        """Results in the order of the plan. An operation begins when its dependencies have ended well, a few at a time and one
+        semantic search among them; it is skipped if a dependency failed or wasn't there. At the deadline what still runs is
+        `partial` without rows and what waits is skipped."""
+        ends, by_id = time.monotonic() + self.limits.deadline_ms / 1000, {op.id: op for op in plan.operations}
+        results: dict[str, Result] = {}
+        running: dict[Future, Operation] = {}
+        pool = ThreadPoolExecutor(self.limits.concurrent)
+        try:
+            while len(results) < len(by_id):
+                waiting = [op for op in plan.operations if op.id not in results and op not in running.values()]
+                for op in waiting:
+                    states = [results[d].status if d in results else None if d in by_id else "missing" for d in op.depends_on]
+                    if any(s is not None and s not in CARRIED for s in states):
+                        results[op.id] = Result(op, "skipped")
+                    elif None not in states and len(running) < self.limits.concurrent and not (op.engine == "semantic" and any(o.engine == "semantic" for o in running.values())):
+                        running[pool.submit(self.run, op)] = op
+                done, _ = wait(running, timeout=max(0.0, ends - time.monotonic()), return_when=FIRST_COMPLETED)
+                for f in done:
+                    results[running.pop(f).id] = f.result()
+                if time.monotonic() >= ends:
+                    results |= {op.id: Result(op, "partial", truncated=True) for op in running.values()}
+                    results |= {op.id: Result(op, "skipped") for op in plan.operations if op.id not in results}
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
         return [results[op.id] for op in plan.operations]
 
     def answer(self, question: str) -> dict:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +36,36 @@ class Store:
         row.coalesce(1).write.mode("append").json(f"{self.root}/log")
 
     def active(self) -> dict | None:
+        """The generation that was made ready last. Two writers may have taken one number; then the later name counts, for every
+        reader alike."""
         log = self._log()
-        row = None if log is None else log.where("state = 'ready'").orderBy(F.desc("seq")).first()
+        row = None if log is None else log.where("state = 'ready'").agg(F.max(F.struct("seq", "generation", "state", "digest", "tables")).alias("r")).first()["r"]
         return None if row is None else row.asDict() | {"tables": json.loads(row["tables"])}
 
+    def collectable(self, pinned: set[str] = frozenset()) -> list[str]:
+        """Generations that are neither active nor pinned: their folders may be deleted. A few rows of the log a generation."""
+        now, log = self.active(), self._log()
+        names = set() if log is None else {r["generation"] for r in log.select("generation").distinct().collect()}
+        return sorted(names - set(pinned) - ({now["generation"]} if now else set()))
+
+    def unchanged(self, generation: str) -> bool:
+        """Whether a generation that a query pinned is still the active one; if not, its findings are to be discarded."""
+        now = self.active()
+        return now is not None and now["generation"] == generation
+
+    def pinned(self, attempts: int = 3) -> tuple[str, dict[str, DataFrame]]:
+        """The active generation and its tables; tried again if it was collected while it was being opened."""
+        for k in range(attempts):
+            now = self.active()
+            if now is None:
+                raise LookupError("nothing is published")
+            try:
+                return now["generation"], self.pin(now["generation"])
+            except AnalysisException:
+                if k == attempts - 1:
+                    raise
+        raise LookupError("nothing could be pinned")
+
     def pin(self, generation: str | None = None) -> dict[str, DataFrame]:
         """The tables of the active generation, or of the one named; later publications don't touch them."""
         now = self.active()

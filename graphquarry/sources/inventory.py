@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from fnmatch import translate
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,5 +108,7 @@ def classified(files: DataFrame, exclusions: tuple[str, ...] = (), ignored: Data
 def scan(spark: SparkSession, root: str, **options) -> DataFrame:
     """The inventory of a folder that Spark can read. Spark lists no files whose name begins with a dot or underscore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inside = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
+    bare = re.sub("^[a-z][a-z0-9+.-]*:/+", "/", root.rstrip("/")) + "/"
+    whole = F.regexp_replace("path", "^[a-z][a-z0-9+.-]*:/+", "/")
+    inside = F.when(whole.startswith(bare), F.substring(whole, F.lit(len(bare) + 1), F.length(whole))).otherwise(whole)
     return classified(files.select(inside.alias("path"), "content"), **options)

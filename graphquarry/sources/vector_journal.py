@@ -11,12 +11,13 @@ from graphquarry.operators.filters import payload_filter
 
 
 def upsert(journal: DataFrame, rows: DataFrame, dimensions: int) -> DataFrame:
-    """The journal with `rows` (chunk_id, embedding, payload): valid vectors at length one; the new row wins."""
+    """The journal with `rows` (chunk_id, embedding, payload, and seq if a chunk may come twice): valid vectors at length one; the
+    new row wins, of several the one with the greatest seq, and of those the one with the greatest payload."""
     if not rows.where(~vectors.is_valid(F.col("embedding"), dimensions)).isEmpty():
         raise ValueError("a vector is of another size, not finite or zero")
-    new = rows.select("chunk_id", vector_id(F.col("chunk_id")).alias("vector_id"), vectors.unit(F.col("embedding")).alias("embedding"), "payload", F.lit(1).alias("_new"))
-    both = journal.withColumn("_new", F.lit(0)).unionByName(new)
-    last = Window.partitionBy("chunk_id").orderBy(F.desc("_new"))
+    new = rows.select("chunk_id", vector_id(F.col("chunk_id")).alias("vector_id"), vectors.unit(F.col("embedding")).alias("embedding"), "payload", F.struct(F.lit(1), F.col("seq").cast("long") if "seq" in rows.columns else F.lit(0).cast("long")).alias("_new"))
+    both = journal.withColumn("_new", F.struct(F.lit(0), F.lit(0).cast("long"))).unionByName(new)
+    last = Window.partitionBy("chunk_id").orderBy(F.desc("_new"), F.desc("payload"))
     return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_new")
 
 

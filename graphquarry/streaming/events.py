@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +38,20 @@ def wait_seconds(failures: int) -> int:
     return min(LONGEST_WAIT, 5 * 2 ** min(failures, 3))
 
 
-def publish_changes(bursts: DataFrame, publish: Callable[[DataFrame], None], checkpoint: str, period: str = AUDIT, once: bool = False) -> StreamingQuery:
-    """Publish once for each batch that has bursts. A failed publication fails the batch, and the stream is begun again
-    from its checkpoint after wait_seconds(), so nothing is lost and the active generation stays."""
+def publish_changes(bursts: DataFrame, publish: Callable[[DataFrame], None], checkpoint: str, period: str = AUDIT, once: bool = False, tries: int = 4, sleep: Callable[[float], None] = time.sleep) -> StreamingQuery:
+    """Publish once for each batch that has bursts. A failed publication is tried again after wait_seconds(); after `tries` the
+    batch fails, and the stream begins again from its checkpoint, so nothing is lost and the active generation stays."""
 
     def each(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            publish(batch)
+        if batch.isEmpty():
+            return
+        for failures in range(tries):
+            try:
+                return publish(batch)
+            except Exception:
+                if failures == tries - 1:
+                    raise
+                sleep(wait_seconds(failures))
 
     writer = bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=period)).start()
