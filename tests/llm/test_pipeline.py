@@ -1,8 +1,6 @@
 import hashlib
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -39,6 +37,20 @@ def test_every_stage_works_on_what_the_one_before_kept(spark, tmp_path):
         assert r["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
 
 
-def test_names_of_stages():
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mix", "encode"]
-    assert corpus_pipeline.ORACLE_SQL is None and F is not None and pytest
+def test_stages_take_empty_tables_and_rows_without_id(spark):
+    whole = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame([(None, "a text without an id that says enough to be kept by all of the stages", "en", "src1", 60), (None, None, None, None, None), (7_000_001, "", "en", None, 0)], whole.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, whole.limit(0), DATA).count() == 0, name
+        out = stage(spark, whole.limit(40).unionByName(odd), DATA)
+        assert name == "encode" or out.columns == whole.columns
+        if name in ("quality", "exact_dedup", "near_dedup"):
+            assert out.where("doc_id IS NULL").count() >= 1, name
+
+
+def test_near_stage_equals_brute_force(spark):
+    from test_near import brute
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = {i for i, _, _, kept in brute([(r["doc_id"], r["text"]) for r in docs.collect()]) if kept}
+    assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, DATA).collect()} == want
