@@ -1,13 +1,13 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Spark splits every text at white space, which no token crosses, and counts the distinct words of all documents.
-2. Each word of the table's head (the most frequent ones, at most `head_words`, which bounds what is broadcast) is
-   encoded once, and decoded through a join of its ids with the table of pieces.
-3. The ids are put back by position: in each batch the words become places in its distinct words, and the ids of those
-   are repeated by position. Words outside the head are encoded once for each batch that has them.
-
-The tail stays where it stands: moving it to one table and back would move every document too, as the ids of a text are
-wanted in order; the README has the figures.
+1. Spark splits every text at white space, which no token crosses. Documents of one task are packed into chunks: the
+   distinct words, and for each position the place of its word among them.
+2. The distinct words of all chunks are dealt by a hash to buckets. The task that has a bucket encodes each of its
+   distinct words once, however rare, and sends the ids back to the chunks.
+3. A cogroup by chunk puts the ids back by position. Texts are decoded through a join of the ids of distinct words with
+   the table of pieces (a hash join in Arrow, as large as the vocabulary).
+
+Texts don't move, only places and distinct words do. A word occurs once per chunk, so a frequent one makes no hot key.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, words_of
+from .common import materialise, shuffle_partitions, small_batches, words_of
 from .token_file import BYTE_OF
 
 #: How the vocabulary splits text within a word, and the mark of a word's end.
@@ -28,9 +29,13 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Words of these characters are normalised alike everywhere; others are given to the library as they are.
 PLAIN = re.compile("[\x21-\x7e¡-¬®-ÿ]+")
-HEAD_WORDS = 50_000
-HEAD_CHARS = 40
-#: Words that are encoded together.
+#: Words of a chunk: a task holds one chunk at a time (a longer text is a chunk by itself).
+CHUNK_WORDS = 1 << 21
+#: Distinct words of chunks that a bucket takes on average. A task holds the different ones of one bucket; beyond
+#: MOST_BUCKETS buckets grow instead of their number, so that rows of a chunk don't become single words.
+BUCKET_WORDS = 250_000
+MOST_BUCKETS = 1 << 16
+#: Words that are taken from a batch at once.
 SLICE_WORDS = 1 << 17
 
 
@@ -91,26 +96,6 @@ class WordEncoder:
         return out
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, n over all documents; words are split in Spark."""
-    return docs.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def head_of(counts: DataFrame, head_words: int, head_chars: int = HEAD_CHARS) -> DataFrame:
-    """The most frequent words, at most head_words, none longer than head_chars: by a power of two of their counts, so
-    that nothing has to be sorted."""
-    short = counts.where(F.length("word") <= head_chars)
-    power = F.floor(F.log2("n")).cast("int")
-    steps = {r["p"]: r["words"] for r in short.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("words")).collect()}
-    least, total = 63, 0
-    for p in sorted(steps, reverse=True):
-        total += steps[p]
-        if total > head_words:
-            break
-        least = p
-    return short.where(F.col("n") >= F.lit(float(2**least)))
-
-
 def pieces_table(spark, spec_broadcast) -> DataFrame:
     """id, piece, special of a vocabulary; as many rows as it has. A task reads the vocabulary, not the driver."""
 
@@ -122,32 +107,114 @@ def pieces_table(spark, spec_broadcast) -> DataFrame:
     return spark.range(1).coalesce(1).mapInArrow(rows, "id int, piece string, special boolean")
 
 
-def encode_words(words: DataFrame, spec_broadcast, pieces_broadcast) -> DataFrame:
-    """word, ids: each word of a table encoded once."""
+def packed(data: bytes) -> bytes:
+    import pyarrow as pa
 
-    def encode(batches):
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.Codec("zstd", 1).decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Non-negative 32-bit integers, byte by byte of their four, which packs well where most are small."""
+    return packed(np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpacked(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int) -> DataFrame:
+    """Rows of documents of one task, about chunk_words words together: their ids and numbers of words, the distinct
+    words in order of appearance, and for each position the place of its word among them. Words are split in Spark."""
+
+    def pack(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        held, n, made = [], 0, 0
+
+        def chunk():
+            nonlocal held, n, made
+            sizes = np.concatenate([words.value_lengths().to_numpy(zero_copy_only=False) for _, words in held])
+            code = pa.concat_arrays([words.flatten() for _, words in held]).dictionary_encode()
+            row = {
+                "chunk": pa.array([first + made], pa.int64()),
+                "doc_ids": pa.array([[i for ids, _ in held for i in ids.to_pylist()]], pa.list_(pa.int64())),
+                "sizes": pa.array([sizes.tolist()], pa.list_(pa.int32())),
+                "places": pa.array([pack_numbers(code.indices.to_numpy(zero_copy_only=False))], pa.binary()),
+                "words": pa.array([packed(" ".join(code.dictionary.to_pylist()).encode())], pa.binary()),
+                "n_words": pa.array([len(code.dictionary)], pa.int32()),
+            }
+            held, n, made = [], 0, made + 1
+            return pa.record_batch(row)
+
+        for batch in (part for whole in batches for part in parts(whole)):
+            held.append((batch.column(0), batch.column(1)))
+            n += len(batch.column(1).flatten())
+            if n >= chunk_words:
+                yield chunk()
+        if held:
+            yield chunk()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    return rows.mapInArrow(pack, "chunk long, doc_ids array<long>, sizes array<int>, places binary, words binary, n_words int")
 
-        to_ids = WordEncoder(lambda: spec_broadcast.value, pieces_broadcast.value)
-        for batch in batches:
-            yield pa.record_batch({"word": batch.column(0), "ids": pa.array([to_ids(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))})
 
-    return words.select("word").mapInArrow(encode, "word string, ids array<int>")
+def deal_words(packs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, chunk, at, words: the distinct words of each chunk, dealt by a hash; `at` are their places in the chunk."""
 
+    def deal(batches):
+        import pyarrow as pa
 
-def decode_words(table: DataFrame, pieces: DataFrame) -> DataFrame:
-    """word, ids, decoded: through a join of the ids with the pieces of a vocabulary (its size doesn't depend on data)."""
-    long = table.select("word", "ids", F.posexplode("ids").alias("at", "id"))
-    found = long.join(F.broadcast(pieces), "id")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), " ")
-    return found.groupBy("word").agg(F.first("ids").alias("ids"), joined.alias("decoded"))
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = unpacked(data).split(b" ")
+                bucket = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                names, begins = np.unique(bucket[order], return_index=True)
+                slices = np.split(order, begins[1:])
+                yield pa.record_batch({
+                    "bucket": pa.array(names, pa.int32()),
+                    "chunk": pa.array([chunk] * len(names), pa.int64()),
+                    "at": pa.array([pack_numbers(np.diff(at, prepend=0)) for at in slices], pa.binary()),
+                    "words": pa.array([packed(b" ".join([words[i] for i in at])) for at in slices], pa.binary()),
+                })
+
+    return packs.where("n_words > 0").select("chunk", "words").mapInArrow(deal, "bucket int, chunk long, at binary, words binary")
+
+
+def encode_words(dealt: DataFrame, buckets: int, spec_broadcast, pieces_broadcast) -> DataFrame:
+    """chunk, at, sizes, ids: a bucket's rows meet in one task, which encodes each of its distinct words once. It holds
+    these words and reads the chunks one after the other."""
 
+    def encode(batches):
+        import pyarrow as pa
 
-def distinct_word_table(docs: DataFrame, spec_broadcast, pieces_broadcast, pieces: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
-    """word, ids, decoded for the head of the distinct words."""
-    counts = materialise(word_counts(docs, text_col).where("n > 1"), "word-counts")
-    head = encode_words(head_of(counts, head_words), spec_broadcast, pieces_broadcast)
-    return decode_words(materialise(head, "word-table"), pieces)
+        to_ids = WordEncoder(lambda: spec_broadcast.value, pieces_broadcast.value)
+        now, table = None, {}
+        for batch in batches:
+            sizes, ids = [], []
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if bucket != now:
+                    now, table = bucket, {}
+                found = []
+                for word in unpacked(data).split(b" "):
+                    code = table.get(word)
+                    if code is None:
+                        code = table[word] = np.array(to_ids(word.decode()), "<u4").tobytes()
+                    found.append(code)
+                sizes.append(pack_numbers(np.fromiter(map(len, found), np.int64, len(found)) // 4))
+                ids.append(pack_numbers(np.frombuffer(b"".join(found), "<u4")))
+            yield pa.record_batch({"chunk": batch.column(1), "at": batch.column(2), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
+    apart = dealt.repartition(min(buckets, 4 * shuffle_partitions(dealt.sparkSession)), "bucket").sortWithinPartitions("bucket")
+    return apart.mapInArrow(encode, "chunk long, at binary, sizes binary, ids binary")
 
 
 def parts(batch):
@@ -160,7 +227,27 @@ def parts(batch):
         k = stop
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, digests: bool = False) -> DataFrame:
+def chunk_table(n_words: int, coded, pieces):
+    """Of a chunk's distinct words: where their ids begin and how many there are, all ids, and the decoded texts, which
+    come from joining the ids with the pieces."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = [[unpack_numbers(x) for x in coded.column(c).to_pylist()] for c in ("at", "sizes", "ids")]
+    one = lambda arrays: np.concatenate(arrays).astype(np.int64) if arrays else np.zeros(0, np.int64)
+    at, n, ids = one([np.cumsum(a, dtype=np.int64) for a in rows[0]]), one(rows[1]), one(rows[2])
+    sizes, begins, decoded = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), np.full(n_words, "", object)
+    edges = np.concatenate([[0], np.cumsum(n)])
+    found = pc.take(pieces.column("piece"), pc.index_in(pa.array(ids, pa.int32()), pieces.column("id")))
+    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+    sizes[at], begins[at] = n, edges[:-1]
+    decoded[at] = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), found), " ").to_numpy(zero_copy_only=False)
+    return sizes, begins, ids, decoded
+
+
+def encode_documents(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, chunk_words: int = CHUNK_WORDS, bucket_words: int = BUCKET_WORDS
+) -> DataFrame:
     """doc_id, n_tokens, and ids and decoded, or with `digests` their SHA-256 (ids as little-endian 32-bit integers).
 
     One row per row of the table; other columns are ignored. A null text counts as empty: no ids, an empty decoded text.
@@ -170,55 +257,35 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the data
-    pieces = materialise(pieces_table(spark, spec), "word-pieces")
-    vocabulary = spark.sparkContext.broadcast(pieces.toArrow().sort_by("id").combine_chunks())
-    table = distinct_word_table(docs, spec, vocabulary, pieces.select("id", "piece"), text_col, head_words)
-    head = spark.sparkContext.broadcast(table.select("word", "ids", "decoded").toArrow().combine_chunks())  # at most head_words rows of bounded width
+    vocabulary = spark.sparkContext.broadcast(pieces_table(spark, spec).toArrow().sort_by("id").combine_chunks())
+    packs = materialise(chunks(docs, id_col, text_col, chunk_words), "word-chunks")
+    words = packs.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(1, min(MOST_BUCKETS, -(-words // bucket_words)))
+    coded = encode_words(deal_words(packs, buckets), buckets, spec, vocabulary)
 
-    def encode(batches):
+    def encode(chunk, coded):
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        to_ids = WordEncoder(lambda: spec.value, vocabulary.value)
-        one = lambda c, kind: c.combine_chunks().cast(kind) if c.num_chunks else pa.array([], kind)
-        known, known_ids, known_text = (one(head.value.column(c), kind) for c, kind in (("word", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())))
-        names, pieces = one(vocabulary.value.column("id"), pa.int32()), one(vocabulary.value.column("piece"), pa.string())
-
-        def coded(words):
-            """ids and decoded text of distinct words: those of the head, and others encoded here."""
-            at = pc.index_in(words, known)
-            rest = pa.array([to_ids(w) for w in words.filter(at.is_null()).to_pylist()], pa.list_(pa.int32()))
-            found = pc.take(pieces, pc.index_in(rest.flatten(), names))
-            edges = np.concatenate([[0], np.cumsum(rest.value_lengths().to_numpy(zero_copy_only=False))])
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), found), " ")
-            none = at.is_null().to_numpy(zero_copy_only=False)
-            place = pa.array(np.where(none, len(known) + np.cumsum(none) - 1, at.fill_null(0).to_numpy(zero_copy_only=False)))
-            return pa.concat_arrays([known_ids, rest]).take(place), pa.concat_arrays([known_text, text]).take(place)
 
-        for batch in (part for whole in batches for part in parts(whole)):
-            words = batch.column(1)
-            inside = words.values.slice(words.offsets[0].as_py(), words.offsets[-1].as_py() - words.offsets[0].as_py()).dictionary_encode()
-            found, texts = coded(inside.dictionary)
-            sizes = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = found.flatten().to_numpy(zero_copy_only=False)
-            begins = np.cumsum(sizes) - sizes
-            decoded = np.append(texts.to_numpy(zero_copy_only=False).astype(object), "")
-            at, edges = inside.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.offsets.to_numpy() - words.offsets[0].as_py()
-            out_n, out_ids, out_text = [], [], []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                own = at[a:b]
+        rows = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
+        for pack in chunk.to_pylist():
+            sizes, begins, flat, decoded = chunk_table(pack["n_words"], coded, vocabulary.value)
+            places = unpack_numbers(pack["places"])
+            edges = np.concatenate([[0], np.cumsum(pack["sizes"], dtype=np.int64)])
+            for doc_id, a, b in zip(pack["doc_ids"], edges[:-1], edges[1:], strict=True):
+                own = places[a:b]
                 n = sizes[own]
                 ends = np.cumsum(n)
                 total = int(ends[-1]) if len(ends) else 0
-                ids = flat[np.repeat(begins[own] - ends + n, n) + np.arange(total)] if total else flat[:0]
+                ids = flat[np.repeat(begins[own] - ends + n, n) + np.arange(total)].astype("<u4")
                 text = " ".join(decoded[own[n > 0]])
-                out_n.append(total)
-                out_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() if digests else ids)
-                out_text.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
-            names_ = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-            kind = pa.string() if digests else pa.list_(pa.int32())
-            yield pa.record_batch({"doc_id": batch.column(0), "n_tokens": pa.array(out_n, pa.int64()), names_[0]: pa.array(out_ids, kind), names_[1]: pa.array(out_text, pa.string())})
+                rows["doc_id"].append(doc_id)
+                rows["n_tokens"].append(total)
+                rows["ids"].append(hashlib.sha256(ids.tobytes()).hexdigest() if digests else ids)
+                rows["decoded"].append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
+        names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
+        kind = pa.string() if digests else pa.list_(pa.int32())
+        return pa.table({"doc_id": pa.array(rows["doc_id"], pa.int64()), "n_tokens": pa.array(rows["n_tokens"], pa.int64()), names[0]: pa.array(rows["ids"], kind), names[1]: pa.array(rows["decoded"], pa.string())})
 
     shape = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    return rows.mapInArrow(encode, f"doc_id long, {shape}")
+    left = packs.select("chunk", "doc_ids", "sizes", "places", "n_words").groupBy("chunk")
+    return left.cogroup(coded.groupBy("chunk")).applyInArrow(encode, f"doc_id long, {shape}")

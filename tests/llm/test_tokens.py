@@ -66,10 +66,31 @@ def test_slices_hold_all_rows(monkeypatch):
         assert [w for part in word_bpe.parts(batch.slice(1)) for w in part.column(1).to_pylist()] == words[1:]
 
 
-def test_head_is_bounded(spark):
-    counts = spark.createDataFrame([(f"w{i}", 2 ** (i % 5)) for i in range(100)] + [("x" * 100, 999)], "word string, n long")
-    assert word_bpe.head_of(counts, 45).count() == 40
-    assert word_bpe.head_of(counts, 3).count() == 0
+@pytest.mark.parametrize(("chunk_words", "bucket_words"), [(1, 1), (7, 3), (50, 10_000), (10_000, 10)])
+def test_ids_come_back_from_any_number_of_chunks_and_buckets(spark, chunk_words, bucket_words):
+    texts = [" ".join(f"w{(k * j) % 37}x{j % 5} Rare{k}" for j in range(k % 9)) for k in range(60)] + ["", None, "a" * 2000, "once-only " * 300]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in word_bpe.encode_documents(df, vocabulary("word_bpe_49k.json"), chunk_words=chunk_words, bucket_words=bucket_words).collect()}
+    theirs = library("word_bpe_49k.json")
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        ids = theirs.encode(text or "", add_special_tokens=False).ids
+        assert (got[k]["ids"], got[k]["n_tokens"], got[k]["decoded"]) == (ids, len(ids), theirs.decode(ids, skip_special_tokens=False))
+
+
+def test_numbers_are_packed_and_unpacked():
+    for numbers in ([], [0], [5, 0, 2**32 - 1, 256, 65536]):
+        assert word_bpe.unpack_numbers(word_bpe.pack_numbers(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_each_word_is_in_one_bucket(spark):
+    df = spark.createDataFrame([(k, "same words " * 5 + f"own{k}") for k in range(40)], "doc_id long, text string").repartition(4)
+    dealt = word_bpe.deal_words(word_bpe.chunks(df, "doc_id", "text", 20), 8).collect()
+    where = {}
+    for r in dealt:
+        for w in word_bpe.unpacked(r["words"]).split(b" "):
+            where.setdefault(w, set()).add(r["bucket"])
+    assert len(where) == 42 and all(len(v) == 1 for v in where.values())
 
 
 def test_empty_table(spark):
