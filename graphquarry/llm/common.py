@@ -50,6 +50,18 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialise(), in buckets of `key` as many as a shuffle has partitions: a join on `key` then moves the other
+    side only. The table's name is taken out of the catalog again; its files stay in the shared folder."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    writer = df.write.format("parquet").mode("errorifexists").option("path", f"{scratch_root(spark)}/{table}")
+    writer.bucketBy(shuffle_partitions(spark), key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -7,7 +7,7 @@
 3. A cogroup by chunk puts the ids back by position. Texts are decoded through a join of the ids of distinct words with
    the table of pieces (a hash join in Arrow, as large as the vocabulary).
 
-Texts don't move, only places and distinct words do. A word occurs once per chunk, so a frequent one makes no hot key.
+Texts don't move, nor do places, which are written in buckets of chunks; only distinct words and their ids do. A word occurs once per chunk, so a frequent one makes no hot key.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, small_batches, words_of
+from .common import bucketed, shuffle_partitions, small_batches, words_of
 from .token_file import BYTE_OF
 
 #: How the vocabulary splits text within a word, and the mark of a word's end.
@@ -35,6 +35,8 @@ CHUNK_WORDS = 1 << 21
 #: MOST_BUCKETS buckets grow instead of their number, so that rows of a chunk don't become single words.
 BUCKET_WORDS = 250_000
 MOST_BUCKETS = 1 << 16
+#: Level of compression of what is written and shuffled.
+LEVEL = 6
 #: Words that are taken from a batch at once.
 SLICE_WORDS = 1 << 17
 
@@ -110,13 +112,13 @@ def pieces_table(spark, spec_broadcast) -> DataFrame:
 def packed(data: bytes) -> bytes:
     import pyarrow as pa
 
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(data, asbytes=True)
 
 
 def unpacked(data: bytes) -> bytes:
     import pyarrow as pa
 
-    return pa.Codec("zstd", 1).decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
@@ -258,7 +260,7 @@ def encode_documents(
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the data
     vocabulary = spark.sparkContext.broadcast(pieces_table(spark, spec).toArrow().sort_by("id").combine_chunks())
-    packs = materialise(chunks(docs, id_col, text_col, chunk_words), "word-chunks")
+    packs = bucketed(chunks(docs, id_col, text_col, chunk_words), "word-chunks", "chunk")
     words = packs.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(1, min(MOST_BUCKETS, -(-words // bucket_words)))
     coded = encode_words(deal_words(packs, buckets), buckets, spec, vocabulary)

@@ -83,6 +83,14 @@ def test_numbers_are_packed_and_unpacked():
         assert word_bpe.unpack_numbers(word_bpe.pack_numbers(np.array(numbers, np.int64))).tolist() == numbers
 
 
+def test_places_are_not_shuffled(spark):
+    df = spark.createDataFrame([(k, f"some words {k}") for k in range(20)], "doc_id long, text string").repartition(3)
+    out = word_bpe.encode_documents(df, vocabulary("word_bpe_49k.json"), chunk_words=5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(chunk") == 1 and "Bucketed: true" in plan
+    assert out.count() == 20
+
+
 def test_each_word_is_in_one_bucket(spark):
     df = spark.createDataFrame([(k, "same words " * 5 + f"own{k}") for k in range(40)], "doc_id long, text string").repartition(4)
     dealt = word_bpe.deal_words(word_bpe.chunks(df, "doc_id", "text", 20), 8).collect()
