@@ -20,6 +20,8 @@ Every link is confirmed with the full sets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ PAIR_LIMIT = 64
 BLOCK = 256
 #: Members of one piece of a large bucket.
 PIECE = 1024
+#: What tells classes of equal sets apart.
+CLASS = ["n_shingles", "low", "high"]
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -64,7 +68,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            sets, n, low, high, sigs = [], [], [], [], []
+            sets, n, hashes, sigs = [], [], [], []
 
             def flush(sets=sets, sigs=sigs):
                 full = [s for s in sets if len(s)]
@@ -75,30 +79,64 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in shingle_sets(batch.column(1)):
                 sets.append(s)
                 n.append(len(s))
-                low.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                high.append(int(np.bitwise_xor.reduce(mix(s ^ FLIPS[0])).view(np.int64)) if len(s) else 0)
+                hashes.append(set_hashes(s))
                 if sum(map(len, sets[-1:])) + 64 * len(sets) > 1 << 17:
                     flush()
             flush()
+            low, high = zip(*hashes, strict=True) if hashes else ((), ())
             yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64()), "sig": pa.array(sigs, pa.list_(pa.int64()))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, low long, high long, sig array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, items: the whole shingle sets of the documents whose ids are given."""
+def set_hashes(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a whole set: with its size they name its class."""
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s ^ FLIPS[0])).view(np.int64)) if len(s) else 0
+
+
+def full_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, odd: DataFrame | None = None) -> DataFrame:
+    """doc_id, items: the whole shingle sets of the classes that are given by their representatives (doc_id). `odd` (rep,
+    first_id, and the class) has the classes whose representative isn't the id of their first document."""
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.record_batch({"doc_id": batch.column(0), "items": pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1))], pa.list_(pa.int64()))})
+            items = list(shingle_sets(batch.column(1)))
+            low, high = zip(*map(set_hashes, items), strict=True) if items else ((), ())
+            columns = {"doc_id": batch.column(0), "n_shingles": pa.array(map(len, items), pa.int64()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())}
+            yield pa.record_batch(columns | {"items": pa.array([s.view(np.int64) for s in items], pa.list_(pa.int64()))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = if_small(materialise(ids, "near-ids"))
-    rows = rows.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, items array<long>")
-    return rows.dropDuplicates(["doc_id"])
+    reps = materialise(reps, "near-ids")
+    made = lambda ids: rows.join(if_small(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, n_shingles long, low long, high long, items array<long>")
+    out = made(reps).select("doc_id", "items").dropDuplicates(["doc_id"])
+    if odd is None:
+        return out
+    wanted = odd.join(reps.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").withColumnRenamed("first_id", "doc_id")
+    more = made(wanted.select("doc_id").distinct()).join(wanted, ["doc_id", *CLASS]).dropDuplicates(["rep"])
+    return out.unionByName(more.select(F.col("rep").alias("doc_id"), "items"))
+
+
+def with_representatives(known: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The classes of equal sets with `rep`, their smallest id; the odd ones of them; links (a, b) of classes through an id.
+
+    An id that has several texts is in several classes. Such an id names no class: a class that has it first is odd, and
+    is named by a negative hash of the class. None and None if no id has several texts.
+    """
+    own = F.struct(*CLASS)
+    several = known.groupBy("doc_id").agg(F.min(own).alias("least"), F.max(own).alias("most")).where("least != most").select("doc_id")
+    several = materialise(several, "near-several")
+    classes = known.groupBy(*CLASS).agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
+    if several.isEmpty():
+        return materialise(classes.withColumn("rep", F.col("first_id")), "near-classes"), None, None
+    named = classes.join(if_small(several.select(F.col("doc_id").alias("first_id"), F.lit(True).alias("clash"))), "first_id", "left")
+    name = F.xxhash64(*CLASS).bitwiseOR(F.lit(-(1 << 63)))
+    reps = materialise(named.withColumn("rep", F.when(F.col("clash"), name).otherwise(F.col("first_id"))).drop("clash"), "near-classes")
+    places = known.join(if_small(several), "doc_id", "left_semi").select("doc_id", *CLASS).distinct().join(reps.select(*CLASS, "rep"), CLASS).select("doc_id", "rep")
+    through = places.join(places.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").where("a != b").distinct()
+    return reps, reps.where("rep != first_id").select("rep", "first_id", *CLASS), materialise(through, "near-through")
 
 
 def ids_of(pairs: DataFrame) -> DataFrame:
@@ -231,15 +269,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id (the smallest id reachable over links), kept (doc_id = component_id).
 
     One row per row of the table; other columns are ignored. A text without words, or null, has no shingle and is linked
-    with nothing. Rows that repeat a doc_id and its text get equal results. A row without an id is linked with nothing:
-    its component_id is null and it stays. An empty table gives an empty result.
+    with nothing. Rows that repeat a doc_id and its text get equal results. An id with several texts is linked through each
+    of them: all its rows are in one component. A row without an id is linked with nothing: its component_id is null and
+    it stays. Very long texts are read whole, in windows. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     signed = materialise(signatures(docs, id_col, text_col), "near-signatures")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # classes of equal sets
-    same = ["n_shingles", "low", "high"]
-    reps = materialise(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near-classes")
+    reps, odd, through = with_representatives(known)
     keyed = reps.select("rep", F.explode(keys_of(F.col("sig"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialise(keyed.join(shared, "key").select("key", "rep", "n"), "near-buckets")
@@ -257,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spokes = materialise(spokes, "near-spokes")
     star = spokes.where(F.col("fits") & (F.col("lanes") >= STAR_MATCHES)).groupBy("a").agg(F.max_by("b", F.struct("lanes", -F.col("b"))).alias("b"))
     star = materialise(star, "near-star")
-    sets = full_sets(docs, ids_of(star), id_col, text_col)
+    sets = full_sets(docs, ids_of(star), id_col, text_col, odd)
     links = materialise(confirmed(star, sets, percent), "near-links")
     label = if_small(components(links))
 
@@ -270,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dense = alike.groupBy("key").agg((4 * F.count_if(F.col("lanes") >= MATCHES) >= F.max("n")).alias("dense"))
     rest = materialise(rest.join(dense, "key", "left").withColumn("dense", F.coalesce("dense", F.lit(False))), "near-rest")
     thin, thick = rest.where("NOT dense"), rest.where("dense")
-    more = []
+    more = [] if through is None else [through]
     if not thin.isEmpty():
         pieces = F.ceil(F.col("n") / PIECE).cast("int")  # a large bucket is dealt out: pieces of one side meet all of the other
         own = thin.select("key", F.col("rep").alias("a"), F.col("component").alias("of_a"), F.pmod(F.xxhash64("rep"), pieces).cast("int").alias("piece"))
@@ -280,23 +318,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = own.join(others, ["key", "piece"]).where(near).select("a", "b").distinct()
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        more.append(confirmed(pairs, full_sets(docs, ids_of(pairs), id_col, text_col), percent))
+        more.append(confirmed(pairs, full_sets(docs, ids_of(pairs), id_col, text_col, odd), percent))
     if not thick.isEmpty():
         anchors = thick.groupBy("key").agg(F.min("rep").alias("b"))
         family = components(thick.join(anchors, "key").select(F.col("rep").alias("a"), "b"))
         members = materialise(labelled(thick.select("rep", "component").distinct().withColumnRenamed("component", "own"), if_small(family)).select("rep", F.col("own").alias("component"), F.col("component").alias("family")), "near-families")
-        own = full_sets(docs, members.select(F.col("rep").alias("doc_id")), id_col, text_col)
+        own = full_sets(docs, members.select(F.col("rep").alias("doc_id")), id_col, text_col, odd)
         more.append(large_family_links(members, own, block, percent))
     if more:  # links between components join those
-        found = more[0] if len(more) == 1 else more[0].unionByName(more[1])
+        found = reduce(DataFrame.unionByName, more)
         found = labelled(found.select(F.col("a").alias("rep"), "b"), label).select(F.col("component").alias("a"), F.col("b").alias("rep"))
         found = labelled(found, label).select("a", F.col("component").alias("b"))
         joined = components(found)
         alone = joined.join(label, "node", "left_anti").select("node", "component")
         label = if_small(materialise(moved(label, joined.withColumnRenamed("component", "up")).unionByName(alone), "near-labels"))
 
-    of_class = labelled(reps.select(*same, "rep"), label).select(*same, "component")
-    out = signed.join(of_class, same, "left")
+    of_class = labelled(reps.select(*CLASS, "rep", "first_id"), label)
+    if odd is not None:  # a class's name may be no id
+        of_class = of_class.join(of_class.groupBy("component").agg(F.min("first_id").alias("smallest")), "component")
+        of_class = of_class.withColumn("component", F.col("smallest"))
+    out = signed.join(of_class.select(*CLASS, "component"), CLASS, "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), component))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -62,6 +62,27 @@ def test_null_ids_repeats_and_empty_table(spark):
     assert minhash_dedup.survivors(df).where("doc_id = 9").count() == 0
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_an_id_with_several_texts_is_linked_through_each(spark, turn):
+    w = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(4)]
+    rows = [(1, w[0]), (1, w[1]), (2, w[0] + " z"), (3, w[1] + " z"), (7, w[2]), (8, w[2]), (8, w[3]), (9, w[3] + " z"), (10, "q r s t u v")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows[::turn]], SHAPE)
+    out = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(df).collect()}
+    assert out == {(i, r, i == r) for i, t, r, _ in [(i, None, {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 10}[i], 0) for i, _ in rows]}
+
+
+def test_few_pairs_over_the_similarity_agree_in_less_lanes_than_asked():
+    """Measured at the least similarity: 20,000 pairs of sets with 0.75 of their union in common."""
+    rng = np.random.default_rng(4)
+    a, b = [], []
+    for _ in range(20_000):
+        s = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+        a.append(s[:70])
+        b.append(s[10:])
+    lanes = (minhash_dedup.signature(a) == minhash_dedup.signature(b)).sum(axis=1)
+    assert (lanes < minhash_dedup.MATCHES).mean() <= 1e-4 and (lanes < 25).mean() <= 1e-3
+
+
 def test_words_over_window_edges(monkeypatch):
     import pyarrow as pa
 
