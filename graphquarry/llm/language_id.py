@@ -189,12 +189,14 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Learn from at most about `sample_docs` documents of each language (the stated bound), chosen by a hash of the id.
+    """Learn from at most about `sample_docs` documents of each language (the stated bound), chosen by a hash of the id (of the
+    text where there is no id).
 
     Rows without text or language are left out. One document in five of the sample only calibrates the bounds. None if
     there is nothing to learn from.
     """
-    rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 30)).alias("u"))
+    instead = F.when(F.col(id_col).isNull(), F.col(text_col))  # a hash leaves nulls out
+    rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col, instead, F.lit(5)), F.lit(1 << 30)).alias("u"))
     known = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # as many rows as languages
     if not sizes:
