@@ -75,6 +75,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text_or_empty(text), SPACE_CLASS, -1), "")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with underscores before it until the table has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 #: Keys of one or two longs up to which a set of them is broadcast: at most some twenty megabytes.
 BROADCAST_KEYS = 300_000
 

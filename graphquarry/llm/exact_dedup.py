@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, SPACE_CLASS, if_small, materialise, shuffle_partitions, text_or_empty
+from .common import BROADCAST_KEYS, SPACE_CLASS, fresh, if_small, materialise, shuffle_partitions, text_or_empty
 
 ENTRY = ["key", "text_sha256", "n_bytes"]
 #: Distinct keys of a bucket; with fewer keys buckets are smaller, so that each task owns several of them.
@@ -110,7 +110,10 @@ def having(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The documents of these ids (doc_id) if the ids can be broadcast, so that other texts aren't read again; else all."""
     ids = ids.distinct()
     few = ids.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(ids.withColumnRenamed("doc_id", "_of")), docs[id_col].eqNullSafe(F.col("_of")), "left_semi") if few else docs
+    if not few:
+        return docs
+    of = fresh(docs, "_of")
+    return docs.join(F.broadcast(ids.withColumnRenamed("doc_id", of)), docs[id_col].eqNullSafe(F.col(of)), "left_semi")
 
 
 def differing(members: DataFrame, firsts: DataFrame, chains: DataFrame) -> DataFrame:
@@ -129,7 +132,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     One row per row of the table; rows that repeat id and text are members each, and share their verdict, and an id may have
     several texts. A null text counts as the empty text. A null id sorts after every other id: such a row stays only if its
-    whole group has no id. An empty table gives an empty result. Other columns of the table are ignored.
+    whole group has no id. An empty table gives an empty result. Very long texts are read whole, by hashes and comparisons
+    of the JVM. Other columns of the table are ignored, whatever their names.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, digest, key), "dedup-prints")
     keys = materialise(prints.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "dedup-keys")
@@ -161,8 +165,9 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     of_id = verdict.groupBy(F.col("doc_id").alias(id_col)).agg(F.bool_or("kept").alias("some"), gone.alias("gone")).where(F.size("gone") > 0)
     of_id = materialise(of_id, "dedup-gone")
     left = docs.join(if_small(of_id.where("NOT some").select(id_col)), id_col, "left_anti").select(*docs.columns)
-    parts = of_id.where("some").select(F.col(id_col).alias("of"), F.explode("gone").alias("sha"))  # ids with several texts
+    of, sha = fresh(docs, "_of"), fresh(docs, "_sha")
+    parts = of_id.where("some").select(F.col(id_col).alias(of), F.explode("gone").alias(sha))  # ids with several texts
     if parts.isEmpty():
         return left
-    same = (left[id_col] == F.col("of")) & (F.sha2(normalise(left[text_col]), 256) == F.col("sha"))
+    same = (left[id_col] == F.col(of)) & (F.sha2(normalise(left[text_col]), 256) == F.col(sha))
     return left.join(if_small(parts), same, "left_anti").select(*docs.columns)

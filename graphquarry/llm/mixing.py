@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import if_small, materialise, text_or_empty
+from .common import fresh, if_small, materialise, text_or_empty
 
 #: Rounds of a block; blocks go on until the shares are within TOLERANCE of their targets, MOST_BLOCKS at most: margins that
 #: contradict one another never meet, and the residual then says so.
@@ -149,9 +149,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sampled documents, with their own columns."""
-    dropped = mix_sources(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    of = fresh(docs, "_dropped")
+    dropped = mix_sources(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(of)).distinct()
     dropped = if_small(materialise(dropped, "mix-dropped"))
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("_dropped")), "left_anti").select(*docs.columns)
+    return docs.join(dropped, docs[id_col].eqNullSafe(F.col(of)), "left_anti").select(*docs.columns)
 
 
 def sql(iterations: int = ITERATIONS) -> str:

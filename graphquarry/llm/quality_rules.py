@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, materialise, text_or_empty, words_of
+from .common import SPACE_CLASS, SPACES, fresh, materialise, text_or_empty, words_of
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -101,14 +101,6 @@ def measurements(text: Column, words: Column, lines: Column) -> dict[str, Column
     }
 
 
-def fresh(docs: DataFrame, name: str) -> str:
-    """The name, with underscores before it until the table has no such column."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name = "_" + name
-    return name
-
-
 def with_parts(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, Column], list[str]]:
     """The table with text, words and lines made once for all measurements; the measurements; the names that were added."""
     text = text_or_empty(F.col(text_col))
