@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries_text", "queries_models", "queries_tokens", "queries_near")
+MODULES = ("queries_text", "queries_models", "queries_tokens", "queries_near", "queries_words")
 
 
 def _loaded():
