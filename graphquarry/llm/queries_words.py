@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_in_middle, spelling_variants
+from . import fill_in_middle, html_extraction, spelling_variants
 from .common import documents
 
 
@@ -90,5 +90,10 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefi
 FROM p
 """
 
-QUERIES = {"op11_spelling_variants": op11_spelling_variants, "op12_fill_in_middle": op12_fill_in_middle}
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {"op11_spelling_variants": op11_spelling_variants, "op12_fill_in_middle": op12_fill_in_middle, "op13_html_extraction": op13_html_extraction}
 ORACLES = {"op11_spelling_variants": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
