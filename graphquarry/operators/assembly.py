@@ -16,7 +16,15 @@ from . import graph, ranges
 
 #: The kind of node of a kind of symbol, and the relationship of an event.
 NODE_KINDS = {"class": "Class", "method": "Method", "method_signature": "Method", "interface": "Interface", "type_alias": "Type", "enum": "Type"}
-RELATIONSHIPS = {"call": "CALLS", "construction": "REFERENCES", "reference": "REFERENCES", "export": "EXPORTS"}
+RELATIONSHIPS = {"call": "CALLS", "construction": "REFERENCES", "reference": "REFERENCES", "export": "EXPORTS", "import": "IMPORTS"}
+KINDS = (*RELATIONSHIPS, "inheritance", "unresolved")
+#: Kinds of symbols that can be the source of an event, kinds of events that have a syntactic reference, names
+#: that stand for anonymous symbols, and how the names of those begin.
+AROUND = ("function", "function_overload", "method", "method_signature", "arrow_function", "function_expression", "class", "interface", "type_alias", "enum")
+SYNTACTIC = ("call", "construction", "inheritance")
+GENERIC_NAMES, ANONYMOUS = ("default", "__function"), "<anonymous"
+#: Columns of events that only some kinds have.
+EVENT = {"specifier": "string", "module_file": "string", "alias": "boolean", "exported_name": "string", "relationship": "string", "reason": "string", "expression": "string", "line": "int"}
 NODE = ["id", "kind", "label", "path", "symbol_id"]
 EDGE = ["id", "source", "target", "relationship", "resolution", "evidence_type", "evidence_file", "evidence_line", "start_byte", "end_byte"]
 UNRESOLVED = ["id", "source", "relationship", "expression", "reason", "evidence_file", "evidence_line", "start_byte", "end_byte"]
@@ -79,35 +87,132 @@ def structure(all_nodes: DataFrame, symbols: DataFrame, repository: str) -> Data
     return inside.unionByName(modules).unionByName(made)
 
 
-def from_events(events: DataFrame, all_nodes: DataFrame, symbols: DataFrame, repository: str) -> tuple[DataFrame, DataFrame]:
-    """Edges and unresolved references of events (seq, file, kind, start_byte, end_byte, line, scope_symbol_id,
-    target_symbol_id, expression). The source is the scope's symbol, else the innermost symbol around, else the module.
-    A reference that isn't bound is dropped; other events that aren't are unresolved. Of events at one place with the same ends
-    and relationship the last one counts. Events of files that aren't parsed say nothing."""
-    by_symbol = all_nodes.where("symbol_id IS NOT NULL")
+def filled(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The rows with null in those of the columns that they haven't."""
+    return rows.withColumns({c: null(kind) for c, kind in columns.items() if c not in rows.columns})
+
+
+def with_targets(events: DataFrame, symbols: DataFrame, side: str) -> DataFrame:
+    """Events with `<side>_symbol_id`: given, or found from their descriptor (file, name, start, end) of that side.
+
+    A symbol answers to a descriptor of its file and name if its span holds the descriptor's or lies in it; of several the
+    nearest, then the narrowest. The generic names answer for anonymous symbols. Descriptors that occur often are resolved
+    once, by equality of file and name.
+    """
+    parts = [f"{side}_{x}" for x in ("file", "name", "start", "end")]
+    if parts[0] not in events.columns:
+        return filled(events, {f"{side}_symbol_id": "string"})
+    events = filled(events, dict(zip(parts, ("string", "string", "int", "int"), strict=True)) | {f"{side}_symbol_id": "string"})
+    asked = events.where(F.col(parts[0]).isNotNull()).select(F.col(parts[0]).alias("file_id"), F.col(parts[1]).alias("given"), F.col(parts[2]).alias("d_start"), F.col(parts[3]).alias("d_end")).distinct()
+    generic = F.when(F.col("given").isin(*GENERIC_NAMES), F.array("given", F.lit(ANONYMOUS))).otherwise(F.array("given"))
+    answers = F.when(F.col("name").startswith(ANONYMOUS), F.array("name", F.lit(ANONYMOUS))).otherwise(F.array("name"))
+    known = symbols.select(F.col("path").alias("file_id"), F.explode(F.array_distinct(answers)).alias("name"), "id", "start_byte", "end_byte")
+    found = ranges.declared(asked.withColumn("name", F.explode(generic)), known)
+    far = F.abs(F.col("start_byte") - F.col("d_start")) + F.abs(F.col("end_byte") - F.col("d_end"))
+    places = symbols.select(F.col("id").alias("symbol_id"), "start_byte", "end_byte")
+    best = found.join(places, "symbol_id").groupBy("file_id", "given", "d_start", "d_end").agg(F.min_by("symbol_id", F.struct(far, F.col("end_byte") - F.col("start_byte"), "symbol_id")).alias("_found"))
+    best = best.select(F.col("file_id").alias(parts[0]), F.col("given").alias(parts[1]), F.col("d_start").alias(parts[2]), F.col("d_end").alias(parts[3]), "_found")
+    out = events.join(best, parts, "left")
+    return out.withColumn(f"{side}_symbol_id", F.coalesce(f"{side}_symbol_id", "_found")).drop("_found")
+
+
+def with_references(events: DataFrame, references: DataFrame | None) -> DataFrame:
+    """Events with the scope, line and column of the syntactic reference (path, kind, start_byte, start_line, start_column,
+    scope_symbol_id) of their kind at their place; without one their own line stands."""
+    events = filled(events, {"scope_symbol_id": "string", "line": "int", "column": "int"})
+    if references is None:
+        return events
+    of = references.where(F.col("kind").isin(*SYNTACTIC)).groupBy(F.col("path").alias("file"), "kind", "start_byte")
+    of = of.agg(F.max(F.struct("start_line", "start_column", "scope_symbol_id")).alias("_ref"))
+    out = events.join(of, ["file", "kind", "start_byte"], "left")
+    own = {"scope_symbol_id": F.coalesce("scope_symbol_id", "_ref.scope_symbol_id"), "line": F.coalesce("_ref.start_line", "line"), "column": F.coalesce("_ref.start_column", "column")}
+    return out.withColumns(own).drop("_ref")
+
+
+def externals(events: DataFrame, all_nodes: DataFrame, repository: str) -> DataFrame:
+    """A node ExternalDependency for each package that a parsed file imports by name: a specifier that begins with neither
+    . nor /, is no alias, and leads to no parsed module."""
+    if "specifier" not in events.columns:
+        return all_nodes.limit(0)
+    rows = filled(events, EVENT).where("kind = 'import'")
+    modules = all_nodes.where("kind = 'Module'").select("path")
+    rows = rows.join(modules.withColumnRenamed("path", "file"), "file", "left_semi").join(modules.withColumnRenamed("path", "module_file"), "module_file", "left_anti")
+    named = rows.where(packaged()).select(F.col("specifier").alias("label")).distinct()
+    kind = F.lit("ExternalDependency")
+    return named.select(node_id(kind, repository, F.col("label")).alias("id"), kind.alias("kind"), "label", null("string").alias("path"), null("string").alias("symbol_id"))
+
+
+def packaged() -> Column:
+    return ~F.col("specifier").rlike("^[./]") & ~F.coalesce("alias", F.lit(False))
+
+
+def from_events(events: DataFrame, all_nodes: DataFrame, symbols: DataFrame, repository: str, references: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges and unresolved references of a resolver's events.
+
+    An event has seq (its order), file, kind, start_byte, end_byte, line, expression, and by its kind:
+    * call, construction, reference: the target, as target_symbol_id or as a descriptor (target_file, _name, _start, _end).
+      The source is the scope's symbol, else the innermost symbol around, else the module. A reference that isn't bound
+      is dropped; others that aren't are unresolved.
+    * inheritance: relationship (EXTENDS, IMPLEMENTS), the target and in the same way the declaring class (source_...); a
+      class that isn't found leaves the module.
+    * export: the target and exported_name; from the module.
+    * import: specifier, module_file (where it leads), alias (the specifier is one). A parsed module gives IMPORTS and
+      DEPENDS_ON; a package's name an inferred IMPORTS of its node (see externals()); anything else is unresolved.
+    * unresolved: relationship and reason, as the resolver gave up.
+    Columns that are missing count as null, and events of other kinds or of files that aren't parsed say nothing. Of events
+    with one source, target, relationship and place the last one counts.
+    """
     modules = all_nodes.where("kind = 'Module'").select(F.col("path").alias("file"), F.col("id").alias("module"))
-    rows = events.where(F.col("kind").isin(*RELATIONSHIPS)).join(modules, "file")
-    spans = symbols.select(F.col("path").alias("file"), F.col("id").cast("string").alias("id"), F.col("start_byte").alias("_from"), F.col("end_byte").alias("_to"))
+    rows = filled(with_references(events.where(F.col("kind").isin(*KINDS)), references), EVENT).join(modules, "file")
+    around = symbols.where(F.col("kind").isin(*AROUND)) if "kind" in symbols.columns else symbols
+    spans = around.select(F.col("path").alias("file"), F.col("id").cast("string").alias("id"), F.col("start_byte").alias("_from"), F.col("end_byte").alias("_to"))
     rows = ranges.innermost(rows.drop("enclosing"), spans, "file", "start_byte", "_from", "_to")
+    rows = with_targets(with_targets(rows, symbols, "target"), symbols, "source")
+    by_symbol = all_nodes.where("symbol_id IS NOT NULL")
     named = lambda column, name: by_symbol.select(F.col("symbol_id").alias(column), F.col("id").alias(name))
-    rows = rows.join(named("scope_symbol_id", "scope"), "scope_symbol_id", "left").join(named("enclosing", "around"), "enclosing", "left").join(named("target_symbol_id", "bound"), "target_symbol_id", "left")
-    relationship = F.create_map(*(F.lit(x) for pair in RELATIONSHIPS.items() for x in pair))[F.col("kind")]
-    source = F.when(F.col("kind") == "export", F.col("module")).otherwise(F.coalesce("scope", "around", "module"))
-    rows = rows.withColumns({"source": source, "relationship": relationship})
-    found = graph.last_wins(rows.where("bound IS NOT NULL"), ["source", "bound", "relationship", "file", "start_byte"], "seq")
-    kind = F.when(F.col("kind") == "export", "semantic_export").otherwise("semantic_reference")
-    made = edge(found, source=F.col("source"), target=F.col("bound"), relationship=F.col("relationship"), resolution=F.lit("resolved"), evidence_type=kind, evidence_file=F.col("file"), evidence_line=F.col("line"), start_byte=F.col("start_byte"), end_byte=F.col("end_byte"))
-    reason = F.when(F.col("kind") == "export", "export_target_not_indexed").otherwise("target_not_uniquely_indexed")
-    loose = rows.where("bound IS NULL AND kind != 'reference'").withColumn("reason", reason)
+    for column, name in (("scope_symbol_id", "scope"), ("enclosing", "around"), ("target_symbol_id", "bound"), ("source_symbol_id", "declaring")):
+        rows = rows.join(named(column, name), column, "left")
+    leads = modules.select(F.col("file").alias("module_file"), F.col("module").alias("imported"))
+    rows = rows.join(leads, "module_file", "left")
+    is_import, is_export, gave_up = (F.col("kind") == k for k in ("import", "export", "unresolved"))
+    relationship = F.coalesce(F.create_map(*(F.lit(x) for pair in RELATIONSHIPS.items() for x in pair))[F.col("kind")], "relationship")
+    source = F.when(is_import | is_export, F.col("module")).when(F.col("kind") == "inheritance", F.coalesce("declaring", "module")).otherwise(F.coalesce("scope", "around", "module"))
+    package = F.when(is_import & F.col("imported").isNull() & packaged(), node_id(F.lit("ExternalDependency"), repository, F.col("specifier")))
+    said = F.when(is_import, F.col("specifier")).when(is_export, F.col("exported_name")).when(~gave_up, F.col("expression"))
+    end = F.when(is_import, F.coalesce("imported", package)).when(~gave_up, F.col("bound"))
+    rows = rows.withColumns({"source": source, "relationship": relationship, "end": end, "said": said, "imported": F.when(is_import, F.col("imported"))})
+    rows = graph.cut(rows.select("seq", "file", "kind", "start_byte", "end_byte", "line", "source", "end", "imported", "relationship", "said", "reason", "expression"))
+
+    found = rows.where("end IS NOT NULL")
+    derived = found.where("imported IS NOT NULL").withColumn("relationship", F.lit("DEPENDS_ON")).withColumn("kind", F.lit("derived"))
+    found = graph.last_wins(found.unionByName(derived), ["source", "end", "relationship", "file", "start_byte"], "seq")
+    inferred = (F.col("kind") == "import") & F.col("imported").isNull()
+    proof = F.when(inferred, "package_specifier").when(F.col("kind") == "import", "semantic_module_resolution").when(F.col("kind") == "derived", "derived_import").when(F.col("kind") == "export", "semantic_export").otherwise("semantic_reference")
+    made = edge(found, source=F.col("source"), target=F.col("end"), relationship=F.col("relationship"), resolution=F.when(inferred, "inferred").otherwise("resolved"), evidence_type=proof, evidence_file=F.col("file"), evidence_line=F.col("line"), start_byte=F.col("start_byte"), end_byte=F.col("end_byte"))
+    why = F.when(F.col("kind") == "import", "local_module_not_indexed_or_missing").when(F.col("kind") == "export", "export_target_not_indexed").when(F.col("kind") == "unresolved", F.col("reason")).otherwise("target_not_uniquely_indexed")
+    loose = rows.where("end IS NULL AND kind != 'reference'").withColumn("reason", why)
     loose = graph.last_wins(loose, ["source", "relationship", "file", "start_byte", "reason"], "seq")
     identity = entity_id("unresolved", F.col("source"), F.col("relationship"), F.col("file"), F.col("start_byte").cast("string"), F.col("reason"))
-    return made, loose.select(identity.alias("id"), "source", "relationship", "expression", "reason", F.col("file").alias("evidence_file"), F.col("line").alias("evidence_line"), "start_byte", "end_byte")
-
-
-def build(files: DataFrame, symbols: DataFrame, events: DataFrame, repository: str) -> dict[str, DataFrame]:
-    """nodes, edges and unresolved of a repository."""
-    all_nodes = graph.cut(nodes(files, symbols, repository))
-    made, loose = from_events(events, all_nodes, symbols, repository)
+    return made, loose.select(identity.alias("id"), "source", "relationship", F.coalesce("said", "expression").alias("expression"), "reason", F.col("file").alias("evidence_file"), F.col("line").alias("evidence_line"), "start_byte", "end_byte")
+
+
+def refuse_changed(files: DataFrame, current: DataFrame) -> None:
+    """Raise if a file of the inventory (path, content_sha256) isn't there now (path, content_sha256) or has other content:
+    relationships between two states of the sources aren't published."""
+    now = current.select("path", F.col("content_sha256").alias("now"))
+    changed = files.where("content_sha256 IS NOT NULL").join(now, "path", "left").where("NOT content_sha256 <=> now").orderBy("path").select("path").first()
+    if changed is not None:
+        raise RuntimeError(f"a file changed while the graph was built: {changed['path']}")
+
+
+def build(files: DataFrame, symbols: DataFrame, events: DataFrame, repository: str, references: DataFrame | None = None, current: DataFrame | None = None) -> dict[str, DataFrame]:
+    """nodes, edges and unresolved of a repository: all relationships from one table of events (see from_events()). With
+    `current`, the contents as they are now, a changed file refuses the build."""
+    if current is not None:
+        refuse_changed(files, current)
+    found = nodes(files, symbols, repository)
+    all_nodes = graph.cut(found.unionByName(externals(events, found, repository)))
+    made, loose = from_events(events, all_nodes, symbols, repository, references)
     return {"nodes": all_nodes, "edges": structure(all_nodes, symbols, repository).unionByName(made), "unresolved": loose}
 
 

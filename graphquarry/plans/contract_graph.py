@@ -118,6 +118,108 @@ def described_edges(spark, sf_dir):
     return rows.groupBy("source_kind", "target_kind", "target_syntax", "relationship").agg(F.count(F.lit(1)).alias("n"), F.min("target_label").alias("least"))
 
 
+# ── all relationships from one table of events: descriptors of targets and classes, imports, what a resolver gave up ──
+
+_WHOLE = _FACTS.split(", files AS (")[0].replace("p_name AS name", "CASE WHEN p_partkey % 13 = 0 THEN '<anonymous ' || p_partkey || '>' ELSE p_name END AS name") + """,
+files AS (SELECT DISTINCT path, path NOT LIKE '%/m6.js' AS parsed FROM symbols),
+events AS (
+  SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey % 100000) * 1000 + l_suppkey % 1000 AS seq, s.path AS file, ['unresolved', 'call', 'reference', 'construction', 'export', 'import', 'inheritance'][l_linenumber % 7 + 1] AS kind,
+    (l_orderkey * 13) % 5200 AS pos, l_linestatus AS expression, 'x' || l_suppkey AS exported, 'gave up ' || l_linestatus AS reason,
+    CASE WHEN l_linenumber = 6 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'EXTENDS' ELSE 'IMPLEMENTS' END WHEN l_linenumber = 7 THEN 'CALLS' END AS said,
+    t.path AS t_file, CASE WHEN t.id IS NULL THEN NULL WHEN t.name LIKE '<anonymous%' THEN 'default' WHEN l_orderkey % 11 = 0 THEN 'absent' ELSE t.name END AS t_name,
+    t.a + [0, -5, 10][l_orderkey % 3 + 1] + CASE WHEN l_orderkey % 17 = 0 THEN 3000 ELSE 0 END AS t_from, t.b + [0, 5, -10][l_orderkey % 3 + 1] + CASE WHEN l_orderkey % 17 = 0 THEN 3000 ELSE 0 END AS t_to,
+    s.path AS s_file, CASE WHEN s.name LIKE '<anonymous%' THEN '__function' ELSE s.name END AS s_name, s.a AS s_from, s.b AS s_to,
+    ['./m', 'pkg' || l_suppkey % 5, '@app/x', 'lib' || l_suppkey % 3][l_orderkey % 4 + 1] AS specifier, CASE WHEN l_orderkey % 2 = 0 THEN t.path END AS module_file,
+    CASE WHEN l_quantity < 10 THEN s.id END AS ref_scope
+  FROM lineitem JOIN symbols s ON s.id = 'p' || l_partkey LEFT JOIN symbols t ON l_returnflag <> 'R' AND t.id = 'p' || l_suppkey * 3
+), refs AS (
+  SELECT file, kind, pos, max({'line': pos // 40 + 2, 'scope': ref_scope}) AS r FROM events WHERE ref_scope IS NOT NULL AND kind IN ('call', 'construction', 'inheritance') GROUP BY ALL
+), module_nodes AS (SELECT path, 'Module:' || sha256('["repo", "' || path || '"]') AS id FROM files WHERE parsed),
+symbol_nodes AS (
+  SELECT s.id AS symbol_id, CASE s.kind WHEN 'class' THEN 'Class' WHEN 'method' THEN 'Method' WHEN 'interface' THEN 'Interface' WHEN 'enum' THEN 'Type' ELSE 'Function' END || ':' || sha256('["repo", "' || s.id || '"]') AS id
+  FROM symbols s JOIN files USING (path) WHERE parsed
+), asked AS (SELECT DISTINCT t_file AS f, t_name AS n, t_from AS a, t_to AS b FROM events WHERE t_file IS NOT NULL UNION SELECT DISTINCT s_file, s_name, s_from, s_to FROM events),
+answered AS (
+  SELECT f, n, q.a, q.b, list(s.id ORDER BY abs(s.a - q.a) + abs(s.b - q.b), s.b - s.a, s.id)[1] AS symbol_id FROM asked q JOIN symbols s ON s.path = f
+  WHERE ((s.a <= q.a AND q.b <= s.b) OR (q.a <= s.a AND s.b <= q.b)) AND (s.name = n OR n IN ('default', '__function') AND s.name LIKE '<anonymous%') GROUP BY ALL
+), held AS (SELECT file, pos, list(id ORDER BY b - a, id)[1] AS around FROM (SELECT DISTINCT file, pos FROM events) x JOIN symbols s ON s.path = file AND a <= pos AND pos < b GROUP BY 1, 2),
+bound AS (
+  SELECT e.*, m.id AS module, i.id AS imported, t.id AS target, coalesce(r.r.line, e.pos // 40 + 1) AS line,
+    CASE WHEN e.kind IN ('import', 'export') THEN m.id WHEN e.kind = 'inheritance' THEN coalesce(d.id, m.id) ELSE coalesce(sc.id, ar.id, m.id) END AS source,
+    CASE e.kind WHEN 'call' THEN 'CALLS' WHEN 'export' THEN 'EXPORTS' WHEN 'import' THEN 'IMPORTS' WHEN 'construction' THEN 'REFERENCES' WHEN 'reference' THEN 'REFERENCES' ELSE said END AS relationship,
+    CASE WHEN e.kind = 'import' AND i.id IS NULL AND NOT regexp_matches(specifier, '^[./]') AND NOT starts_with(specifier, '@app') THEN 'ExternalDependency:' || sha256('["repo", "' || specifier || '"]') END AS package
+  FROM events e JOIN module_nodes m ON m.path = e.file LEFT JOIN module_nodes i ON i.path = e.module_file AND e.kind = 'import'
+  LEFT JOIN refs r ON r.file = e.file AND r.kind = e.kind AND r.pos = e.pos
+  LEFT JOIN answered x ON x.f = t_file AND x.n = t_name AND x.a = t_from AND x.b = t_to LEFT JOIN symbol_nodes t ON t.symbol_id = x.symbol_id
+  LEFT JOIN answered y ON y.f = s_file AND y.n = s_name AND y.a = s_from AND y.b = s_to LEFT JOIN symbol_nodes d ON d.symbol_id = y.symbol_id
+  LEFT JOIN symbol_nodes sc ON sc.symbol_id = r.r.scope LEFT JOIN held h ON h.file = e.file AND h.pos = e.pos LEFT JOIN symbol_nodes ar ON ar.symbol_id = h.around
+), ended AS (SELECT *, CASE WHEN kind = 'import' THEN coalesce(imported, package) WHEN kind <> 'unresolved' THEN target END AS goal FROM bound),
+several AS (
+  SELECT seq, file, pos, line, source, goal, relationship, kind, CASE WHEN kind = 'import' THEN CASE WHEN imported IS NULL THEN 'package_specifier' ELSE 'semantic_module_resolution' END WHEN kind = 'export' THEN 'semantic_export' ELSE 'semantic_reference' END AS proof FROM ended WHERE goal IS NOT NULL
+  UNION ALL SELECT seq, file, pos, line, source, goal, 'DEPENDS_ON', kind, 'derived_import' FROM ended WHERE kind = 'import' AND imported IS NOT NULL
+)"""
+
+
+def _whole_facts(spark, sf_dir):
+    """Files, symbols, events and syntactic references, with events of every kind."""
+    files, symbols, _ = _facts(spark, sf_dir)
+    key = F.regexp_extract("id", "[0-9]+", 0)
+    symbols = symbols.withColumn("name", F.when(key.cast("long") % 13 == 0, F.concat(F.lit("<anonymous "), key, F.lit(">"))).otherwise(F.col("name"))).withColumn("qualified_name", F.col("name"))
+    own = symbols.select(F.col("id").alias("s_id"), F.col("path").alias("file"), F.col("name").alias("s_name"), F.col("start_byte").alias("source_start"), F.col("end_byte").alias("source_end"))
+    goal = symbols.select(F.col("id").alias("t_id"), F.col("path").alias("target_file"), F.col("name").alias("t_name"), F.col("start_byte").alias("t_a"), F.col("end_byte").alias("t_b"))
+    named = lambda k: F.concat(F.lit("p"), k.cast("string"))
+    items = table(spark, sf_dir, "lineitem").withColumns({"s_id": named(F.col("l_partkey")), "t_id": F.when(F.col("l_returnflag") != "R", named(F.col("l_suppkey") * 3))}).join(own, "s_id").join(goal, "t_id", "left")
+    k, o = F.col("l_linenumber"), F.col("l_orderkey")
+    pick = lambda column, values: F.element_at(F.array(*(v if not isinstance(v, (str, int)) else F.lit(v) for v in values)), (column % len(values) + 1).cast("int"))
+    shift = F.when(o % 17 == 0, 3000).otherwise(0)
+    anonymous = lambda c: F.col(c).startswith("<anonymous")
+    at = ((o * 13) % 5200).cast("int")
+    specifier = pick(o, ["./m", F.concat(F.lit("pkg"), (F.col("l_suppkey") % 5).cast("string")), "@app/x", F.concat(F.lit("lib"), (F.col("l_suppkey") % 3).cast("string"))])
+    events = items.select(
+        (((o * 10 + k) * 100_000 + F.col("l_partkey") % 100_000) * 1000 + F.col("l_suppkey") % 1000).alias("seq"), "file", pick(k, ["unresolved", "call", "reference", "construction", "export", "import", "inheritance"]).alias("kind"), at.alias("start_byte"), (at + 5).alias("end_byte"), (F.floor(at / 40) + 1).cast("int").alias("line"),
+        F.col("l_linestatus").alias("expression"), F.concat(F.lit("x"), F.col("l_suppkey").cast("string")).alias("exported_name"), F.concat(F.lit("gave up "), "l_linestatus").alias("reason"),
+        F.when(k == 6, F.when(o % 2 == 0, "EXTENDS").otherwise("IMPLEMENTS")).when(k == 7, "CALLS").alias("relationship"),
+        "target_file", F.when(anonymous("t_name"), "default").when(F.col("t_id").isNotNull() & F.col("t_name").isNotNull() & (o % 11 == 0), "absent").otherwise(F.col("t_name")).alias("target_name"),
+        (F.col("t_a") + pick(o, [0, -5, 10]) + shift).alias("target_start"), (F.col("t_b") + pick(o, [0, 5, -10]) + shift).alias("target_end"),
+        F.col("file").alias("source_file"), F.when(anonymous("s_name"), "__function").otherwise(F.col("s_name")).alias("source_name"), "source_start", "source_end",
+        specifier.alias("specifier"), specifier.startswith("@app").alias("alias"), F.when(o % 2 == 0, F.col("target_file")).alias("module_file"), F.when(F.col("l_quantity") < 10, F.col("s_id")).alias("_scope"),
+    )
+    references = events.where("_scope IS NOT NULL").select(F.col("file").alias("path"), "kind", "start_byte", (F.floor(F.col("start_byte") / 40) + 2).cast("int").alias("start_line"), (F.col("start_byte") % 40).alias("start_column"), F.col("_scope").alias("scope_symbol_id"))
+    return files, symbols, events.drop("_scope"), references
+
+
+def _whole(spark, sf_dir) -> dict[str, DataFrame]:
+    files, symbols, events, references = _whole_facts(spark, sf_dir)
+    return assembly.build(files, symbols, events, "repo", references)
+
+
+@query("event_edges", _WHOLE + """ SELECT 'rel:' || sha256('["' || source || '", "' || goal || '", "' || relationship || '", "' || file || '", "' || pos || '"]') AS id, source, goal AS target, relationship,
+  CASE WHEN proof = 'package_specifier' THEN 'inferred' ELSE 'resolved' END AS resolution, proof AS evidence_type, file AS evidence_file, line::INTEGER AS evidence_line, pos::INTEGER AS start_byte FROM several
+  QUALIFY row_number() OVER (PARTITION BY source, goal, relationship, file, pos ORDER BY seq DESC) = 1""")
+def event_edges(spark, sf_dir):
+    """Edges of events of every kind: calls, references, exports, imports, dependencies, inheritance."""
+    made = _whole(spark, sf_dir)["edges"].where("evidence_type NOT IN ('inventory', 'syntax_definition')")
+    return made.select("id", "source", "target", "relationship", "resolution", "evidence_type", "evidence_file", "evidence_line", "start_byte")
+
+
+@query("event_unresolved", _WHOLE + """, loose AS (
+  SELECT *, CASE kind WHEN 'import' THEN 'local_module_not_indexed_or_missing' WHEN 'export' THEN 'export_target_not_indexed' WHEN 'unresolved' THEN reason ELSE 'target_not_uniquely_indexed' END AS why,
+    CASE kind WHEN 'import' THEN specifier WHEN 'export' THEN exported ELSE expression END AS text FROM ended WHERE goal IS NULL AND kind <> 'reference')
+SELECT 'unresolved:' || sha256('["' || source || '", "' || relationship || '", "' || file || '", "' || pos || '", "' || why || '"]') AS id, source, relationship, text AS expression, why AS reason, file AS evidence_file, line::INTEGER AS evidence_line, pos::INTEGER AS start_byte FROM loose
+  QUALIFY row_number() OVER (PARTITION BY source, relationship, file, pos, why ORDER BY seq DESC) = 1""")
+def event_unresolved(spark, sf_dir):
+    """What events leave unresolved, each with its reason."""
+    return _whole(spark, sf_dir)["unresolved"].select("id", "source", "relationship", "expression", "reason", "evidence_file", "evidence_line", "start_byte")
+
+
+@query("external_dependencies", _WHOLE + " SELECT package AS id, specifier AS label, count(DISTINCT source) AS importers FROM ended WHERE package IS NOT NULL GROUP BY ALL")
+def external_dependencies(spark, sf_dir):
+    """Packages that are imported by name, and how many modules do so."""
+    made = _whole(spark, sf_dir)
+    uses = made["edges"].where("resolution = 'inferred'").groupBy(F.col("target").alias("id")).agg(F.count_distinct("source").alias("importers"))
+    return made["nodes"].where("kind = 'ExternalDependency'").join(uses, "id").select("id", "label", "importers")
+
+
 @query("edges_in_order", _FACTS + " SELECT file AS evidence_file, pos::INTEGER AS start_byte, b.label AS target_label FROM edges JOIN nodes b ON b.id = target WHERE relationship = 'CALLS' ORDER BY file NULLS FIRST, pos NULLS FIRST, b.label, edges.id LIMIT 50")
 def edges_in_order(spark, sf_dir):
     made = _built(spark, sf_dir)
