@@ -40,15 +40,18 @@ class Repository:
         chunks = chunks.withColumns({"module": F.regexp_replace("path", r"\.[^./]*$", ""), "symbol_kind": F.col("kind"), "parent_symbol_key": F.col("qualified_name")})
         nodes = python_ast.nodes(files).select("id", "kind", "name", F.col("id").alias("qualified_name"), F.col("file").alias("path"), F.col("line").alias("start_line"))
         raw = python_ast.edges(files)
-        calls = graph.resolve_calls(raw.where("relationship = 'calls'").select("source", F.col("file"), F.col("target").alias("name")), nodes).select("source", "target").distinct()
+        modules = nodes.where("kind = 'module'")
+        calls = graph.resolve_calls(raw.where("relationship = 'calls'").select("source", F.col("file"), F.col("target").alias("name"), "line"), nodes)  # a row for each call site
         known = nodes.select(F.col("id").alias("target"), F.lit(True).alias("known"))
-        calls = calls.join(known, "target", "left").select("source", "target", F.lit("CALLS").alias("relationship"), F.when(F.col("known"), "resolved").otherwise("unresolved").alias("resolution"))
-        defines = raw.where("relationship = 'contains'").select("source", "target", F.lit("DEFINES").alias("relationship"), F.lit("resolved").alias("resolution"))
-        places = nodes.select(F.col("id").alias("source"), F.col("path").alias("evidence_file"), F.col("start_line").alias("evidence_line"))
-        edges = calls.unionByName(defines).join(places, "source", "left").withColumn("id", identity.entity_id("rel", F.col("source"), F.col("target"), F.col("relationship")))
-        symbols = nodes.withColumns({"parameters": F.lit("[]"), "return_annotation": F.lit(None).cast("string"), "modifiers": F.lit("[]")})
+        calls = calls.join(known, "target", "left").select("source", "target", F.lit("CALLS").alias("relationship"), F.when(F.col("known"), "resolved").otherwise("unresolved").alias("resolution"), "line")
+        defines = raw.where("relationship = 'contains'").select("source", "target", F.lit("DEFINES").alias("relationship"), F.lit("resolved").alias("resolution"), "line")
+        uses = graph.module_edges(raw.where("relationship IN ('imports', 'may_import')").select("source", "target", (F.col("relationship") == "imports").alias("sure"), "line"), modules)
+        places = nodes.select(F.col("id").alias("source"), F.col("path").alias("evidence_file"))
+        edges = calls.unionByName(defines).unionByName(uses).withColumnRenamed("line", "evidence_line").distinct().join(places, "source", "left")
+        edges = edges.withColumn("id", identity.entity_id("rel", F.col("source"), F.col("target"), F.col("relationship"), F.col("evidence_file"), F.col("evidence_line").cast("string")))
+        symbols = nodes.where("kind != 'module'").withColumns({"parameters": F.lit("[]"), "return_annotation": F.lit(None).cast("string"), "modifiers": F.lit("[]")})
         vectors = embedding.embedded(chunks, "id", "text", DIMENSIONS)
-        tables = {"files": found.drop("content"), "chunks": chunks, "symbols": symbols, "edges": edges, "vectors": vectors}
+        tables = {"files": found.drop("content"), "chunks": chunks, "symbols": symbols, "modules": modules, "edges": edges, "vectors": vectors}
         return self.store.publish(tables, digest, audits=lambda t: {"chunk_of_file": (t["chunks"], t["files"], "path", "path"), "vector_of_chunk": (t["vectors"], t["chunks"], "id", "id")})
 
     def tables(self) -> dict[str, DataFrame]:

@@ -160,11 +160,22 @@ def legacy_node(nodes: DataFrame, reference: str) -> DataFrame:
 
 def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """source, target of calls (source, file, name): the node `file:name`, else the node of a name that is unique in all
-    files, else the bare name, which stays dangling."""
+    files, else the bare name, which stays dangling. Further columns, such as the line of a call, stay."""
     unique = nodes.where("kind != 'module'").groupBy("name").agg(F.min("id").alias("only"), F.count(F.lit(1)).alias("n")).where("n = 1")
     exact = nodes.select(F.col("id").alias("own")).distinct()
     out = calls.join(exact, F.concat_ws(":", "file", "name") == F.col("own"), "left").join(unique, "name", "left")
-    return out.select("source", F.coalesce("own", "only", "name").alias("target"))
+    return out.select("source", F.coalesce("own", "only", "name").alias("target"), *(c for c in calls.columns if c not in ("source", "file", "name")))
+
+
+def module_edges(imports_: DataFrame, modules: DataFrame) -> DataFrame:
+    """source, target, relationship, resolution, line of imports (source, target: a module's name, sure, line): IMPORTS and
+    DEPENDS_ON of modules (id) that are known, inferred IMPORTS of packages that aren't; a name that begins with a dot is
+    unresolved. What isn't sure (a name that may be a module or something in it) counts only if it is a known module."""
+    known = modules.select(F.col("id").alias("target"), F.lit(True).alias("known"))
+    rows = imports_.join(known, "target", "left").where("known OR sure")
+    state = F.when(F.col("known"), "resolved").when(F.col("target").startswith("."), "unresolved").otherwise("inferred")
+    names = F.when(F.col("known"), F.array(F.lit("IMPORTS"), F.lit("DEPENDS_ON"))).otherwise(F.array(F.lit("IMPORTS")))
+    return rows.select("source", "target", F.explode(names).alias("relationship"), state.alias("resolution"), "line")
 
 
 def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:

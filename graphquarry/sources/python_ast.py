@@ -81,7 +81,13 @@ def facts(path: str, source: str) -> tuple[list[tuple], list[tuple]]:
             if isinstance(child, ast.Import):
                 edges.extend((module, a.name, "imports", path, child.lineno) for a in child.names)
             elif isinstance(child, ast.ImportFrom):
-                edges.append((module, "." * child.level + (child.module or ""), "imports", path, child.lineno))
+                base = child.module or ""
+                if child.level:  # relative to the package that the file stands in
+                    package = module if path.endswith("__init__.py") else module.rpartition(".")[0]
+                    above = package.split(".")[: len(package.split(".")) - child.level + 1]
+                    base = ".".join([*above, *([base] if base else [])]) if above and above[0] else "." * child.level + base
+                edges.append((module, base, "imports", path, child.lineno))
+                edges.extend((module, f"{base}.{a.name}", "may_import", path, child.lineno) for a in child.names if a.name != "*")
             elif isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
                 kind = "class" if isinstance(child, ast.ClassDef) else "method" if in_class else "function"
                 name = f"{owner}:{child.name}" if owner == module else f"{owner}.{child.name}"

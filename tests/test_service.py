@@ -16,6 +16,7 @@ def repository(spark, tmp_path_factory):
     (root / "pkg").mkdir()
     (root / "pkg/auth.py").write_text("def check_password(word):\n    '''Compare hashes.'''\n    return hashed(word)\n\ndef hashed(word):\n    return word\n")
     (root / "pkg/app.py").write_text("from pkg.auth import check_password\n\ndef login(word):\n    return check_password(word)\n")
+    (root / "pkg/twice.py").write_text("from .auth import hashed\n\ndef twice(word):\n    hashed(word)\n    return hashed(word)\n")
     (root / "README.md").write_text("# Title\nHow passwords are checked.\n")
     out = api.Repository(spark, f"file://{root}", f"file://{tmp_path_factory.mktemp('store')}/s")
     out.folder = root
@@ -34,6 +35,13 @@ def test_index_search_ask(repository):
     assert repository.ask("hello there")["intent"] == "greeting"
     assert {n["name"] for n in repository.file("pkg/auth.py")["nodes"]} >= {"check_password", "hashed"}
     assert repository.documentation().where("id = 'pkg.auth:check_password'").count() == 1
+    edges = repository.tables()["edges"]
+    assert {(r["source"], r["target"], r["relationship"]) for r in edges.where("relationship IN ('IMPORTS', 'DEPENDS_ON')").collect()} == {(m, "pkg.auth", r) for m in ("pkg.app", "pkg.twice") for r in ("IMPORTS", "DEPENDS_ON")}
+    assert [(r["evidence_file"], r["evidence_line"]) for r in edges.where("source = 'pkg.twice:twice' AND relationship = 'CALLS'").orderBy("evidence_line").collect()] == [("pkg/twice.py", 4), ("pkg/twice.py", 5)]
+    engine = executor.Engine(repository.tables())
+    for name, target, want in (("find_imports", "pkg/app.py", ["pkg.auth"]), ("find_dependencies", "pkg/twice.py", ["pkg.auth"]), ("find_importers", "pkg/auth.py", ["pkg.auth"] * 2)):
+        out = engine.run(router.Operation("x", 0, "graph", name, (target,), ()))
+        assert out.status == "success" and [r["target"] for r in out.rows] == want, name
     (repository.folder / "pkg/new.py").write_text("def fresh():\n    pass\n")
     state = repository.live_state()
     assert not state["fresh"] and state["added"] == 1
