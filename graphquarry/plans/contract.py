@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from graphquarry.functions import identity, text, vectors
 from graphquarry.operators import chunking, evidence, filters, graph, metrics, ranges, rules, search, snapshots
-from graphquarry.plans import contract_graph, documentation, understanding
+from graphquarry.plans import contract_graph, contract_state, documentation, understanding
 from graphquarry.streaming import events as change_events
 
-QUERIES: dict = dict(contract_graph.QUERIES)
-ORACLES: dict[str, str] = dict(contract_graph.ORACLES)
+QUERIES: dict = contract_graph.QUERIES | contract_state.QUERIES
+ORACLES: dict[str, str] = contract_graph.ORACLES | contract_state.ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
