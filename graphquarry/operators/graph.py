@@ -38,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys of a set up to which it is broadcast.
+BROADCAST_KEYS = 300_000
+
+
+def if_small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """Keys with a broadcast hint if they are counted and at most `limit`; beyond that they are joined by a shuffle."""
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+
+
 def resolved(edges: DataFrame, relationship: str) -> DataFrame:
     return edges.where((F.col("resolution") == "resolved") & (F.col("relationship") == relationship))
 

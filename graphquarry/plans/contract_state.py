@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphquarry.operators import proofs
+from graphquarry.operators import maintenance, proofs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,59 @@ def saved_answers(spark, sf_dir):
 FROM items JOIN answers USING (answer) WHERE scope IS NULL GROUP BY 1, 2""")
 def saved_requirements(spark, sf_dir):
     return _saved(spark, sf_dir)[1].drop("left")
+
+
+# ── incremental maintenance: customers are files, orders symbols, line items call sites; a generation later some customers
+#    have changed, gone or come ──────────────────────────────────────────────────────────────────────────────────────────
+
+_LATER = """
+WITH o AS (SELECT o_orderkey, 'c' || o_custkey AS path, o_custkey % 10 AS k FROM orders WHERE o_custkey % 10 <> 4),
+symbols AS (SELECT DISTINCT path || ':n' || (CASE WHEN k = 3 THEN o_orderkey * 7 ELSE o_orderkey END) % 20011 AS id, path, 'n' || (CASE WHEN k = 3 THEN o_orderkey * 7 ELSE o_orderkey END) % 20011 AS name FROM o),
+calls AS (SELECT 'o' || l_orderkey AS source, path AS file, 'n' || (CASE WHEN k = 3 THEN l_partkey * 17 ELSE l_partkey * 13 END + l_orderkey) % 20011 AS name, l_linenumber AS line FROM lineitem JOIN o ON o_orderkey = l_orderkey),
+names AS (SELECT name, count(*) AS n, CASE WHEN count(*) = 1 THEN min(id) END AS "only" FROM symbols GROUP BY name)"""
+
+
+def _facts_of(spark, sf_dir, later: bool):
+    """The inventory, and all facts of a generation."""
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    k = F.col("o_custkey") % 10
+    there = k != (4 if later else 5)
+    path, changed = text("c", F.col("o_custkey")), (k == 3) & F.lit(later)
+    orders = table(spark, sf_dir, "orders").where(there).select("o_orderkey", path.alias("path"), changed.alias("changed"))
+    name = text("n", F.when(F.col("changed"), F.col("o_orderkey") * 7).otherwise(F.col("o_orderkey")) % 20011)
+    symbols = orders.select(F.concat("path", F.lit(":"), name).alias("id"), "path", F.lit("function").alias("kind"), name.alias("name")).distinct()
+    called = text("n", (F.when(F.col("changed"), F.col("l_partkey") * 17).otherwise(F.col("l_partkey") * 13) + F.col("l_orderkey")) % 20011)
+    items = table(spark, sf_dir, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    calls = items.select(text("o", F.col("l_orderkey")).alias("source"), F.col("path").alias("file"), called.alias("name"), F.col("l_linenumber").alias("line"))
+    digest = F.md5(F.concat("path", F.col("changed").cast("string")))
+    files = orders.groupBy("path").agg(F.max("changed").alias("changed")).select("path", digest.alias("content_sha256"), F.lit("included").alias("status"))
+    chunks = symbols.select(F.md5(F.concat("id", F.lit("chunk"))).alias("id"), "path")
+    return files, {"symbols": symbols, "calls": calls, "chunks": chunks, "vectors": chunks.select("id")}
+
+
+def _maintained(spark, sf_dir):
+    """The earlier generation, updated by the facts of the files that differ."""
+    files, facts = _facts_of(spark, sf_dir, later=False)
+    state = maintenance.build(files, facts["symbols"], facts["calls"], facts["chunks"], facts["vectors"])
+    now, facts = _facts_of(spark, sf_dir, later=True)
+    differ = maintenance.changes(files, now).where("change != 'deleted'").select("path")
+    own = {t: facts[t].join(differ.withColumnRenamed("path", of), of, "left_semi") for t, of in (("symbols", "path"), ("calls", "file"), ("chunks", "path"))}
+    return maintenance.update(state, now, own | {"vectors": facts["vectors"]})
+
+
+@query("updated_edges", _LATER + """ SELECT source, file, c.name, line, coalesce(s.id, n."only", c.name) AS target FROM calls c LEFT JOIN symbols s ON s.id = c.file || ':' || c.name
+LEFT JOIN (SELECT name AS m, "only" FROM names WHERE n = 1) n ON m = c.name""")
+def updated_edges(spark, sf_dir):
+    """Call sites after an update: the same as of everything built anew."""
+    return _maintained(spark, sf_dir)["edges"].select("source", "file", "name", "line", "target")
+
+
+@query("updated_names", _LATER + ' SELECT name, n, "only" FROM names')
+def updated_names(spark, sf_dir):
+    return _maintained(spark, sf_dir)["names"]
+
+
+@query("updated_chunks", _LATER + " SELECT md5(id || 'chunk') AS id, path FROM symbols")
+def updated_chunks(spark, sf_dir):
+    state = _maintained(spark, sf_dir)
+    return state["chunks"].join(state["vectors"], "id").select("id", "path")
