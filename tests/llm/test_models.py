@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -67,6 +68,17 @@ def test_language_edge_cases(spark):
         language_id.identify(df, model, keep=("score",))
 
 
+def test_rows_without_an_id_are_sampled_by_their_text(spark):
+    """A language whose rows have no id is learned, and its stated bound holds."""
+    rows = [(None, f"the house and the dog number {k} of a street", "en") for k in range(300)] + [(k, f"das haus und der hund nummer {k} einer straße", "de") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for bound in (20, 1000):
+        model = language_id.fit(df, sample_docs=bound)
+        assert model is not None and set(model.languages) == {"en", "de"}
+        out = language_id.identify(df, model, keep=("lang",))
+        assert out.where("lang != lang_pred").count() <= 6
+
+
 def test_entropies_equal_a_plain_kneser_ney_model(spark):
     """Brute force over dictionaries of counts, symbol by symbol."""
     import math
@@ -116,18 +128,49 @@ def test_entropies_equal_a_plain_kneser_ney_model(spark):
             assert got[i, j] == pytest.approx(want, abs=0.02), (lang, t)
 
 
-def test_toxic_documents_of_each_language_are_found_and_clean_ones_left(spark):
-    """Recall and false alarms on labels that the chain has not seen."""
-    data = "/root/testdata/check_s"
-    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
-    train = F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0
+def held_out_counts(docs, labels):
+    """By language: toxic documents and how many are caught, clean ones and how many are flagged, on labels that the chain
+    has not seen."""
+    train = F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0
     chain = toxicity.fit(docs, labels.where(train))
     truth = labels.where(~train).select("doc_id", (F.col("toxic") == 1).alias("truth")).join(docs, "doc_id")
     out = toxicity.score(truth, chain).join(truth.select("doc_id", "truth", "lang"), "doc_id")
-    for r in out.groupBy("lang").agg(F.count_if("truth").alias("bad"), F.count_if(F.expr("truth AND toxic")).alias("caught"), F.count_if(F.expr("NOT truth")).alias("good"), F.count_if(F.expr("NOT truth AND toxic")).alias("wrong")).collect():
+    return out.groupBy("lang").agg(F.count_if("truth").alias("bad"), F.count_if(F.expr("truth AND toxic")).alias("caught"), F.count_if(F.expr("NOT truth")).alias("good"), F.count_if(F.expr("NOT truth AND toxic")).alias("wrong")).collect()
+
+
+def planted_corpus(spark, n=1600, share=0.18):
+    """Invented prose of four languages; toxic documents hold two to five insults, inflected, among their other words."""
+    rows, labels = [], []
+    for k, (lang, vowels, ends) in enumerate((("en", "aeiou", ("s", "ed", "ing", "")), ("de", "aeiouäöü", ("en", "er", "st", "")), ("fr", "aeiouéè", ("es", "ent", "eux", "")), ("es", "aeioáéí", ("os", "as", "ando", "")))):
+        r = random.Random(k)
+        word = lambda: "".join(r.choice("bdfgklmnprstv") + r.choice(vowels) for _ in range(r.randint(1, 4)))  # noqa: E731, B023
+        stems = ["x" + word() + "q" + word() for _ in range(10)]  # noqa: B023
+        for i in range(n):
+            words = [word() for _ in range(r.randint(8, 120))]
+            bad = r.random() < share
+            for _ in range(r.randint(2, 5) if bad else 0):
+                words.insert(r.randrange(len(words)), r.choice(stems) + r.choice(ends))
+            rows.append((k * n + i, " ".join(words).capitalize() + ".", lang))
+            labels.append((k * n + i, int(bad)))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxic_documents_of_each_language_are_found_and_clean_ones_left(spark):
+    """Recall and false alarms, by language, on planted documents that the chain has not seen."""
+    found = held_out_counts(*planted_corpus(spark))
+    assert len(found) == 4
+    for r in found:
         assert r["bad"] > 50 and r["caught"] >= 0.95 * r["bad"] and r["wrong"] <= 0.005 * r["good"], r
 
 
+def test_toxic_documents_of_the_given_tables(spark):
+    """The same on the given tables, all languages together: they have few toxic labels of each."""
+    data = "/root/testdata/sf0.1"
+    found = held_out_counts(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    total = {c: sum(r[c] for r in found) for c in ("bad", "caught", "good", "wrong")}
+    assert total["bad"] > 50 and total["caught"] >= 0.9 * total["bad"] and total["wrong"] <= 0.005 * total["good"], total
+
+
 def test_units_equal_brute_force(monkeypatch):
     from graphquarry.llm import shingles
 

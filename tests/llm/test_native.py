@@ -320,3 +320,18 @@ def test_many_cells_are_joined_by_a_salted_key(spark, monkeypatch):
     got = sorted(map(tuple, mixing.mix_sources(frame(spark, rows)).collect()))
     assert [r[:5] + r[6:7] for r in got] == [r[:5] + r[6:7] for r in want]
     assert [r[5] for r in got] == pytest.approx([r[5] for r in want], abs=1e-8)
+
+
+def test_inner_names_of_operators_may_be_columns(spark):
+    """Every name that an operator or stage makes inside, as columns of the table: of, sha, dropped, keys, chains, cells."""
+    from graphquarry.llm import minhash_dedup
+
+    names = ["_of", "_sha", "_dropped", "of", "sha", "some", "gone", "key", "norm", "bucket", "keep_id", "group_size", "salt", "slot", "rep", "component", "first_id", "low", "high", "sig", "clash", "hub", "tokens", "topic", "weight", "total", "probability", "_value"]
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "an other text of this id"), (3, "a  b c d e f g"), (None, "q r s"), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "src") for i, t in rows], "doc_id long, text string, lang string, source string").withColumns({n: F.lit(7) for n in names})
+    assert {r["doc_id"] for r in exact_dedup.survivors(df).select("doc_id").collect()} == {1, 2, None, 4}
+    assert exact_dedup.exact_dedup(df).where("doc_id = 3").first()["keep_id"] == 1
+    assert {r["doc_id"] for r in minhash_dedup.survivors(df).select("doc_id").collect()} >= {1, None, 4}
+    for stage in (exact_dedup.survivors, minhash_dedup.survivors, mixing.survivors):
+        out = stage(df)
+        assert out.columns == df.columns and out.where("_of != 7 OR _dropped != 7").count() == 0
