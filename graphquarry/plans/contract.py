@@ -9,6 +9,7 @@ from graphquarry.functions import identity, text, vectors
 from graphquarry.operators import chunking, evidence, filters, graph, metrics, ranges, rules, search, snapshots
 from graphquarry.plans import contract_graph, contract_state, documentation, understanding
 from graphquarry.streaming import events as change_events
+from graphquarry.streaming import state as stream_state
 
 QUERIES: dict = contract_graph.QUERIES | contract_state.QUERIES
 ORACLES: dict[str, str] = contract_graph.ORACLES | contract_state.ORACLES
@@ -770,14 +771,32 @@ def retrieval_plans(spark, sf_dir):
     return turns.mapInPandas(plans, "conv_id long, turn long, intent string, reference string, keywords string")
 
 
-@query("stream_debounce")
+@query("stream_debounce", ORACLES["debounce_sessions"])
 def stream_debounce(spark, sf_dir):
-    """The bursts of a stream over the same events, closed by the watermark."""
+    """The bursts of a stream over the same events, each closed by the next one of its key or by its timer."""
     import uuid
 
     source = table(spark, sf_dir, "events")
     home = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    source.write.parquet(f"{home}/in")
-    stream = change_events.debounced(change_events.file_events(spark, f"{home}/in", "event_id long, ts timestamp, user_id long"), "5 minutes", lateness="0 seconds")
-    change_events.publish_changes(stream, lambda b: b.write.mode("append").parquet(f"{home}/out"), f"{home}/state", once=True).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{home}/out").select("user_id", "changes", "last_event")
+    source.select("event_id", "ts", "user_id").write.parquet(f"{home}/in")
+    stream = stream_state.bursts(change_events.file_events(spark, f"{home}/in", "event_id long, ts timestamp, user_id long"), 300_000, quiet_ms=1000)
+    return stream_state.run_until_idle(stream, f"{home}/out", f"{home}/state").select("user_id", "changes", "last_event")
+
+
+@query("stream_jobs", """
+WITH p AS (SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM events)
+SELECT user_id AS repository, event_id::VARCHAR AS request, (min(event_id) OVER w)::VARCHAR AS job, event_id <> min(event_id) OVER w AS coalesced
+FROM p WHERE event_type <> 'purchase' WINDOW w AS (PARTITION BY user_id, epoch)""")
+def stream_jobs(spark, sf_dir):
+    """Requests of a stream and the jobs that serve them; a purchase completes the job of its user."""
+    import uuid
+
+    source = table(spark, sf_dir, "events")
+    home = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    ends = F.col("event_type") == "purchase"
+    epoch = F.sum(F.when(ends, 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("event_id"))
+    own = source.select("user_id", "event_id", ends.alias("ends"), F.when(ends, epoch - 1).otherwise(epoch).alias("epoch"))
+    ended = F.min(F.when(~F.col("ends"), F.col("event_id"))).over(Window.partitionBy("user_id", "epoch"))  # the job that a completion names
+    own.select(F.col("user_id").alias("repository"), F.when(F.col("ends"), ended).otherwise(F.col("event_id")).alias("job"), F.when(F.col("ends"), "completed").otherwise("requested").alias("event"), F.col("event_id").alias("at")).write.parquet(f"{home}/in")
+    stream = stream_state.queued(change_events.file_events(spark, f"{home}/in", "repository long, job long, event string, at long"))
+    return stream_state.run_until_idle(stream, f"{home}/out", f"{home}/state", free=False)
