@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphquarry.operators import maintenance, proofs
+from graphquarry.operators import maintenance, proofs, traversal
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -165,3 +165,46 @@ def updated_names(spark, sf_dir):
 def updated_chunks(spark, sf_dir):
     state = _maintained(spark, sf_dir)
     return state["chunks"].join(state["vectors"], "id").select("id", "path")
+
+
+# ── bounded retrieval over several hops: what depends on each part, over orders and customers ─────────────
+
+
+def _bounded_sql(limit: int, budget: int, depth: int) -> str:
+    """The walks of all parts, a few common tables for each hop."""
+    steps = ["""
+WITH edges AS (
+  SELECT 's' || l_suppkey AS here, 'p' || l_partkey AS other, 'a' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS edge, l_linenumber AS line, l_returnflag AS file FROM lineitem
+  UNION ALL SELECT 'p' || l_partkey, 'o' || l_orderkey, 'b' || l_orderkey || '-' || l_linenumber || '-' || l_suppkey, l_linenumber, l_returnflag FROM lineitem
+  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'c' || o_orderkey, 1, o_orderstatus FROM orders
+), adj AS (SELECT here, other, edge, row_number() OVER (PARTITION BY here ORDER BY file, line, edge) AS rank FROM edges QUALIFY rank <= 100),
+f1 AS (SELECT 'p' || p_partkey AS q, 'p' || p_partkey AS node, 1 AS at_, []::VARCHAR[] AS chain FROM part), v1 AS (SELECT q, node FROM f1), c1 AS (SELECT q, 0 AS examined, 0 AS found FROM f1)"""]
+    for h in range(1, depth + 1):
+        steps.append(f"""
+r{h} AS MATERIALIZED (SELECT f.q, f.at_, a.rank, a.other, a.edge, f.chain, c.examined, c.found, row_number() OVER (PARTITION BY f.q ORDER BY f.at_, a.rank) AS nth FROM f{h} f JOIN adj a ON a.here = f.node JOIN c{h} c ON c.q = f.q QUALIFY examined + nth <= {budget}),
+o{h} AS (SELECT * FROM r{h} QUALIFY row_number() OVER (PARTITION BY q, other ORDER BY at_, rank) = 1),
+n{h} AS MATERIALIZED (SELECT o.*, row_number() OVER (PARTITION BY o.q ORDER BY at_, rank) AS hits FROM o{h} o ANTI JOIN v{h} v ON v.q = o.q AND v.node = o.other QUALIFY found + hits - 1 < {limit}),
+c{h + 1} AS MATERIALIZED (
+  SELECT c.q, CASE WHEN c.found + coalesce(g.n, 0) >= {limit} THEN c.examined + g.last ELSE least(c.examined + coalesce(m.n, 0), {budget}) END AS examined, c.found + coalesce(g.n, 0) AS found
+  FROM c{h} c LEFT JOIN (SELECT q, count(*) AS n, max(nth) AS last FROM n{h} GROUP BY q) g ON g.q = c.q LEFT JOIN (SELECT f.q, count(*) AS n FROM f{h} f JOIN adj a ON a.here = f.node GROUP BY f.q) m ON m.q = c.q),
+f{h + 1} AS (SELECT n.q, other AS node, row_number() OVER (PARTITION BY n.q ORDER BY at_, rank) AS at_, list_append(chain, edge) AS chain FROM n{h} n JOIN c{h + 1} c ON c.q = n.q WHERE c.found < {limit} AND c.examined < {budget}),
+v{h + 1} AS (SELECT q, node FROM v{h} UNION ALL SELECT q, other FROM n{h})""")
+    parts = [f"SELECT q AS question, (found + hits)::BIGINT AS position, other AS node, {h} AS distance, array_to_string(list_append(chain, edge), '>') AS chain FROM n{h}" for h in range(1, depth + 1)]
+    return ",".join(steps) + " " + " UNION ALL ".join(parts)
+
+
+@query("bounded_impact", _bounded_sql(45, 100, 3))
+def bounded_impact(spark, sf_dir):
+    """The first 45 nodes that depend on each part, each with the chain of edges that leads to it, from one budget of edges a
+    part."""
+    text = lambda prefix, *cs: F.concat(F.lit(prefix), F.concat_ws("-", *(F.col(c).cast("string") for c in cs)))
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    place = [F.col("l_linenumber").alias("evidence_line"), F.col("l_returnflag").alias("evidence_file")]
+    edges = (
+        items.select(text("p", "l_partkey").alias("source"), text("s", "l_suppkey").alias("target"), text("a", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), *place)
+        .unionByName(items.select(text("o", "l_orderkey").alias("source"), text("p", "l_partkey").alias("target"), text("b", "l_orderkey", "l_linenumber", "l_suppkey").alias("id"), *place))
+        .unionByName(orders.select(text("c", "o_custkey").alias("source"), text("o", "o_orderkey").alias("target"), text("c", "o_orderkey").alias("id"), F.lit(1).alias("evidence_line"), F.col("o_orderstatus").alias("evidence_file")))
+    ).withColumns({"relationship": F.lit("DEPENDS_ON"), "resolution": F.lit("resolved")})
+    seeds = table(spark, sf_dir, "part").select(text("p", "p_partkey").alias("question"), text("p", "p_partkey").alias("node"))
+    found = traversal.walk(seeds, traversal.first_edges(edges, "DEPENDS_ON", reverse=True), limit=45)["results"]
+    return found.select("question", "position", "node", "distance", F.array_join("chain", ">").alias("chain"))
