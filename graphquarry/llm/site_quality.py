@@ -21,6 +21,8 @@ SAMPLE_DOCS = 8_000
 THRESHOLD = 0.5
 #: Pseudo-documents of a site's prior are within these bounds.
 LEAST_PRIOR, MOST_PRIOR = 5.0, 10_000.0
+#: Sites that are broadcast (two short strings and two numbers each), and the parts that a large site is dealt to beyond it.
+BROADCAST_SITES, SALTS = 100_000, 64
 FEATURES = ("log_words", "short", "symbols", "upper", "marks", "word_length", "odd_length", "repeated", "stutter", "distinct", "letters", "repeated_lines")
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -135,6 +137,16 @@ def prior_strength(groups: DataFrame, rate: Column) -> float:
     return float(min(MOST_PRIOR, max(LEAST_PRIOR, row["within"] / row["between"] - 1)))
 
 
+def with_sites(scored: DataFrame, sites: DataFrame) -> DataFrame:
+    """The documents with what is known of their site. Few sites are broadcast; of many each is repeated for every salt, so
+    that a site that holds a third of the documents is dealt to SALTS tasks."""
+    if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
+        return scored.join(F.broadcast(sites), ["host", "path"])
+    salted = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "p"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, ["host", "path", "salt"]).drop("salt")
+
+
 def classify(docs: DataFrame, model: tuple[np.ndarray, float], host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, p_document, p_host, p_path, p_posterior, kept (p_posterior reaches the threshold).
 
@@ -153,7 +165,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], host: Column, pat
     k_path = prior_strength(under, F.col("p_host"))
     sites = under.select("host", "path", "p_host", ((F.col("s") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_path"))
     odds = lambda c: F.log(F.greatest(F.least(c, F.lit(1 - 1e-6)), F.lit(1e-6)) / (1 - F.greatest(F.least(c, F.lit(1 - 1e-6)), F.lit(1e-6))))
-    out = scored.join(sites, ["host", "path"])
+    out = with_sites(scored, materialise(sites, "site-posteriors"))
     together = odds(F.col("p")) + odds(F.col("p_path")) - odds(F.lit(top))
     out = out.withColumn("p_posterior", 1 / (1 + F.exp(-together)))
     return out.select("doc_id", F.col("p").alias("p_document"), "p_host", "p_path", "p_posterior", (F.col("p_posterior") >= threshold).alias("kept"))
