@@ -48,12 +48,17 @@ def cells(docs: DataFrame) -> DataFrame:
     return docs.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
 
 
+def number(rows: DataFrame, of: Column) -> float:
+    """One number over all rows; 0 if there are none."""
+    return float(rows.agg(of.alias("n")).first()["n"] or 0.0)
+
+
 def tempered(table: DataFrame, tempers: dict[str, float]) -> DataFrame:
     """margin, value, target: the present shares of each margin to a power, made to sum to one."""
     out = None
     for m, power in tempers.items():
         sums = table.groupBy(F.col(m).cast("string").alias("value")).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("r"))
-        rows = sums.select(F.lit(m).alias("margin"), "value", (F.col("r") / F.sum("r").over(Window.partitionBy(F.lit(1)))).alias("target"))
+        rows = sums.select(F.lit(m).alias("margin"), "value", (F.col("r") / F.lit(number(sums, F.sum("r")))).alias("target"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -67,19 +72,30 @@ def with_targets(table: DataFrame, targets: DataFrame) -> DataFrame:
     return table
 
 
-def rounds(table: DataFrame, n: int) -> DataFrame:
-    """`weight` after n rounds of raking; a margin's cells without weight keep none."""
+def rounds(table: DataFrame, n: int, few: bool = True) -> DataFrame:
+    """`weight` after n rounds of raking; a margin's cells without weight keep none. Few cells stand in one task, and a step
+    is a window there. Many cells aren't put together: the sums of a margin's values are joined to them, each step is
+    written, and a value that holds most cells is summed by parts."""
     for _ in range(n):
         for m in MARGINS:
-            have = F.sum("weight").over(Window.partitionBy(m))
+            if few:
+                have = F.sum("weight").over(Window.partitionBy(m))
+            else:
+                sums = table.groupBy(F.col(m).alias("_value")).agg(F.sum("weight").alias("_have"))
+                table = table.join(if_small(materialise(sums, "mix-sums")), F.col(m).eqNullSafe(F.col("_value")), "left")
+                have = F.col("_have")
             table = table.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"target_{m}") * F.col("total") / have).otherwise(0.0))
+            table = table if few else materialise(table.drop("_value", "_have"), "mix-step")
     return table
 
 
 def residual(raked: DataFrame) -> float:
     """The largest distance of a margin value's share from its target."""
-    off = [F.abs(F.sum("weight").over(Window.partitionBy(m)) / F.col("total") - F.col(f"target_{m}")) for m in MARGINS]
-    return raked.where("total > 0").select(F.greatest(*off).alias("off")).agg(F.max("off").alias("off")).first()["off"] or 0.0
+    some, off = raked.where("total > 0"), [0.0]
+    for m in MARGINS:
+        shares = some.groupBy(m).agg((F.sum("weight") / F.first("total")).alias("share"), F.first(f"target_{m}").alias("target"))
+        off.append(number(shares, F.max(F.abs(F.col("share") - F.col("target")))))
+    return max(off)
 
 
 def rake(table: DataFrame, targets: DataFrame, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, float]:
@@ -88,9 +104,9 @@ def rake(table: DataFrame, targets: DataFrame, iterations: int = ITERATIONS, tol
     few = table.count() <= MOST_CELLS
     table = with_targets(table, targets)
     table = table.coalesce(1) if few else table
-    table = table.withColumn("total", F.sum("tokens").over(Window.partitionBy(F.lit(1)))).withColumn("weight", F.col("tokens"))
+    table = table.withColumn("total", F.lit(number(table, F.sum("tokens")))).withColumn("weight", F.col("tokens"))
     for _ in range(most_blocks):
-        table = materialise(rounds(table, iterations), "mix-raked")
+        table = materialise(rounds(table, iterations, few), "mix-raked")
         table = table.coalesce(1) if few else table
         off = residual(table)
         if off <= tolerance:
@@ -102,8 +118,9 @@ def probabilities(raked: DataFrame) -> DataFrame:
     """source, lang, topic, probability: in proportion to weight over tokens, the largest is 1. So the expected tokens of
     the sample have exactly the raked shares."""
     rate = raked.select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("rate"))
-    top = F.max("rate").over(Window.partitionBy(F.lit(1)))
-    return rate.select(*MARGINS, F.when(top > 0, F.round(F.col("rate") / top, PLACES)).otherwise(0.0).alias("probability"))
+    top = number(rate, F.max("rate"))
+    share = F.round(F.col("rate") / F.lit(top), PLACES) if top > 0 else F.lit(0.0)
+    return rate.select(*MARGINS, share.alias("probability"))
 
 
 def with_chances(rows: DataFrame, chance: DataFrame) -> DataFrame:

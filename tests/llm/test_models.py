@@ -236,6 +236,37 @@ def test_sites_are_shrunk_by_grouped_aggregation(spark):
     assert site_quality.classify(frame(spark, rows).limit(0), (weights, 3.0), F.col("source"), F.col("lang")).count() == 0
 
 
+def test_posteriors_equal_a_plain_computation(spark, monkeypatch):
+    """Hosts, paths and posteriors by hand, over few sites and over many that are joined by a salted key."""
+    rows = [(k, f"word{k % 11} " * (3 + k % 9) + "and a line of text.", "en", f"h{k % 3}") for k in range(90)] + [(900, None, "en", "h9"), (5, "a repeated id.", "de", "h1"), (None, "no id", None, None), (7, "long " * 60_000, "fr", "h2")]
+    df = frame(spark, rows)
+    model = (np.linspace(-0.2, 0.2, len(site_quality.FEATURES)), 0.3)
+    p = [(r["doc_id"], r["host"], r["path"], r["p"]) for r in site_quality.evidence(df, model, "doc_id", "text", F.col("source"), F.col("lang")).collect()]
+    by = lambda key: {k: [x[3] for x in p if key(x) == k] for k in {key(x) for x in p}}
+    top = np.mean([x[3] for x in p])
+
+    def strength(groups, rates):
+        n, s = np.array([len(g) for g in groups]), np.array([sum(g) for g in groups])
+        use = n > 1
+        n, s, r = n[use], s[use], np.array(rates)[use]
+        between, within = (n * ((s / n - r) ** 2 - r * (1 - r) / n)).sum() / n.sum(), (n * r * (1 - r)).sum() / n.sum()
+        return site_quality.MOST_PRIOR if between <= within / site_quality.MOST_PRIOR else min(site_quality.MOST_PRIOR, max(site_quality.LEAST_PRIOR, within / between - 1))
+
+    hosts = by(lambda x: x[1])
+    k = strength(list(hosts.values()), [top] * len(hosts))
+    p_host = {h: (sum(g) + k * top) / (len(g) + k) for h, g in hosts.items()}
+    paths = by(lambda x: x[1:3])
+    k = strength(list(paths.values()), [p_host[h] for h, _ in paths])
+    p_path = {x: (sum(g) + k * p_host[x[0]]) / (len(g) + k) for x, g in paths.items()}
+    odds = lambda x: np.log(x / (1 - x))
+    want = sorted((str(i), round(x, 9), round(p_host[h], 9), round(p_path[h, w], 9), round(1 / (1 + np.exp(-(odds(x) + odds(p_path[h, w]) - odds(top)))), 9)) for i, h, w, x in p)
+    for most in (site_quality.BROADCAST_SITES, 1):
+        monkeypatch.setattr(site_quality, "BROADCAST_SITES", most)
+        got = site_quality.classify(df, model, F.col("source"), F.col("lang")).collect()
+        found = sorted((str(r["doc_id"]), *(r[c] for c in ("p_document", "p_host", "p_path", "p_posterior"))) for r in got)
+        assert len(found) == len(want) and all(a[0] == b[0] and np.allclose(a[1:], b[1:], atol=1e-8) for a, b in zip(found, want, strict=True))
+
+
 def test_features_do_not_depend_on_blocks(monkeypatch):
     texts = ["one two two three\none two\none two", None, "", "### !!! ABC", "a b c d e a b c d e " * 40, "é" * 100]
     whole = site_quality.features(pa.array(texts))

@@ -72,6 +72,18 @@ def test_costs_of_rules_are_their_own(spark):
         assert quality_rules.ordered(e.values())[0].name == "too_few_words"
 
 
+def test_kept_measurements_cost_nothing_more(spark):
+    """What is taken for every row anyhow isn't priced, so the order is by the cost that the plan pays."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(300)) + ("!" if k % 3 else " # # #" * 200), "en", "a") for k in range(60)]
+    df = frame(spark, rows)
+    free = {x.rule.name: x.seconds for x in quality_rules.estimate(df, keep=("n_words", "n_repeat_words", "n_symbols"))}
+    full = {x.rule.name: x.seconds for x in quality_rules.estimate(df)}
+    assert free["repeated_passages"] == free["symbols"] == free["too_few_words"] < full["symbols"] < full["repeated_passages"]
+    assert free["upper_case"] == full["upper_case"]
+    some = quality_rules.estimate(df.unionByName(df).unionByName(df), sample_rows=60)  # from all partitions
+    assert {x.rule.name for x in some if x.rejected} == {x.rule.name for x in quality_rules.estimate(df) if x.rejected} >= {"symbols"}
+
+
 def test_clashing_columns_stay(spark):
     df = frame(spark, ROWS).withColumns({"_text": F.lit("t"), "_words": F.lit("w"), "_lines": F.lit("l")})
     out = quality_rules.cascade(df, order=quality_rules.RULES)
@@ -335,3 +347,12 @@ def test_inner_names_of_operators_may_be_columns(spark):
     for stage in (exact_dedup.survivors, minhash_dedup.survivors, mixing.survivors):
         out = stage(df)
         assert out.columns == df.columns and out.where("_of != 7 OR _dropped != 7").count() == 0
+
+
+def test_many_cells_are_raked_as_few_ones(spark):
+    """Sums joined step by step give the weights that windows in one task give."""
+    rows = [(f"s{k % 7}", f"l{k % 5}", f"t{k % 3}", float(1 + k * 37 % 101)) for k in range(105)]
+    cells = mixing.cells(spark.createDataFrame(rows, "source string, lang string, topic string, tokens double").unionByName(spark.createDataFrame([(None, "l1", "t0", 9.0)], "source string, lang string, topic string, tokens double")))
+    table = mixing.with_targets(cells, mixing.tempered(cells, mixing.TEMPERS)).withColumn("total", F.lit(mixing.number(cells, F.sum("tokens")))).withColumn("weight", F.col("tokens"))
+    few, many = ({tuple(r[m] for m in mixing.MARGINS): r["weight"] for r in mixing.rounds(table, 2, x).collect()} for x in (True, False))
+    assert len(few) == 106 and few.keys() == many.keys() and all(few[k] == pytest.approx(many[k], rel=1e-12) for k in few)
