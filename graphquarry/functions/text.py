@@ -49,9 +49,10 @@ def accents() -> tuple[str, str]:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without accents; null counts as empty."""
+    """Lower case without accents; null counts as empty. A text of ASCII only has none to look for."""
     marked, bare = accents()
-    return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Mn}+", ""), marked, bare)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(F.regexp_replace(low, r"\p{Mn}+", ""), marked, bare))
 
 
 def tokens(text: Column) -> Column:

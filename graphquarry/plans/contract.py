@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions import identity, text, vectors
-from graphquarry.operators import chunking, evidence, filters, graph, metrics, ranges, rules, search, snapshots
+from graphquarry.operators import chunking, evidence, filters, graph, metrics, postings, ranges, rules, search, snapshots
 from graphquarry.plans import contract_graph, contract_state, documentation, understanding
 from graphquarry.streaming import events as change_events
 from graphquarry.streaming import state as stream_state
@@ -75,6 +75,32 @@ def kw_bm25_batch(spark, sf_dir):
     return best.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score")
 
 
+@query("kw_postings_topk", ORACLES["kw_bm25_topk"])
+def kw_postings_topk(spark, sf_dir):
+    """The best documents by an inverted index: the same as without one."""
+    index = postings.build(table(spark, sf_dir, "documents"))
+    asked = spark.range(1).select(F.col("id").alias("query_id"), F.array(*map(F.lit, TERMS)).alias("terms"))
+    return postings.ranked(index, asked, 50).select(F.col("id").alias("doc_id"), "score")
+
+
+@query("kw_postings_batch", ORACLES["kw_bm25_batch"])
+def kw_postings_batch(spark, sf_dir):
+    """All questions from one index."""
+    index = postings.build(table(spark, sf_dir, "documents"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.tokens(F.col("text")).alias("terms"))
+    return postings.ranked(index, asked, 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score")
+
+
+@query("kw_ready_hits", _BM25 + " SELECT doc_id, round(score, 6) AS score FROM scored WHERE doc_id % 5 < 3 ORDER BY round(score, 6) DESC, doc_id LIMIT 50")
+def kw_ready_hits(spark, sf_dir):
+    """The best documents among those of ready snapshots: rows of others are gone before the ranking."""
+    docs = table(spark, sf_dir, "documents")
+    states = docs.select((F.col("doc_id") % 5).alias("snapshot_id")).distinct().select("snapshot_id", F.when(F.col("snapshot_id") < 3, "ready").otherwise("building").alias("state"))
+    ready = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5).alias("snapshot_id")).join(states.where("state = 'ready'"), "snapshot_id", "left_semi")
+    asked = spark.range(1).select(F.col("id").alias("query_id"), F.array(*map(F.lit, TERMS)).alias("terms"))
+    return postings.ranked(postings.build(docs), asked, 50, among=ready).select(F.col("id").alias("doc_id"), "score")
+
+
 def _first_vector(spark, sf_dir) -> list[float]:
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
 
