@@ -137,6 +137,26 @@ def vec_valid(spark, sf_dir):
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.floor(F.sum(off) * 100) / 100, 6).alias("off"))
 
 
+@query("vec_checked", """
+WITH p AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN embedding[1:63]::DOUBLE[] WHEN vec_id % 13 = 0 THEN list_transform(embedding, lambda x: 0.0::DOUBLE) WHEN vec_id % 17 = 0 THEN list_concat(['nan'::DOUBLE], embedding[2:64]::DOUBLE[])
+  WHEN vec_id % 19 = 0 THEN list_concat(['inf'::DOUBLE], embedding[2:64]::DOUBLE[]) WHEN vec_id % 23 = 0 THEN list_concat([NULL::DOUBLE], embedding[2:64]::DOUBLE[]) WHEN vec_id % 29 = 0 THEN NULL ELSE embedding::DOUBLE[] END AS v FROM embeddings),
+c AS (SELECT vec_id, v, coalesce(len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0, false) AS valid FROM p)
+SELECT vec_id, valid, CASE WHEN valid THEN round(list_sum(list_transform(list_zip(u, range(1, 65)), lambda x: x[1] * x[2])), 4) END AS weighed
+FROM (SELECT *, list_transform(v, lambda x: (x / norm)::FLOAT::DOUBLE) AS u FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM c))""")
+def vec_checked(spark, sf_dir):
+    """Which vectors are valid, with wrong sizes, zeros, NaN, infinity, nulls and missing ones among them, and of those that
+    are the components of their unit vector, weighed by place."""
+    k, v = F.col("vec_id") % 1_000_000_007, F.col("embedding").cast("array<double>")
+    first = lambda x: F.concat(F.array(F.lit(x).cast("double")), F.slice(v, 2, 63))
+    planted = (
+        F.when(k % 11 == 0, F.slice(v, 1, 63)).when(k % 13 == 0, F.transform(v, lambda x: F.lit(0.0))).when(k % 17 == 0, first(float("nan"))).when(k % 19 == 0, first(float("inf"))).when(k % 23 == 0, first(None))
+        .when(k % 29 == 0, F.lit(None).cast("array<double>")).otherwise(v)
+    )
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", planted.alias("v")).withColumn("valid", vectors.is_valid(F.col("v"), 64))
+    weighed = vectors.dot(vectors.unit(F.col("v")), F.sequence(F.lit(1), F.lit(64)))
+    return rows.select("vec_id", "valid", F.when(F.col("valid"), F.round(weighed, 4)).alias("weighed"))
+
+
 _TWO = """
 WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS pa FROM documents QUALIFY pa <= 100),
 b AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) AS pb FROM documents QUALIFY pb <= 100),
