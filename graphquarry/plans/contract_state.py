@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphquarry.operators import maintenance, proofs, traversal
+from graphquarry.operators import maintenance, packing, proofs, traversal
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -208,3 +208,16 @@ def bounded_impact(spark, sf_dir):
     seeds = table(spark, sf_dir, "part").select(text("p", "p_partkey").alias("question"), text("p", "p_partkey").alias("node"))
     found = traversal.walk(seeds, traversal.first_edges(edges, "DEPENDS_ON", reverse=True), limit=45)["results"]
     return found.select("question", "position", "node", "distance", F.array_join("chain", ">").alias("chain"))
+
+
+@query("packed_findings")
+def packed_findings(spark, sf_dir):
+    """Findings of many answers that fit their budgets: a user's events are the findings of their answers, one for each
+    five hundred events. Tested against a plain loop over one answer at a time."""
+    k = F.col("event_id")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    answer = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(k / 500).cast("string"))
+    events = table(spark, sf_dir, "events").withColumn("answer_id", answer)
+    claims = events.select("answer_id", F.col("event_type").alias("requirement_id"), F.length("event_type").alias("requirement_at"), k.alias("position"), text("f", k).alias("finding_id"), F.array(text("e", k % 20), text("e", k % 7)).alias("evidence_ids"), (k % 35).cast("int").alias("items"), (100 + k % 900).cast("int").alias("bytes"))
+    records = events.groupBy("answer_id", text("e", k % 20).alias("evidence_id")).agg(F.max(50 + k % 200).alias("bytes"), F.max(k % 3 * 100).alias("context_bytes"), F.sort_array(F.collect_set("event_type")).alias("requirement_ids"))
+    return packing.pack(claims, records, packing.Limits(records=12, context_bytes=600, findings=3, package_bytes=6_000))["findings"]
