@@ -43,14 +43,34 @@ BROADCAST_KEYS = 300_000
 
 
 def if_small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Keys with a broadcast hint if they are counted and at most `limit`; beyond that they are joined by a shuffle."""
-    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+    """Keys with a broadcast hint if they are counted and at most `limit`; beyond that they are joined by a shuffle. That is said
+    by a hint too: files of many short keys are small enough to be broadcast by their size, and fill the driver as a table."""
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys.hint("merge")
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, on: list[str], limit: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows with the columns of a lookup by the keys `on`, null where there is none. A small lookup is broadcast; beyond that
+    rows whose first key is null stay where they are, for in a shuffle they would all meet in one task. Both are read
+    more than once: give what is written, or cheap to make."""
+    if lookup.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(lookup), on, "left")
+    none = {c: F.lit(None).cast(kind) for c, kind in lookup.dtypes if c not in on}
+    met = rows.where(F.col(on[0]).isNotNull()).join(lookup.hint("merge"), on, "left")
+    return met.unionByName(rows.where(F.col(on[0]).isNull()).withColumns(none))
 
 
 def resolved(edges: DataFrame, relationship: str) -> DataFrame:
     return edges.where((F.col("resolution") == "resolved") & (F.col("relationship") == relationship))
 
 
+def at(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """The edges with an end among `ends` (id), each once: what several operations on the same nodes read."""
+    ids = cut(ends.select("id").distinct())
+    flag = lambda side: if_small(ids.select(F.col("id").alias(side), F.lit(True).alias(f"_{side}")))
+    met = edges.join(flag("source"), "source", "left").join(flag("target"), "target", "left")
+    return met.where("_source OR _target").select(edges.columns)
+
+
 def callers(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """One row for each call site whose target is among `symbols` (id)."""
     return resolved(edges, "CALLS").join(symbols.select(F.col("id").alias("target")), "target", "left_semi")

@@ -82,7 +82,7 @@ def _facts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     files = symbols.select("path").distinct().withColumn("parsed", ~F.col("path").endswith("/m6.js"))
     n = F.col("l_linenumber") % 4
     at = ((F.col("l_orderkey") * 13) % 5200).cast("int")
-    events = items.join(part.select(F.col("p_partkey").alias("l_partkey"), path.alias("file")), "l_partkey").select(
+    events = items.join(graph.if_small(part.select(F.col("p_partkey").alias("l_partkey"), path.alias("file"))), "l_partkey").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "file", F.when(n == 0, "call").when(n == 1, "reference").when(n == 2, "construction").otherwise("export").alias("kind"),
         at.alias("start_byte"), (at + 5).alias("end_byte"), (F.floor(at / 40) + 1).cast("int").alias("line"),
         F.when(F.col("l_quantity") < 10, key(F.col("l_partkey"))).alias("scope_symbol_id"), F.when(F.col("l_returnflag") != "R", key(F.col("l_suppkey") * 3)).alias("target_symbol_id"), F.col("l_linestatus").alias("expression"),
@@ -91,7 +91,8 @@ def _facts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _built(spark, sf_dir) -> dict[str, DataFrame]:
-    return assembly.build(*_facts(spark, sf_dir), "repo")
+    files, symbols, events = _facts(spark, sf_dir)
+    return assembly.build(files, symbols, graph.cut(events), "repo")  # events are read several times
 
 
 @query("assembled_nodes", _FACTS + " SELECT id, kind, label, path, symbol_id FROM nodes")
@@ -113,8 +114,8 @@ def unresolved_references(spark, sf_dir):
 @query("described_edges", _FACTS + " SELECT a.kind AS source_kind, b.kind AS target_kind, s.kind AS target_syntax, relationship, count(*) AS n, min(b.label) AS least FROM edges e JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target LEFT JOIN symbols s ON s.id = b.symbol_id GROUP BY ALL")
 def described_edges(spark, sf_dir):
     files, symbols, events = _facts(spark, sf_dir)
-    made = assembly.build(files, symbols, events, "repo")
-    rows = assembly.described(made["edges"], made["nodes"], symbols)
+    made = assembly.build(files, symbols, graph.cut(events), "repo")
+    rows = assembly.described(made["edges"], made["nodes"], symbols, sides=("target",))
     return rows.groupBy("source_kind", "target_kind", "target_syntax", "relationship").agg(F.count(F.lit(1)).alias("n"), F.min("target_label").alias("least"))
 
 
@@ -165,10 +166,11 @@ def _whole_facts(spark, sf_dir):
     files, symbols, _ = _facts(spark, sf_dir)
     key = F.regexp_extract("id", "[0-9]+", 0)
     symbols = symbols.withColumn("name", F.when(key.cast("long") % 13 == 0, F.concat(F.lit("<anonymous "), key, F.lit(">"))).otherwise(F.col("name"))).withColumn("qualified_name", F.col("name"))
-    own = symbols.select(F.col("id").alias("s_id"), F.col("path").alias("file"), F.col("name").alias("s_name"), F.col("start_byte").alias("source_start"), F.col("end_byte").alias("source_end"))
-    goal = symbols.select(F.col("id").alias("t_id"), F.col("path").alias("target_file"), F.col("name").alias("t_name"), F.col("start_byte").alias("t_a"), F.col("end_byte").alias("t_b"))
+    own = symbols.select(key.cast("long").alias("l_partkey"), F.col("path").alias("file"), F.col("name").alias("s_name"), F.col("start_byte").alias("source_start"), F.col("end_byte").alias("source_end"))
+    goal = symbols.select(key.cast("long").alias("t_id"), F.col("path").alias("target_file"), F.col("name").alias("t_name"), F.col("start_byte").alias("t_a"), F.col("end_byte").alias("t_b"))
     named = lambda k: F.concat(F.lit("p"), k.cast("string"))
-    items = table(spark, sf_dir, "lineitem").withColumns({"s_id": named(F.col("l_partkey")), "t_id": F.when(F.col("l_returnflag") != "R", named(F.col("l_suppkey") * 3))}).join(own, "s_id").join(goal, "t_id", "left")
+    items = table(spark, sf_dir, "lineitem").withColumn("t_id", F.when(F.col("l_returnflag") != "R", F.col("l_suppkey") * 3))
+    items = graph.looked_up(items, goal, ["t_id"]).join(graph.if_small(own), "l_partkey").withColumn("s_id", named(F.col("l_partkey")))
     k, o = F.col("l_linenumber"), F.col("l_orderkey")
     pick = lambda column, values: F.element_at(F.array(*(v if not isinstance(v, (str, int)) else F.lit(v) for v in values)), (column % len(values) + 1).cast("int"))
     shift = F.when(o % 17 == 0, 3000).otherwise(0)
@@ -184,6 +186,7 @@ def _whole_facts(spark, sf_dir):
         F.col("file").alias("source_file"), F.when(anonymous("s_name"), "__function").otherwise(F.col("s_name")).alias("source_name"), "source_start", "source_end",
         specifier.alias("specifier"), specifier.startswith("@app").alias("alias"), F.when(o % 2 == 0, F.col("target_file")).alias("module_file"), F.when(F.col("l_quantity") < 10, F.col("s_id")).alias("_scope"),
     )
+    events = graph.cut(events)
     references = events.where("_scope IS NOT NULL").select(F.col("file").alias("path"), "kind", "start_byte", (F.floor(F.col("start_byte") / 40) + 2).cast("int").alias("start_line"), (F.col("start_byte") % 40).alias("start_column"), F.col("_scope").alias("scope_symbol_id"))
     return files, symbols, events.drop("_scope"), references
 
@@ -223,7 +226,7 @@ def external_dependencies(spark, sf_dir):
 @query("edges_in_order", _FACTS + " SELECT file AS evidence_file, pos::INTEGER AS start_byte, b.label AS target_label FROM edges JOIN nodes b ON b.id = target WHERE relationship = 'CALLS' ORDER BY file NULLS FIRST, pos NULLS FIRST, b.label, edges.id LIMIT 50")
 def edges_in_order(spark, sf_dir):
     made = _built(spark, sf_dir)
-    rows = assembly.described(made["edges"].where("relationship = 'CALLS'"), made["nodes"]).withColumn("evidence_line", F.col("start_byte"))
+    rows = assembly.described(made["edges"].where("relationship = 'CALLS'"), made["nodes"], sides=("target",)).withColumn("evidence_line", F.col("start_byte"))
     keys = rows.select("evidence_file", "evidence_line", "start_byte", F.concat_ws("|", "target_label", "id").alias("label"), "target_label")
     return answers.in_order(keys, "label").limit(50).select("evidence_file", "start_byte", "target_label")
 
@@ -264,7 +267,7 @@ def typed_operations(spark, sf_dir):
     edges, nodes = made["edges"], made["nodes"]
     named = nodes.where("symbol_id IN ('p3', 'p6', 'p9', 'p12') OR (kind = 'Module' AND path LIKE '%/m1.js')").select("id")
     kind = F.when(F.col("relationship") == "EXPORTS", "IMPORTS").otherwise(F.col("relationship"))
-    changed = edges.withColumn("relationship", kind)
+    changed = graph.cut(graph.at(edges, named)).withColumn("relationship", kind)  # one pass for all operations
     place = F.coalesce(F.col("start_byte").cast("string"), F.lit("None"))
     changed = changed.withColumn("id", identity.entity_id("rel", F.col("source"), F.col("target"), F.col("relationship"), F.coalesce("evidence_file", F.lit("")), place))
     out = None
