@@ -203,7 +203,8 @@ def exact_lookup(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     brand = part.agg(F.min("p_brand")).first()[0]
     name = part.where(F.col("p_brand") == brand).agg(F.min("p_name")).first()[0]
-    symbols = part.select(F.col("p_brand").alias("path"), F.lit(1).alias("start_line"), F.col("p_name").alias("name"), F.col("p_name").alias("qualified_name"), F.col("p_partkey").cast("string").alias("id"))
+    # a part stands at the line of its key, so that the first hundred are the first by number; as texts, 10 is before 9
+    symbols = part.select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("start_line"), F.col("p_name").alias("name"), F.col("p_name").alias("qualified_name"), F.col("p_partkey").cast("string").alias("id"))
     none = symbols.where("false").withColumn("parent_symbol_key", F.lit(""))
     return search.exact_lookup(symbols, none, name, F.col("path") == brand).select(F.col("id").cast("long").alias("id"), "name")
 

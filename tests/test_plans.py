@@ -188,3 +188,15 @@ def test_threshold_has_no_limit(spark, tmp_path, monkeypatch):
     rows = spark.range(1_000_002).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
     monkeypatch.setattr(contract, "table", lambda *a: rows)
     assert contract.vec_threshold(spark, str(tmp_path)).count() == 1_000_002
+
+
+def test_exact_lookup_takes_the_first_parts_by_number(spark, tmp_path):
+    import duckdb
+
+    from graphquarry.plans import contract
+
+    spark.range(1, 301).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+        wanted = db.execute(contract.ORACLES["exact_lookup"]).fetchall()
+    assert [tuple(r) for r in contract.QUERIES["exact_lookup"](spark, str(tmp_path)).collect()] == wanted
