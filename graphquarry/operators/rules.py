@@ -36,11 +36,12 @@ def dependency_summary(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def reference_test_analysis(edges: DataFrame, symbols: DataFrame, limit: int = 100) -> DataFrame:
-    into = edges.join(symbols.select(F.col("id").alias("target")), "target", "left_semi")
+    ids = graph.if_small(graph.cut(symbols.select(F.col("id").alias("target")).distinct()))
+    into = graph.cut(edges.join(ids, "target", "left_semi"))  # one pass over all edges
     return together({
         "references": graph.resolved(into, "REFERENCES"),
         "callers": graph.resolved(into, "CALLS"),
-        "tests": graph.test_references(edges, symbols, limit)[0],
+        "tests": graph.test_references(into, symbols, limit)[0],
         "unresolved": into.where("resolution = 'unresolved'"),
     })
 
@@ -55,7 +56,8 @@ def change_impact(edges: DataFrame, symbols: DataFrame, depth: int, limit: int |
 
 
 def module_overview(edges: DataFrame, modules: DataFrame) -> DataFrame:
-    ids = modules.select("id")
+    ids = graph.cut(modules.select("id").distinct())
+    edges = graph.cut(graph.at(edges, ids))  # one pass over all edges
     out, into = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi"), edges.join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     of = lambda rows, *kinds: rows.where(F.col("relationship").isin(*kinds) & F.col("resolution").isin("resolved", "inferred"))
     return together({
