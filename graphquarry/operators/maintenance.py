@@ -29,15 +29,20 @@ def resolve(calls: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame
     """The calls (source, file, name, line) with target: the symbol `file:name`, else the only symbol of that name, else the
     bare name."""
     exact = symbols.select(F.col("id").alias("own")).distinct()
-    out = calls.join(exact, F.concat_ws(":", "file", "name") == F.col("own"), "left").join(names.where("n = 1").select("name", "only"), "name", "left")
+    single = graph.if_small(names.where("n = 1").select("name", "only"))
+    out = calls.join(exact, F.concat_ws(":", "file", "name") == F.col("own"), "left").join(single, "name", "left")
     return out.select("source", "file", "name", "line", F.coalesce("own", "only", "name").alias("target"))
 
 
-def build(files: DataFrame, symbols: DataFrame, calls: DataFrame, chunks: DataFrame, vectors: DataFrame) -> State:
+def build(files: DataFrame, symbols: DataFrame, calls: DataFrame | None, chunks: DataFrame | None, vectors: DataFrame | None) -> State:
     """A state from scratch. files: path, content_sha256, status; symbols: id, path, kind, name; calls: source, file, name,
-    line; chunks: id, path and more; vectors: id (of a chunk) and more."""
+    line; chunks: id, path and more; vectors: id (of a chunk) and more. A state may be without calls, and so without edges, and
+    without chunks and vectors: what nobody asks for isn't kept up."""
     names = graph.cut(names_of(symbols))
-    return {"files": files, "symbols": symbols, "calls": calls, "chunks": chunks, "vectors": vectors, "names": names, "edges": graph.cut(resolve(calls, symbols, names))}
+    out = {"files": files, "symbols": symbols, "names": names}
+    if calls is not None:
+        out |= {"calls": calls, "edges": graph.cut(resolve(calls, symbols, names))}
+    return out if chunks is None else out | {"chunks": chunks, "vectors": vectors}
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -60,21 +65,24 @@ def update(state: State, files: DataFrame, facts: State) -> State:
     fresh = graph.if_small(delta.where("change != 'deleted'").select("path"))
     out: State = {"files": files}
     removed, added = {}, {}
-    for name in OWNED:
+    for name in (t for t in OWNED if t in state):
         of = _file_of(name)
         removed[name] = state[name].join(gone.withColumnRenamed("path", of), of, "left_semi")
         added[name] = graph.cut(facts[name].join(fresh.withColumnRenamed("path", of), of, "left_semi"))
         kept = state[name].join(gone.withColumnRenamed("path", of), of, "left_anti")
         out[name] = graph.cut(kept.select(state[name].columns).unionByName(added[name].select(state[name].columns)))
-    dead = graph.if_small(graph.cut(removed["chunks"].select("id")))
-    own = facts["vectors"].join(added["chunks"].select("id"), "id", "left_semi")
-    out["vectors"] = graph.cut(state["vectors"].join(dead, "id", "left_anti").select(state["vectors"].columns).unionByName(own.select(state["vectors"].columns)))
+    if "chunks" in state:
+        dead = graph.if_small(graph.cut(removed["chunks"].select("id")))
+        own = facts["vectors"].join(added["chunks"].select("id"), "id", "left_semi")
+        out["vectors"] = graph.cut(state["vectors"].join(dead, "id", "left_anti").select(state["vectors"].columns).unionByName(own.select(state["vectors"].columns)))
 
     # names: only those that a removed or an added symbol has are counted again
     touched = graph.cut(removed["symbols"].select("name").union(added["symbols"].select("name")).distinct())
     few = graph.if_small(touched)
     again = graph.cut(names_of(out["symbols"].join(few, "name", "left_semi")))
     out["names"] = graph.cut(state["names"].join(few, "name", "left_anti").select("name", "n", "only").unionByName(again))
+    if "calls" not in state:
+        return out
     was = state["names"].join(few, "name", "left_semi").select("name", F.col("only").alias("was"))
     moved = touched.join(was, "name", "left").join(again.select("name", "only"), "name", "left").where("NOT was <=> only").select("name")
     moved = graph.if_small(graph.cut(moved))

@@ -139,13 +139,14 @@ def _facts_of(spark, sf_dir, later: bool):
     return files, {"symbols": symbols, "calls": calls, "chunks": chunks, "vectors": chunks.select("id")}
 
 
-def _maintained(spark, sf_dir):
-    """The earlier generation, updated by the facts of the files that differ."""
+def _maintained(spark, sf_dir, *without: str):
+    """The earlier generation, updated by the facts of the files that differ; tables that a query doesn't ask for are left out."""
     files, facts = _facts_of(spark, sf_dir, later=False)
-    state = maintenance.build(files, facts["symbols"], facts["calls"], facts["chunks"], facts["vectors"])
+    had = {t: None if t in without else facts[t] for t in facts}
+    state = maintenance.build(files, had["symbols"], had["calls"], had["chunks"], had["vectors"])
     now, facts = _facts_of(spark, sf_dir, later=True)
     differ = maintenance.changes(files, now).where("change != 'deleted'").select("path")
-    own = {t: facts[t].join(differ.withColumnRenamed("path", of), of, "left_semi") for t, of in (("symbols", "path"), ("calls", "file"), ("chunks", "path"))}
+    own = {t: facts[t].join(differ.withColumnRenamed("path", of), of, "left_semi") for t, of in (("symbols", "path"), ("calls", "file"), ("chunks", "path")) if t not in without}
     return maintenance.update(state, now, own | {"vectors": facts["vectors"]})
 
 
@@ -153,17 +154,17 @@ def _maintained(spark, sf_dir):
 LEFT JOIN (SELECT name AS m, "only" FROM names WHERE n = 1) n ON m = c.name""")
 def updated_edges(spark, sf_dir):
     """Call sites after an update: the same as of everything built anew."""
-    return _maintained(spark, sf_dir)["edges"].select("source", "file", "name", "line", "target")
+    return _maintained(spark, sf_dir, "chunks", "vectors")["edges"].select("source", "file", "name", "line", "target")
 
 
 @query("updated_names", _LATER + ' SELECT name, n, "only" FROM names')
 def updated_names(spark, sf_dir):
-    return _maintained(spark, sf_dir)["names"]
+    return _maintained(spark, sf_dir, "calls", "chunks", "vectors")["names"]
 
 
 @query("updated_chunks", _LATER + " SELECT md5(id || 'chunk') AS id, path FROM symbols")
 def updated_chunks(spark, sf_dir):
-    state = _maintained(spark, sf_dir)
+    state = _maintained(spark, sf_dir, "calls")
     return state["chunks"].join(state["vectors"], "id").select("id", "path")
 
 

@@ -62,3 +62,16 @@ def test_nothing_changed_and_everything_gone(spark):
     empty = maintenance.update(state, files.limit(0), none)
     assert all(empty[k].count() == 0 for k in empty)
     assert all(rows(maintenance.update(empty, files, of)[k]) == rows(state[k]) for k in state)
+
+
+def test_a_state_keeps_up_only_what_it_has(spark):
+    from graphquarry.operators import maintenance
+
+    files = spark.createDataFrame([("a", "1", "included"), ("b", "1", "included")], "path string, content_sha256 string, status string")
+    now = spark.createDataFrame([("a", "2", "included"), ("b", "1", "included")], "path string, content_sha256 string, status string")
+    symbols = spark.createDataFrame([("a:f", "a", "function", "f"), ("b:g", "b", "function", "g")], "id string, path string, kind string, name string")
+    fresh = spark.createDataFrame([("a:g", "a", "function", "g")], symbols.schema)
+    state = maintenance.build(files, symbols, None, None, None)
+    later = maintenance.update(state, now, {"symbols": fresh})
+    assert set(later) == {"files", "symbols", "names"}
+    assert [tuple(r) for r in later["names"].collect()] == [("g", 2, None)]
