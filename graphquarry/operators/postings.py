@@ -37,11 +37,11 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("tokens"))
     rows = rows.withColumn("size", F.size("tokens"))
-    pairs = rows.select("id", "size", F.explode_outer("tokens").alias("term")).groupBy("id", "size", "term").agg(F.count("term").cast("int").alias("tf"))
     table, root = f"postings_{uuid.uuid4().hex}", shared_folder(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    # counted as far as possible where the text is; then one file a bucket
-    pairs.repartition(n, "id").write.format("parquet").option("path", f"{root}/{table}").bucketBy(n, "id").sortBy("term").saveAsTable(table)
+    # dealt once, as texts; a document's terms are then counted, and written, where its bucket is
+    pairs = rows.repartition(n, "id").select("id", "size", F.explode_outer("tokens").alias("term")).groupBy("id", "size", "term").agg(F.count("term").cast("int").alias("tf"))
+    pairs.write.format("parquet").option("path", f"{root}/{table}").bucketBy(n, "id").sortBy("term").saveAsTable(table)
     postings = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the name only: its files stay in the shared folder
     sizes = postings.groupBy("id").agg(F.first("size").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).first()

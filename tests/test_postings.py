@@ -38,3 +38,20 @@ def test_ranking_equals_brute_force(spark, monkeypatch):
             assert got == {q: w for q, w in want.items() if w}
     empty = postings.build(df.limit(0))
     assert empty.n == 0 and postings.ranked(empty, asked, 3).count() == 0
+
+
+def test_postings_are_dealt_once(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from graphquarry.operators import postings
+
+    plans, save = [], DataFrameWriter.saveAsTable
+
+    def kept(self, *args, **named):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return save(self, *args, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", kept)
+    index = postings.build(spark.createDataFrame([(1, "a b a"), (2, None), (3, "b")], "doc_id int, text string"))
+    assert sorted(tuple(r) for r in index.postings.where("tf > 0").select("id", "term", "tf", "size").collect()) == [(1, "a", 2, 3), (1, "b", 1, 3), (3, "b", 1, 1)]
+    assert index.n == 3 and plans[0].count("Exchange") == 1
