@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import filters
+from . import filters, graph
 
 #: Characters of a context, findings shown at each depth, what a test or document loses in a conversation.
 CONTEXT_CHARS, DEPTHS, DEMOTION, MOST_NEIGHBOURS = 24_000, {"quick": 1, "standard": 8, "deep": 25}, 0.15, 500
@@ -52,10 +52,16 @@ def file_listing(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "name"))).alias("symbols"))
 
 
-def neighbours(edges: DataFrame, ids: DataFrame, relationship: str, reverse: bool = False, most: int = MOST_NEIGHBOURS) -> DataFrame:
-    """id, neighbour: of each node its neighbours by a relationship, each once, the first `most` in order."""
+def neighbours(edges: DataFrame, ids: DataFrame | None, relationship: str, reverse: bool = False, most: int = MOST_NEIGHBOURS) -> DataFrame:
+    """id, neighbour: of each node its neighbours by a relationship, each once, the first `most` in order; ids (id) None: of every
+    node. The rows are counted, and dealt by node to as many tasks as their number asks for."""
     here, there = ("target", "source") if reverse else ("source", "target")
-    rows = edges.where(F.col("relationship") == relationship).join(ids.select(F.col("id").alias(here)), here, "left_semi").select(F.col(here).alias("id"), F.col(there).alias("neighbour")).distinct()
+    rows = edges.where(F.col("relationship") == relationship).select(F.col(here).alias("id"), F.col(there).alias("neighbour"))
+    n = graph.tasks(rows) if ids is None else graph.tasks(rows, ids)
+    rows = rows.repartition(n, "id")
+    if ids is not None:
+        rows = rows.join(ids.select("id").repartition(n, "id").hint("merge"), "id", "left_semi")
+    rows = rows.distinct()
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("neighbour"))).where(F.col("n") <= most).drop("n")
 
 

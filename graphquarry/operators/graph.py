@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task of a join or an order that is dealt by `tasks`.
+TASK_ROWS = 100_000
+
+
+def tasks(*frames: DataFrame) -> int:
+    """How many tasks frames that meet by a key are dealt to: their number grows with the rows, so the rows of a task, and what it
+    holds in memory, don't. The frames are counted, so they are read once more: give what is cheap to make."""
+    return max(1, ceil(sum(f.count() for f in frames) / TASK_ROWS))
+
+
 #: Keys of a set up to which it is broadcast.
 BROADCAST_KEYS = 300_000
 

@@ -302,8 +302,7 @@ def caller_groups(spark, sf_dir):
 
 @query("neighbours_once", _SITES + " SELECT target AS id, source AS neighbour FROM (SELECT DISTINCT target, source FROM edges) QUALIFY row_number() OVER (PARTITION BY target ORDER BY source) <= 500")
 def neighbours_once(spark, sf_dir):
-    edges = _sites(spark, sf_dir)
-    return answers.neighbours(edges, edges.select(F.col("target").alias("id")).distinct(), "CALLS", reverse=True)
+    return answers.neighbours(_sites(spark, sf_dir), None, "CALLS", reverse=True)
 
 
 @query("expanded_callees", _SITES + """, hits AS (SELECT 's' || s_suppkey AS id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS position FROM supplier QUALIFY position <= 20),
