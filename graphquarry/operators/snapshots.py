@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def difference(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """key, change (added, deleted, changed) of rows that differ."""
@@ -34,7 +36,10 @@ def observed_digest(inventory: DataFrame) -> DataFrame:
 
 
 def orphans(rows: DataFrame, parents: DataFrame, on: str, parent_key: str) -> DataFrame:
-    return rows.join(parents.select(F.col(parent_key).alias(on)), on, "left_anti")
+    """The rows without a parent. Both sides are counted, and meet in as many tasks as their number asks for."""
+    keys = parents.select(F.col(parent_key).alias(on))
+    n = graph.tasks(rows, keys)
+    return rows.repartition(n, on).join(keys.repartition(n, on).hint("merge"), on, "left_anti")
 
 
 def audit(checks: dict[str, tuple[DataFrame, DataFrame, str, str]]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Joins and orders whose tasks hold a bounded number of rows, however many there are."""
 
-from graphquarry.operators import answers, graph
+from graphquarry.operators import answers, graph, snapshots
 
 EDGE = "source string, target string, relationship string"
 
@@ -21,3 +21,13 @@ def test_neighbours_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     some = answers.neighbours(edges, ids, "CALLS", reverse=True, most=5)
     assert sorted(map(tuple, some.collect())) == sorted((p, f"s{k}") for p in ("p3", "p4") for k in range(5))
     assert some.rdd.getNumPartitions() > 4
+
+
+def test_orphans_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_ROWS", 20)
+    rows = spark.createDataFrame([(k % 500,) for k in range(1000)] + [(None,)], "k long")
+    parents = spark.createDataFrame([(2 * k,) for k in range(250)] * 2, "id long")
+    out = snapshots.orphans(rows, parents, "k", "id")
+    assert sorted(r.k for r in out.where("k IS NOT NULL").collect()) == sorted(2 * [2 * k + 1 for k in range(250)])
+    assert out.where("k IS NULL").count() == 1  # as before: a row without a key has no parent
+    assert fullest(out) <= 100
