@@ -47,8 +47,10 @@ def _proved(spark, sf_dir):
     """Nodes, stored entities, findings and their proofs, with plants of every kind; the context of generation g2."""
     k = F.col("k")
     text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
-    after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
-    nodes = table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), text("n", F.col("event_id")).alias("id"), F.col("event_type").alias("label"), F.when(F.col("event_id") % 3 == 0, text("s", F.col("event_id"))).alias("symbol_id"), after.alias("next"))
+    in_turn = Window.partitionBy("user_id").orderBy("event_id")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.lead("event_id").over(in_turn).alias("next"), F.lead("event_id", 2).over(in_turn).alias("third"), F.lead("event_type").over(in_turn).alias("next_type"), F.lead("event_type", 2).over(in_turn).alias("third_type"))
+    symbol = F.when(F.col("event_id") % 3 == 0, text("s", F.col("event_id"))).alias("symbol_id")
+    nodes = events.select(F.col("event_id").alias("k"), text("n", F.col("event_id")).alias("id"), F.col("event_type").alias("label"), symbol, "next")
     none = lambda kind: F.lit(None).cast(kind)
     relationship = F.when(k % 2 == 0, "CALLS").otherwise("DEPENDS_ON")
     resolution = F.when(k % 29 == 0, "unresolved").otherwise("resolved")
@@ -57,16 +59,19 @@ def _proved(spark, sf_dir):
         "k", text("e", k).alias("id"), F.lit("relationship").alias("kind"), F.lit("file").alias("file_id"), none("string").alias("symbol_id"), F.md5(text("e", k)).alias("source_hash"), line.alias("start_line"), line.alias("end_line"),
         resolution.alias("resolution"), F.col("id").alias("source"), text("n", F.col("next")).alias("target"), relationship.alias("relationship"),
     )
-    a, b, c = (nodes.select(*(F.col(x).alias(f"{s}_{x}") for x in nodes.columns)) for s in "abc")
-    ways = a.join(b, F.col("a_next") == F.col("b_k")).join(c, F.col("b_next") == F.col("c_k")).withColumn("k", F.col("a_k"))
+    # event ids are keys, so the two next events of a user are the nodes that two edges lead to
+    ways = events.where("third IS NOT NULL").select(
+        F.col("event_id").alias("k"), F.col("event_id").alias("a_k"), F.col("next").alias("b_k"), text("n", F.col("event_id")).alias("a_id"), text("n", F.col("next")).alias("b_id"), text("n", F.col("third")).alias("c_id"),
+        F.col("event_type").alias("a_label"), F.col("next_type").alias("b_label"), F.col("third_type").alias("c_label"), symbol.alias("a_symbol_id"),
+    )
     findings = ways.select(
         text("f", k).alias("finding_id"), F.lit("graph").alias("kind"), F.when(k % 11 == 0, "CALLS").otherwise(relationship).alias("relationship"),
         F.array("a_id", F.when(k % 5 == 0, F.col("c_id")).otherwise(F.col("b_id")), "c_id").alias("path_node_ids"), F.array("a_label", F.when(k % 7 == 0, "other").otherwise(F.col("b_label")), "c_label").alias("path_names"),
         F.col("a_id").alias("source_node_id"), F.when(k % 37 == 0, "s1").otherwise(F.col("a_symbol_id")).alias("source_symbol_id"), none("string").alias("source_name"), none("string").alias("target_node_id"), none("string").alias("target_symbol_id"), F.col("c_label").alias("target_name"),
         none("string").alias("entity_id"), none("string").alias("entity_name"), none("string").alias("chunk_id"),
     )
-    own = edges.select("k", "id", "source_hash", "start_line", "resolution")
-    cited = ways.select(text("f", k).alias("finding_id"), F.col("a_k").alias("of"), F.posexplode(F.array("a_k", "b_k")).alias("position", "k")).join(own, "k")
+    cited = ways.select(text("f", k).alias("finding_id"), F.col("a_k").alias("of"), F.posexplode(F.array("a_k", "b_k")).alias("position", "k"))
+    cited = cited.select("finding_id", "of", "position", text("e", k).alias("id"), F.md5(text("e", k)).alias("source_hash"), line.alias("start_line"), resolution.alias("resolution"))
     first = F.col("position") == 0
     plant = lambda n, bad, good: F.when(first & (F.col("of") % n == 0), bad).otherwise(good)
     shown = plant(17, F.col("start_line") + 1, F.col("start_line"))

@@ -95,3 +95,36 @@ def test_empty_tables(spark, stored):
     some = spark.createDataFrame([finding("f")], FINDING)
     assert [r["code"] for r in proofs.prove(some, few, entities.limit(0), nodes.limit(0), CONTEXT).collect()] == ["claim_provenance"]
     assert proofs.proof_codes(spark.createDataFrame([proof("f", 0, "AB")], PROOF), entities.limit(0), CONTEXT).select(F.col("code")).first()[0] == "missing"
+
+
+def test_whole_findings_are_shuffled_once(spark):
+    """Nodes are met by single claims; before, whole findings with their evidence went through a shuffle for each lookup."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frames = [spark.createDataFrame(rows, schema) for rows, schema in (([c[0] for c in CASES.values()], FINDING), ([proof("direct", 0, "AB")], PROOF), (ENTITIES, ENTITY), (NODES, "id string, label string, symbol_id string"))]
+        plan = proofs.prove(*frames, CONTEXT)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(") <= 8
+    assert sum("path_names" in line for line in plan.splitlines() if "Exchange hashpartitioning(" in line) == 0
+    assert "Exchange hashpartitioning(repository_id" not in plan
+
+
+def test_claims_without_a_node_or_a_name(spark):
+    """Paths with nulls or too few names, ends that contradict each other, a symbol of several nodes, a definition of nothing."""
+    made = [
+        (finding("null step", path=("A", None), names=("Alpha", "")), ["AB"], "claim_provenance"),
+        (finding("few names", path="AB", names=("Alpha",)), ["AB"], "canonical_identity"),
+        (finding("null name", path="AB", names=("Alpha", None)), ["AB"], "canonical_identity"),
+        (finding("other end", path="AB", names=("Alpha", "Beta"), target_node_id="A"), ["AB"], "canonical_identity"),
+        (finding("other name", path="AB", names=("Alpha", "Beta"), source_name="Beta"), ["AB"], "canonical_identity"),
+        (finding("ends", path="AB", names=("Alpha", "Beta"), source_symbol_id="sa", target_name="Beta", target_node_id="B"), ["AB"], None),
+        (finding("first of symbol", "definition", "DEFINITION", target_symbol_id="sb", entity_id="sb", entity_name="Beta"), ["sb"], None),
+        (finding("not the first", "definition", "DEFINITION", target_symbol_id="sb", entity_id="sb", entity_name="Later"), ["sb"], "canonical_identity"),
+        (finding("of nothing", "definition", "DEFINITION", entity_id="sa"), ["sa"], "canonical_identity"),
+        (finding("no such node", "definition", "DEFINITION", target_node_id="Z", entity_id="sa"), ["sa"], "canonical_identity"),
+    ]
+    cited = [proof(f[0], n, e) for f, evidence, _ in made for n, e in enumerate(evidence)]
+    nodes = spark.createDataFrame([*NODES, ("B2", "Later", "sb")], "id string, label string, symbol_id string")
+    out = proofs.prove(spark.createDataFrame([f for f, _, _ in made], FINDING), spark.createDataFrame(cited, PROOF), spark.createDataFrame(ENTITIES, ENTITY), nodes, CONTEXT)
+    assert {r.finding_id: r.code for r in out.collect()} == {f[0]: code for f, _, code in made}
