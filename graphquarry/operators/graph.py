@@ -35,10 +35,25 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder, and read it back."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As cut(), in as many buckets by a key as a shuffle has parts: joins by the key then shuffle the other side alone. The table's
+    name is taken out of the catalog again; its files stay in the shared folder."""
+    spark, table = df.sparkSession, f"cut_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}")
+    writer.bucketBy(shuffle_parts(spark), key).sortBy(key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 #: Rows of a task of a join or an order that is dealt by `tasks`.
 TASK_ROWS = 100_000
 

@@ -3,6 +3,8 @@ from collections import deque
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from graphquarry.operators import traversal
 
 EDGE = "id string, source string, target string, relationship string, resolution string, evidence_file string, evidence_line int"
@@ -62,3 +64,22 @@ def test_no_question_and_no_edge(spark):
     adjacency = traversal.first_edges(df, "CALLS", True)
     assert [tuple(r) for r in traversal.walk(seeds, adjacency)["summary"].collect()] == [("q", 0, 0, False)]
     assert traversal.walk(seeds.limit(0), adjacency)["results"].count() == 0
+
+
+def test_edges_are_read_and_ranked_once_for_all_levels(spark):
+    """Before, every level read all edges again, twice, and each time they were shuffled twice."""
+    rows = [(f"e{k}", f"n{k + 1}", f"n{k}", "CALLS", "resolved", "a", k) for k in range(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(line):
+        read.add(1)
+        return line
+
+    edges = spark.createDataFrame(rows, EDGE).withColumn("evidence_line", F.udf(counted, "int")("evidence_line"))
+    adjacency = traversal.first_edges(edges, "CALLS", True)
+    assert adjacency._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+    seeds = spark.createDataFrame([(f"q{k}", f"n{k}") for k in range(0, 40, 5)], "question string, node string")
+    out = traversal.walk(seeds, adjacency)
+    assert out["summary"].where("found = 3 AND truncated").count() == 8
+    assert sorted(r.chain for r in out["results"].where("question = 'q5'").collect()) == [["e5"], ["e5", "e6"], ["e5", "e6", "e7"]]
+    assert read.value == len(rows)
